@@ -58,8 +58,8 @@ def scan_geometry(radials: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def moment_geometry(moments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per sweep and product the gate geometry of its first radial."""
-    g = F.min_by(F.struct("gate_count", "first_gate_m", "gate_width_m", "scale", "offset"), "radial_idx").alias("g")
-    return moments.groupBy(*keys, "product").agg(g).select(*keys, "product", "g.*")
+    g = F.min_by(F.struct("gate_count", "first_gate_m", "gate_width_m", "scale", "offset"), "radial_idx").alias("geometry")
+    return moments.groupBy(*keys, "product").agg(g).select(*keys, "product", "geometry.*")
 
 
 def moment_stats(gates: DataFrame, keys: tuple[str, ...] = ("product",)) -> DataFrame:

@@ -37,7 +37,7 @@ select concat('S', cast(l_orderkey % 5 as string)) as site, l_orderkey as radial
 from l""",
     "moments": """
 select site, radial_idx, product, min(elevation_number) as elevation_number, min(elevation_deg) as elevation_deg, min(azimuth_deg) as azimuth_deg, cast(count(*) as int) as gate_count,
-  min(scale) as scale, min(offset) as offset, min(first_gate_m) as first_gate_m, min(gate_width_m) as gate_width_m, {raws} as raw from {gates} group by site, radial_idx, product""",
+  min(scale) as scale, min(g.offset) as offset, min(first_gate_m) as first_gate_m, min(gate_width_m) as gate_width_m, {raws} as raw from {gates} g group by site, radial_idx, product""",
     "polls": """
 select concat('S', cast(user_id % 10 as string)) as site, row_number() over (partition by user_id % 10 order by event_id) as seq, ts as polled_at, event_type = 'error' as is_error,
   event_type = 'signup' and value > 200 as reanchored, case when event_type in ('click', 'purchase') and value > 40 then 1 else 0 end as n_keys,
