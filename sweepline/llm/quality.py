@@ -17,12 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, map_arrow, prepare
 
 ORDER = 5
+TABLE_TASKS = 16
 START, STOP = "\x02", "\x03"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
@@ -42,19 +43,19 @@ def slot_column(lang: Column, gram: Column) -> Column:
     return F.xxhash64(F.concat(lang, F.lit("\x00"), gram)).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
+def base_counts(text: str | None, words: list[str] | None = None) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = WORD.findall(text)
+    words = WORD.findall(text) if words is None else words
     symbols = sum(map(text.count, SYMBOLS))
     dup = 0
     if "\n" in text:
         lines = [x for x in text.split("\n") if WORD.search(x)]
         dup = len(lines) - len(set(lines))
-    windows = list(zip(words, words[1:], words[2:], strict=False))
     repeated = 0
-    if len(set(windows)) < len(windows):
+    if len(set(zip(words, words[1:], words[2:], strict=False))) < len(words) - 2:
+        windows = list(zip(words, words[1:], words[2:], strict=False))
         seen = Counter(windows)
         upto = 0  # words before this place are counted
         for i, w in enumerate(windows):
@@ -94,40 +95,41 @@ class NgramModel:
 
 
 class PerplexityScorer:
+    """Sums word scores; remembers words and n-grams of each language, within a bound."""
+
     def __init__(self, model: NgramModel, remembered: int = 300_000):
         self.m, self.most = model, remembered
-        self.words: dict[tuple[str, str], float] = {}
-        self.grams: dict[tuple[str, str], float] = {}
+        self.words: dict[str, dict[str, float]] = {}
+        self.grams: dict[str, dict[str, float]] = {}
 
     def word(self, lang: str, word: str) -> float:
-        key = (lang, word)
-        if (got := self.words.get(key)) is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            s, got = padded(word), 0.0
-            for i in range(len(s) - ORDER + 1):
-                g = (lang, s[i : i + ORDER])
-                if (p := self.grams.get(g)) is None:
-                    if len(self.grams) >= self.most:
-                        self.grams.clear()
-                    p = self.grams[g] = self.m.log_prob(*g)
-                got += p
-            if len(word) <= 64:
-                self.words[key] = got
+        grams, s, got = self.grams.setdefault(lang, {}), padded(word), 0.0
+        for i in range(len(s) - ORDER + 1):
+            g = s[i : i + ORDER]
+            if (p := grams.get(g)) is None:
+                if len(grams) >= self.most:
+                    grams.clear()
+                p = grams[g] = self.m.log_prob(lang, g)
+            got += p
         return got
 
-    def mean(self, lang: str, text: str | None) -> float | None:
+    def mean(self, lang: str, words: list[str]) -> float | None:
         """Minus the mean log probability of a character (word ends included); None without a word."""
-        words = WORD.findall(text or "")
         if not words:
             return None
-        known, word = self.words.get, self.word
-        total = 0.0
-        for w in words:
-            if (p := known((lang, w))) is None:
-                p = word(lang, w)
-            total += p
-        return -total / sum(len(w.lower()) + 1 for w in words)
+        known = self.words.setdefault(lang, {})
+        scores = list(map(known.get, words))
+        if None in scores:
+            if len(known) >= self.most:
+                known.clear()
+            for i, w in enumerate(words):
+                if scores[i] is None:
+                    if (p := known.get(w)) is None:
+                        p = self.word(lang, w)
+                        if len(w) <= 64:
+                            known[w] = p
+                    scores[i] = p
+        return -sum(scores) / (sum(map(len, words)) + len(words))
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -185,39 +187,42 @@ def build_model(counts: DataFrame) -> NgramModel:
     one stands for both.
     """
     spark = prepare(counts.sparkSession)
-    tables = {ORDER: counts.select("lang", "gram", F.col("n").alias("c")).checkpoint()}
+    # the tables of n-grams are far smaller than the texts: a few tasks each
+    tables = {ORDER: counts.select("lang", "gram", F.col("n").alias("c")).checkpoint().coalesce(TABLE_TASKS)}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-    small = [t.where("c <= 4").groupBy("lang", "c").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k, t in tables.items()]
-    of: dict[tuple, dict[int, int]] = {}
-    for part in small:
-        for r in part.collect():
-            of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
-    alphabet = {r["lang"]: r["n"] for r in tables[1].groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(alphabet)
-    floor = {x: -math.log(alphabet[x] + 1) for x in langs}
-    rows = [(x, k, *_discount(of.get((x, k), {}))) for x in langs for k in range(1, ORDER + 1)]
-    if not rows:
+        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")).coalesce(TABLE_TASKS).persist()
+    whole = None
+    for k, t in tables.items():
+        part = t.select("lang", F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c"))
+        whole = part if whole is None else whole.union(part)
+    of: dict[tuple, dict[int, int]] = {}  # counts of counts: five numbers an order and language
+    for r in whole.groupBy("lang", "k", "c").agg(F.count("*").alias("n")).collect():
+        of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
+    langs = sorted({x for x, _ in of})
+    if not langs:
         none = np.array([], dtype=np.uint32), np.array([], dtype=np.float32)
         return NgramModel(*none, *none, {})
+    floor = {x: -math.log(sum(of[x, 1].values()) + 1) for x in langs}
+    rows = [(x, k, *_discount(of.get((x, k), {}))) for x in langs for k in range(1, ORDER + 1)]
     discounts = F.broadcast(spark.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double"))  # ORDER rows a language
     bottom = F.create_map(*[x for k, v in floor.items() for x in (F.lit(k), F.lit(math.exp(v)))])
-    lower, grams, contexts = None, [], []
+    lower, grams, contexts, held = None, [], [], list(tables.values())[1:]
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("context", F.substring("gram", 1, k - 1)).join(discounts.where(F.col("k") == k).drop("k"), "lang")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("cut", F.least(cut, F.col("c").cast("double")))
-        sums = t.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("freed")).withColumn("gamma", F.col("freed") / F.col("total"))
-        contexts.append(sums.select(slot_column(F.col("lang"), F.col("context")).alias("slot"), F.log("gamma").cast("float").alias("value")))
-        t = t.join(sums.select("lang", "context", "total", "gamma"), ["lang", "context"])
+        t = t.withColumn("cut", F.least(cut, F.col("c").cast("double"))).select("lang", "gram", "context", "c", "cut")
+        same = Window.partitionBy("lang", "context")  # at most an alphabet of rows
+        t = t.withColumns({"total": F.sum("c").over(same), "gamma": F.sum("cut").over(same) / F.sum("c").over(same)})
         if lower is None:
             below = bottom[F.col("lang")]
         else:
             t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"])
             below = F.col("below")
         t = t.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + F.col("gamma") * below)
-        t = t.select("lang", "gram", "p").checkpoint()
+        t = t.select("lang", "gram", "context", "p", "gamma").coalesce(TABLE_TASKS).persist()
+        held.append(t)
         grams.append(t.select(slot_column(F.col("lang"), F.col("gram")).alias("slot"), F.log("p").cast("float").alias("value")))
+        contexts.append(t.select(slot_column(F.col("lang"), F.col("context")).alias("slot"), F.log("gamma").cast("float").alias("value")))
         lower = t.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
 
     def arrays(parts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +234,10 @@ def build_model(counts: DataFrame) -> NgramModel:
         order = np.argsort(s)
         return s[order], v[order]
 
-    return NgramModel(*arrays(grams), *arrays(contexts), floor)
+    model = NgramModel(*arrays(grams), *arrays(contexts), floor)
+    for t in held:
+        t.unpersist()
+    return model
 
 
 def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -239,9 +247,12 @@ def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = PerplexityScorer(shared.value)
         for b in batches:
-            texts, langs = b.column(1), b.column(2)
-            base = [base_counts(t.as_py()) for t in texts]
-            nats = [scorer.mean(x.as_py(), t.as_py()) for t, x in zip(texts, langs, strict=True)]
+            langs, base, nats = b.column(2), [], []
+            for text, lang in zip(b.column(1), langs, strict=True):
+                text = text.as_py()
+                words = WORD.findall(text or "")
+                base.append(base_counts(text, words))
+                nats.append(scorer.mean(lang.as_py(), words))
             cols = [pa.array([r[i] for r in base], pa.int64()) for i in range(5)]
             failed = pa.array([base_failed(r[0], r[4]) for r in base], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), langs, *cols, failed, pa.array(nats, pa.float64()), *(b.column(i) for i in range(3, b.num_columns))], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nats", *carry])
