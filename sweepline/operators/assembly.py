@@ -143,6 +143,6 @@ def assembly_events(epochs: DataFrame, placed: DataFrame) -> DataFrame:
     done = done.join(message5_vcp(epochs), ["site", "epoch"])
     done = done.select("site", F.col("last_chunk").alias("chunk_no"), "epoch", F.lit("VolumeClosed").alias("event_type"), F.lit(5).alias("phase"), F.lit(0).alias("place"), "status", F.coalesce("vcp_number", "msg5", F.lit(0)).alias("vcp_number"))
     out = lost.unionByName(closed, allowMissingColumns=True).unionByName(late, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
-    order = Window.partitionBy("site").orderBy("chunk_no", "phase", "place", "elevation_number")
+    order = Window.partitionBy("site").orderBy("chunk_no", "phase", "place", "complete", "elevation_number")
     return out.withColumn("event_no", F.row_number().over(order)).drop("phase", "place")
 

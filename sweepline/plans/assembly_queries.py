@@ -58,7 +58,7 @@ select site, chunk_no, epoch, 'MissingStart' as event_type, 1 as phase, 0 as pla
 union all select sv.site, case when trigger_pos is null then last_chunk else p.chunk_no end, sv.epoch, 'SweepClosed', case when trigger_pos is null then 4 else 2 end, emit_pos, sv.elevation_number, sv.complete, n_radials, vcp_number, null from sv join p on p.site = sv.site and p.epoch = sv.epoch and p.pos = emit_pos join vol on vol.site = sv.site and vol.epoch = sv.epoch where not (trigger_pos is null and vol.status = 'InProgress')
 union all select site, chunk_no, epoch, 'LateRadialsDiscarded', 3, elevation_number, elevation_number, null, count(*), null, null from p where not accepted group by site, chunk_no, epoch, elevation_number
 union all select vol.site, last_chunk, vol.epoch, 'VolumeClosed', 5, 0, null, null, null, coalesce(ctx.vcp_number, msg5, 0), vol.status from vol left join ctx on ctx.site = vol.site and ctx.epoch = vol.epoch join m5 on m5.site = vol.site and m5.epoch = vol.epoch where vol.status in ('Complete', 'TimedOut', 'Superseded')),
-ev as (select *, row_number() over (partition by site order by chunk_no, phase, place, elevation_number nulls first) as event_no from ev0)"""
+ev as (select *, row_number() over (partition by site order by chunk_no, phase, place, complete nulls first, elevation_number nulls first) as event_no from ev0)"""
 APPLIED = EVENTS + """,
 a0 as (select *, epoch - case when event_no % 9 = 0 then 2 else 0 end as volume from ev),
 a1 as (select *, last_value(case when event_type = 'SweepClosed' then vcp_number end ignore nulls) over (partition by site order by event_no rows between unbounded preceding and 1 preceding) as before from a0),
@@ -230,3 +230,13 @@ concat_ws(' ', case when count(*) filter (radial_status = 1) > 0 then 'Intermedi
 case when count(*) filter (radial_status = 4) > 0 then 'EndOfVolume=' || count(*) filter (radial_status = 4) end) as summary from radials group by site, chunk_no""")
 def a2_status_counts(spark, sf_dir):
     return inspect.status_counts(view(spark, sf_dir, "radials"))
+
+
+@query(cte("chunks") + f""", s as (select *, sum(n) over (partition by site order by arrival, chunk_no) as session from (select *, case when arrival >= lag(arrival) over (partition by site order by arrival, chunk_no) + interval 2 hours then 1 else 0 end as n from chunks))
+select site, strftime(min(arrival), '%Y-%m-%d %H:%M:%S.%f') as start, strftime(max(arrival) + interval 2 hours, '%Y-%m-%d %H:%M:%S.%f') as "end", count(*) as n_chunks from s group by site, session""")
+def t6_activity_windows(spark, sf_dir):
+    from ..streaming.assemble import activity_windows
+
+    out = activity_windows(view(spark, sf_dir, "chunks"), "2 hours")
+    shape = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.withColumns({"start": F.date_format("start", shape), "end": F.date_format("end", shape)})

@@ -44,7 +44,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_chunks(spark: SparkSession, path: str, max_files: int = 32) -> DataFrame:
     """The same as a stream; a micro-batch is committed as a whole or not at all."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*-[SIE]").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*-[SIE]").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(path)
     return _keyed(files)
 
 
