@@ -22,7 +22,8 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 #: State: role of the last message written, 3 at the start. After it may come:
 NEXT = {3: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 FINAL = 2
-COSTS = {"merge": 2, "relabel": 3, "insert": 4, "unknown": 1, "move_merge": 5}
+#: A known role is hardly ever relabelled: runs of one role are merged however long they are.
+COSTS = {"merge": 2, "relabel": 7, "insert": 4, "unknown": 1, "move_merge": 9}
 
 
 def role_code(role: str | None) -> int:
