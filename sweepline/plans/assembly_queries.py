@@ -13,17 +13,17 @@ TIMEOUT = "14 hours"  # events lie far apart; tests use 12 minutes
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(epochs, placed radials) of the events."""
+    """(epochs, placed radials) of the events. Both are read several times, so Spark keeps them."""
     radials = view(spark, sf_dir, "radials").where("kind <> 'S'").drop("kind", "msg5_vcp")
-    epochs = assembly.volume_epochs(view(spark, sf_dir, "chunks"), TIMEOUT)
-    return epochs, assembly.placed_radials(radials, epochs)
+    epochs = assembly.volume_epochs(view(spark, sf_dir, "chunks"), TIMEOUT).persist()
+    return epochs, assembly.placed_radials(radials, epochs).persist()
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembly events for the state operators; a volume is its epoch, made late now and then."""
     epochs, placed = assembled(spark, sf_dir)
     events = assembly.assembly_events(epochs, placed)
-    return events.withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0))
+    return events.withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0)).persist()
 
 
 EPOCHS = cte("chunks") + f""",
