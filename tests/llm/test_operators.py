@@ -1,6 +1,5 @@
 import hashlib
 import itertools
-import json
 import math
 import random
 import re
@@ -38,11 +37,6 @@ def corpus(n=120, seed=1, words_each=80):
 ODD = [(1000, None, None, None), (1001, "", "en", "src0"), (1002, " \n\t ", "en", None), (None, "the ing and the ing", "en", "src1"), (1003, "12 34 !?", None, "src1"), (1003, "12 34 !?", None, "src1"), (1004, "x" * 200_000, "en", "src2")]
 
 
-def all_queries(spark):
-    df = docs(spark, corpus(60) + ODD)
-    return df
-
-
 # language
 
 
@@ -79,8 +73,8 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_fold():
-    assert toxicity.fold("You 1D10T, идіот 2024!") == " you idiot идiot 2024 ".replace("идiot", "и" + "дiot") or "idiot" in toxicity.fold("1D10T")
-    assert toxicity.fold("lоser") == " loser " and toxicity.fold("pa$$") == " pass " and toxicity.fold("  ") == "" and toxicity.fold("3.5 kg") == " 3 5 kg "
+    assert toxicity.fold("You 1D10T, 2024!") == " you idiot 2024 " and toxicity.fold("mоrоn") == " moron "
+    assert toxicity.fold("pa$$") == " pass " and toxicity.fold("  ") == "" == toxicity.fold(None) and toxicity.fold("3.5 kg") == " 3 5 kg "
 
 
 def test_matcher_normalises_and_excepts():
@@ -451,10 +445,9 @@ def test_warc_damage():
     assert kinds(two[:-3]) == ["Parsed", "WarcError"] and kinds(b"junk junk") == ["WarcError"] and kinds(b"") == []
     assert kinds(z.compress(good.replace(b"hello", b"hellO")) + two) == ["WarcError", "Parsed", "Parsed"]
     assert kinds(z.compress(good.replace(b"Content-Length: 5", b"Content-Length: 6"))) == ["WarcError"]
-    assert kinds(z.compress(good.replace(b"WARC-Date", b"WARC Date?"[:9]))) in (["WarcError"], ["Parsed"]) and kinds(z.compress(b"WARC/1.1\r\n\r\n")) == ["WarcError"]
+    assert kinds(z.compress(good.replace(b"WARC-Date", b"WARC-Time"))) == ["WarcError"] and kinds(z.compress(b"WARC/1.1\r\n\r\n")) == ["WarcError"]
     assert kinds(warc.dictionary_frame(b"no dictionary") + two) == ["WarcError"]
 
 
 def test_hash_is_sparks(spark):
     assert spark.sql("select xxhash64('é')").first()[0] % (1 << 64) == xxhash.xxh64_intdigest("é".encode(), seed=42)
-    assert json.dumps(1) == "1"
