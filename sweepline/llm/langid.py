@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
@@ -78,18 +78,17 @@ class Scorer:
         return m.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def _log_frequencies(rows: list[tuple[str, str, int]], langs: list[str], smooth: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
-    index: dict[str, int] = {}
-    for _, key, _ in rows:
-        index.setdefault(key, len(index))
-    counts = np.zeros((max(1, len(index)), len(langs)))
+def _log_frequencies(rows: pa.Table, langs: list[str], smooth: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
+    """Row numbers of the keys, and their smoothed log frequency in each language; rows: lang, key, n."""
+    keys = rows["key"].combine_chunks().dictionary_encode()
+    counts = np.zeros((max(1, len(keys.dictionary)), len(langs)), dtype=np.float32)
     at = {x: i for i, x in enumerate(langs)}
-    for lang, key, n in rows:
-        counts[index[key], at[lang]] = n
+    counts[keys.indices.to_numpy(zero_copy_only=False), [at[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+    index = {k: i for i, k in enumerate(keys.dictionary.to_pylist())}
     return index, np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(counts)))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 3000, max_words_per_lang: int = 40_000, max_grams: int = 40_000, longest: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 3000, max_words_per_lang: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
     """Learn from labelled rows (null languages and texts are left out).
 
     The sample is bounded: about max_docs_per_lang documents a language, chosen by a hash of the
@@ -122,12 +121,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
                         seen[lang, padded[i : i + size]] += n
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())})
 
-    def top(df: DataFrame, key: str, most: int) -> list[tuple[str, str, int]]:
-        from pyspark.sql import Window
-
+    def top(df: DataFrame, key: str, most: int) -> pa.Table:
         first = Window.partitionBy("lang").orderBy(F.desc("n"), key)
         kept = df.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
-        return [(r["lang"], r[key], r["n"]) for r in kept.select("lang", key, "n").collect()]
+        return kept.select("lang", F.col(key).alias("key"), "n").toArrow()  # at most `most` rows a language
 
     words = map_arrow(sample, count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
     index, scores = _log_frequencies(top(words, "word", max_words_per_lang), langs)
