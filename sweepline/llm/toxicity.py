@@ -109,12 +109,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs_per_class: int = 4000, max_terms: int = 2000, stem: tuple[int, int] = (4, 8), least_docs: int = 3, least_weight: float = 2.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs_per_class: int = 4000, max_terms: int = 2000, stem: tuple[int, int] = (3, 8), least_docs: int = 3, least_weight: float = 2.0, least_support: float = 40.0) -> ToxicityModel:
     """Learn the lexicon, its weights, exception phrases and the curve from labelled rows.
 
     The sample is bounded: about max_docs_per_class documents of each class, chosen by a hash of
     the id; at most max_terms patterns are kept. A term's weight is its log odds between the two
-    classes. A stem stands in for the words that begin with it unless one word makes up nearly all
+    classes; terms whose likelihood ratio against chance is below least_support are left out. A stem stands in for the words that begin with it unless one word makes up nearly all
     of its uses. Ids that are null, or labelled both ways, are left out.
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -146,9 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n.get(1) or not n.get(0):
         return ToxicityModel()
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
+    total = F.col("toxic") + F.col("clean")
+    part = lambda c, k: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n[0] + n[1]) / (total * n[k]))).otherwise(0.0)
+    support = 2 * (part("toxic", 1) + part("clean", 0))
     # of two terms equally telling the better supported comes first; ties fall to the shorter, then by code point
-    found = counted.withColumn("weight", odds).where((F.col("toxic") >= least_docs) & (F.col("weight") >= least_weight) & (F.col("toxic") * 10 >= F.col("clean") * 9)).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.length("term"), "term").limit(20 * max_terms).collect()
+    found = counted.withColumn("weight", odds).where((F.col("toxic") >= least_docs) & (F.col("weight") >= least_weight) & (support >= least_support)).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.length("term"), "term").limit(20 * max_terms).collect()
     by_term = {r["term"]: (r["toxic"], r["clean"], r["weight"]) for r in found}
+    blunt = set()  # stems that a longer term with half of their uses beats clearly
+    for t, (toxic, _, weight) in by_term.items():
+        for k in range(low + 1, len(t)):
+            if (p := by_term.get(t[:k])) and weight > p[2] + 1 and 2 * toxic >= p[0]:
+                blunt.add(t[:k])
     most_used: dict[str, int] = {}  # of each stem: the documents of its most frequent word
     for t, (toxic, _, _) in by_term.items():
         if t.endswith(" "):
@@ -156,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 most_used[t[: k + 1]] = max(most_used.get(t[: k + 1], 0), toxic)
     lexicon: dict[str, float] = {}
     for t in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
-        if len(lexicon) >= max_terms or any(t[:k] in lexicon for k in range(2, len(t))):
+        if len(lexicon) >= max_terms or t in blunt or any(t[:k] in lexicon for k in range(2, len(t))):
             continue
         toxic, _, weight = by_term[t]
         if t.endswith(" ") or most_used.get(t, 0) < 0.9 * toxic:
