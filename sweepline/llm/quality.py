@@ -190,7 +190,7 @@ def build_model(counts: DataFrame) -> NgramModel:
     # the tables of n-grams are far smaller than the texts: a few tasks each
     tables = {ORDER: counts.select("lang", "gram", F.col("n").alias("c")).checkpoint().coalesce(TABLE_TASKS)}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")).coalesce(TABLE_TASKS).persist()
+        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")).coalesce(TABLE_TASKS).checkpoint()
     whole = None
     for k, t in tables.items():
         part = t.select("lang", F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c"))
@@ -206,7 +206,7 @@ def build_model(counts: DataFrame) -> NgramModel:
     rows = [(x, k, *_discount(of.get((x, k), {}))) for x in langs for k in range(1, ORDER + 1)]
     discounts = F.broadcast(spark.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double"))  # ORDER rows a language
     bottom = F.create_map(*[x for k, v in floor.items() for x in (F.lit(k), F.lit(math.exp(v)))])
-    lower, grams, contexts, held = None, [], [], list(tables.values())[1:]
+    lower, grams, contexts = None, [], []
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("context", F.substring("gram", 1, k - 1)).join(discounts.where(F.col("k") == k).drop("k"), "lang")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -219,8 +219,7 @@ def build_model(counts: DataFrame) -> NgramModel:
             t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"])
             below = F.col("below")
         t = t.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + F.col("gamma") * below)
-        t = t.select("lang", "gram", "context", "p", "gamma").coalesce(TABLE_TASKS).persist()
-        held.append(t)
+        t = t.select("lang", "gram", "context", "p", "gamma").coalesce(TABLE_TASKS).checkpoint()
         grams.append(t.select(slot_column(F.col("lang"), F.col("gram")).alias("slot"), F.log("p").cast("float").alias("value")))
         contexts.append(t.select(slot_column(F.col("lang"), F.col("context")).alias("slot"), F.log("gamma").cast("float").alias("value")))
         lower = t.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
@@ -234,10 +233,7 @@ def build_model(counts: DataFrame) -> NgramModel:
         order = np.argsort(s)
         return s[order], v[order]
 
-    model = NgramModel(*arrays(grams), *arrays(contexts), floor)
-    for t in held:
-        t.unpersist()
-    return model
+    return NgramModel(*arrays(grams), *arrays(contexts), floor)
 
 
 def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
