@@ -259,13 +259,13 @@ def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col
     return map_arrow(src, run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nats double{kept}")
 
 
-def bands(measured: DataFrame, width: float = 6.0, least: float = math.log(2), grain: float = 1e-3) -> dict[str, tuple[float, float]]:
+def bands(measured: DataFrame, width: float = 6.0, grain: float = 1e-3) -> dict[str, tuple[float, float]]:
     """Of each language the lower and upper bound of nats.
 
     Quartiles of all rows that pass the base rules, read off a histogram whose bins are `grain`
-    wide; the band reaches `width` times the distance between the median and each quartile (at
-    least `least` nats, which is half to twice the median perplexity) to either side of the median, so
-    it rejects outliers and no fixed share. Texts with a passage in another language stay inside.
+    wide; the band reaches `width` times the distance between the median and each quartile to
+    either side of the median, so it rejects outliers and no fixed share. A distance counts as one
+    bin at least: the histogram tells no smaller ones apart.
     """
     bins = measured.where("not base_failed and nats is not null").groupBy("lang", F.round(F.col("nats") / grain).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()
     by_lang: dict[str, list[tuple[int, int]]] = {}
@@ -276,7 +276,7 @@ def bands(measured: DataFrame, width: float = 6.0, least: float = math.log(2), g
         got.sort()
         at, n = np.array([g[0] for g in got]) * grain, np.cumsum([g[1] for g in got])
         q1, q2, q3 = (float(at[np.searchsorted(n, q * n[-1])]) for q in (0.25, 0.5, 0.75))
-        out[lang] = (q2 - max(least, width * (q2 - q1)), q2 + max(least, width * (q3 - q2)))
+        out[lang] = (q2 - width * max(grain, q2 - q1), q2 + width * max(grain, q3 - q2))
     return out
 
 

@@ -188,6 +188,13 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert quality.verdicts(docs(spark, [])).count() == 0
 
 
+def test_bands_come_from_the_spread(spark):
+    rows = [(i, "en", False, 1.5 + 0.01 * (i % 11 - 5)) for i in range(220)] + [(i, "de", False, 1.4) for i in range(300, 320)] + [(400, "en", False, 1.9), (401, "en", True, 9.0)]
+    got = quality.bands(spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, nats double"))
+    assert got["en"] == pytest.approx((1.5 - 6 * 0.03, 1.5 + 6 * 0.03))
+    assert got["de"] == pytest.approx((1.394, 1.406))
+
+
 # components
 
 
