@@ -3,8 +3,8 @@
 The language model is a modified Kneser-Ney model over the characters of words, one for each
 language: order five, words padded with marks for their ends. Spark counts every n-gram of every
 text; lower orders come from continuation counts, discounts from counts of counts. The finished
-probabilities and back-off weights lie in arrays sorted by a hash, looked up by binary search.
-The hash has a fixed number of slots, which bounds the arrays whatever the corpus.
+probabilities and back-off weights lie in arrays sorted by a 64-bit hash, looked up by binary
+search. Nothing is left out: the arrays grow with the distinct n-grams of the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ TABLE_TASKS = 16
 START, STOP = "\x02", "\x03"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
-SLOTS = 1 << 24  # at most so many entries in each array: 16 bytes each, 256 MB at the very worst
 
 
 def padded(word: str) -> str:
@@ -36,11 +35,12 @@ def padded(word: str) -> str:
 
 def slot(lang: str, gram: str) -> int:
     """The same number as slot_column() gives in Spark."""
-    return xxhash.xxh64_intdigest(f"{lang}\x00{gram}".encode(), seed=42) & (SLOTS - 1)
+    got = xxhash.xxh64_intdigest(f"{lang}\x00{gram}".encode(), seed=42)
+    return got - (1 << 64) if got >> 63 else got
 
 
 def slot_column(lang: Column, gram: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit("\x00"), gram)).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    return F.xxhash64(F.concat(lang, F.lit("\x00"), gram))
 
 
 def base_counts(text: str | None, words: list[str] | None = None) -> tuple[int, int, int, int, int]:
@@ -73,7 +73,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 class NgramModel:
     """Sorted hash arrays: probabilities of n-grams, back-off weights of contexts."""
 
-    gram_slots: np.ndarray  # uint32, ascending
+    gram_slots: np.ndarray  # int64, ascending
     gram_logs: np.ndarray  # float32, natural logarithms
     context_slots: np.ndarray
     context_logs: np.ndarray
@@ -81,7 +81,7 @@ class NgramModel:
 
     @staticmethod
     def _find(slots: np.ndarray, logs: np.ndarray, key: int) -> float | None:
-        i = int(slots.searchsorted(np.uint32(key)))
+        i = int(slots.searchsorted(np.int64(key)))
         return float(logs[i]) if i < len(slots) and slots[i] == key else None
 
     def log_prob(self, lang: str, gram: str) -> float:
@@ -183,8 +183,7 @@ def _discount(counts: dict[int, int]) -> tuple[float, float, float]:
 def build_model(counts: DataFrame) -> NgramModel:
     """Modified Kneser-Ney from (lang, gram, n). Everything but the discounts is DataFrame work.
 
-    The result has at most SLOTS entries an array; where two n-grams share a slot, the likelier
-    one stands for both.
+    The result has an entry of 12 bytes for each distinct n-gram and each context.
     """
     spark = prepare(counts.sparkSession)
     # the tables of n-grams are far smaller than the texts: a few tasks each
@@ -200,7 +199,7 @@ def build_model(counts: DataFrame) -> NgramModel:
         of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
     langs = sorted({x for x, _ in of})
     if not langs:
-        none = np.array([], dtype=np.uint32), np.array([], dtype=np.float32)
+        none = np.array([], dtype=np.int64), np.array([], dtype=np.float32)
         return NgramModel(*none, *none, {})
     floor = {x: -math.log(sum(of[x, 1].values()) + 1) for x in langs}
     rows = [(x, k, *_discount(of.get((x, k), {}))) for x in langs for k in range(1, ORDER + 1)]
@@ -229,7 +228,7 @@ def build_model(counts: DataFrame) -> NgramModel:
         for x in parts[1:]:
             whole = whole.union(x)
         got = whole.groupBy("slot").agg(F.max("value").alias("value")).toArrow()
-        s, v = got["slot"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float32)
+        s, v = got["slot"].to_numpy().astype(np.int64), got["value"].to_numpy().astype(np.float32)
         order = np.argsort(s)
         return s[order], v[order]
 
@@ -238,7 +237,7 @@ def build_model(counts: DataFrame) -> NgramModel:
 
 def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, lang, the base counts, base_failed, nats (mean surprise a character), and carry."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOTS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes a distinct n-gram or context
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = PerplexityScorer(shared.value)

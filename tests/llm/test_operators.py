@@ -177,6 +177,18 @@ def test_slots_agree(spark):
     assert got == quality.slot("en", "a\x02é")
 
 
+def test_unseen_grams_are_not_taken_as_seen(spark):
+    low: dict[int, str] = {}
+    for i in range(200_000):  # two n-grams that agree in the hash's lowest 24 bits
+        b = f"{i:05d}"
+        if (a := low.setdefault(quality.slot("en", b) & 0xFFFFFF, b)) != b:
+            break
+    assert quality.slot("en", a) != quality.slot("en", b)
+    model = quality.build_model(quality.count_grams(docs(spark, [(1, f"{a} word", "en", "s")])))
+    find = lambda g: model._find(model.gram_slots, model.gram_logs, quality.slot("en", g))
+    assert find(a) is not None and find(b) is None
+
+
 def test_quality_keeps_clean_and_rejects_noise(spark):
     rng = random.Random(9)
     rows = corpus(150)
