@@ -296,13 +296,20 @@ ga as (select n.*, trunc((range_km - 2.125) / 0.25)::int as gate, m.raw as gates
 gb as (select *, case when gate >= 0 and gate < gate_count then gates[gate + 1] end as raw from ga), gv as (select *, case when raw >= 2 then (raw - off) / scale end as value from gb),
 gc as (select site, elevation_number, x::int as x, y::int as y, round(value, 6) as value, {_colour_sql(grid.REFLECTIVITY, 'value', 'raw')} as rgba from gv) select * from gc where rgba <> '00000000'""")
 def g3_ppi_grid(spark, sf_dir):
-    g = view(spark, sf_dir, "gates").where("site = 'S1'")
-    radials = spark.sql(RADIAL_TABLE, g=g)
-    moments = view(spark, sf_dir, "moments").where("site = 'S1'")
-    out = grid.ppi_grid(radials, moments, "DREF", 4.0, 16, ["site", "elevation_number"])
+    return _ppi_grid(spark, view(spark, sf_dir, "gates").where("site = 'S1'"), view(spark, sf_dir, "moments").where("site = 'S1'"))
+
+
+def _ppi_grid(spark, g, moments):
+    out = grid.ppi_grid(spark.sql(RADIAL_TABLE, g=g), moments, "DREF", 4.0, 16, ["site", "elevation_number"])
     return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")
 
 
+@query()
+def g3_ppi_grid_all_sites(spark, sf_dir):
+    """Every sweep of every site; the SQL of g3_ppi_grid covers one site."""
+    return _ppi_grid(spark, view(spark, sf_dir, "gates"), view(spark, sf_dir, "moments"))
+
+
 BINNED = GATES + f""", v0 as (select *, round(elevation_deg, 1) as angle, {VALUE} as value, first_gate_m / 1000.0 + gate_idx * gate_width_m / 1000.0 as range_km from gates where product = 'DREF'),
 v1 as (select * from v0 where (site, angle, elevation_number) in (select (site, angle, max(elevation_number)) from v0 group by site, angle)),
 b as (select *, floor(azimuth_deg / 10) as az_bin, floor(range_km * cos(radians(elevation_deg)) / 1.0) as range_bin, sqrt(range_km ** 2 + (4.0 / 3.0 * 6371.0) ** 2 + 2 * range_km * (4.0 / 3.0 * 6371.0) * sin(radians(elevation_deg))) - 4.0 / 3.0 * 6371.0 + 0.1 as height_km from v1 where value is not null)"""

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,31 @@ def test_with_site(spark):
     sites = spark.createDataFrame([("KDOX", 38.8)], "id string, lat double")
     got = inspect.with_site(spark.createDataFrame([("kdox",), ("XXXX",)], "site_id string"), sites).collect()
     assert {r.site_id: r.lat for r in got} == {"kdox": 38.8, "XXXX": None}
+
+
+def test_ppi_grid_of_all_sites_by_brute_force(spark):
+    from sweepline.plans import gate_queries as q
+
+    d = "/root/testdata/sf0.001"
+    moments = {(r.site, r.elevation_number, r.radial_idx): r for r in q.view(spark, d, "moments").where("product = 'DREF'").collect()}
+    sweeps = {}
+    for r in spark.sql(q.RADIAL_TABLE, g=q.view(spark, d, "gates")).collect():
+        sweeps.setdefault((r.site, r.elevation_number), []).append(r)
+    cells = [(x, y, math.degrees(math.atan2((x - 8) * 0.5, (8 - y) * 0.5)) % 360, math.hypot((x - 8) * 0.5, (8 - y) * 0.5)) for x in range(16) for y in range(16)]
+    want = {}
+    for sweep, radials in sweeps.items():
+        for x, y, az, far in cells:
+            near = []
+            for r in radials:
+                gap, below = abs(az - r.azimuth_deg), 0 < (az - r.azimuth_deg) % 360 < 180
+                near.append((min(gap, 360 - gap), not below, -r.radial_idx if below else r.radial_idx, r.radial_idx))
+            m = moments.get((*sweep, min(near)[3])) if far <= 4 and min(near)[0] <= 1 else None
+            gate = int((far - m.first_gate_m / 1000) / (m.gate_width_m / 1000)) if m else -1
+            if m and 0 <= gate < m.gate_count and (raw := m.raw[gate]) >= 1:
+                value = (raw - m.offset) / m.scale if raw > 1 else None
+                steps = [c for t, c in grid.REFLECTIVITY if value is not None and value >= t]
+                rgba = grid.hex_colour(grid.FOLDED if raw == 1 else steps[-1] if steps else grid.CLEAR)
+                if rgba != grid.hex_colour(grid.CLEAR):
+                    want[(*sweep, x, y)] = (value if value is None else round(value, 6), rgba)
+    got = {(r.site, r.elevation_number, r.x, r.y): (r.value, r.rgba) for r in q.g3_ppi_grid_all_sites(spark, d).collect()}
+    assert got == want and len({k[0] for k in got}) == len({k[0] for k in sweeps}) > 1
