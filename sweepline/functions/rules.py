@@ -22,8 +22,12 @@ def split_object_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     return out.withColumns({"host": F.when(good, host), "key": F.when(good, key)})
 
 
+def host_shape_reason(host: Column) -> Column:
+    return F.when(host.isNull(), "missing").when(host.rlike("[@:/]"), "not_a_bare_host").when(host.endswith("."), "trailing_dot")
+
+
 def host_reason(host: Column, allow) -> Column:
-    return F.when(host.isNull(), "missing").when(host.rlike("[@:/]"), "not_a_bare_host").when(host.endswith("."), "trailing_dot").when(~host.isin(*allow), "not_listed")
+    return F.coalesce(host_shape_reason(host), F.when(~host.isin(*allow), "not_listed"))
 
 
 def split_by_allowlist(df: DataFrame, host_col: str = "host", allow=ALLOWED_HOSTS) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +36,16 @@ def split_by_allowlist(df: DataFrame, host_col: str = "host", allow=ALLOWED_HOST
     return out.where("host_reason is null").drop("host_reason"), out.where("host_reason is not null")
 
 
+def split_by_allow_table(df: DataFrame, allow: DataFrame, host_col: str = "host") -> tuple[DataFrame, DataFrame]:
+    """The same as split_by_allowlist, with the list as a table (its column host) of any length."""
+    out = df.withColumn("host_reason", host_shape_reason(F.col(host_col)))
+    bare = out.where("host_reason is null").drop("host_reason")
+    listed = allow.select(F.col("host").alias("allowed_host")).distinct()
+    same = F.col(host_col) == F.col("allowed_host")
+    bad = out.where("host_reason is not null").unionByName(bare.join(listed, same, "left_anti").withColumn("host_reason", F.lit("not_listed")))
+    return bare.join(listed, same, "left_semi"), bad
+
+
 def parse_object_keys(df: DataFrame, key_col: str = "key") -> DataFrame:
     """SITE/<volume>/<yyyymmdd-hhmmss>-<n>-<kind> as columns.
 

@@ -127,8 +127,15 @@ def s6_object_urls(spark, sf_dir):
 @query(URLS + r", h as (select page_id, host, case when host is null then 'missing' when regexp_matches(host, '[@:/]') then 'not_a_bare_host' when host like '%.' then 'trailing_dot' when host not like '%.example.com' then 'not_listed' end as host_reason from s where regexp_matches(coalesce(host, ''), '^(|[a-z.]*)$')) select page_id, host, coalesce(host_reason, 'listed') as host_reason from h")
 def s7_allowlist(spark, sf_dir):
     urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).where("coalesce(host, '') rlike '^(|[a-z.]*)$'").select("page_id", "host")
-    listed = [r["host"] for r in urls.where("host like '%.example.com'").select("host").distinct().collect()]
-    good, bad = rules.split_by_allowlist(urls, "host", tuple(listed))
+    good, bad = rules.split_by_allow_table(urls, urls.where("host like '%.example.com'"))
+    return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
+
+
+@query(URLS + r" select page_id, host, case when host is null then 'missing' when regexp_matches(host, '[@:/]') then 'not_a_bare_host' when host like '%.' then 'trailing_dot' when host not in (select host from s where regexp_matches(host, '^[a-z.]*\.example\.com$')) then 'not_listed' else 'listed' end as host_reason from s")
+def s7_allowlist_all_hosts(spark, sf_dir):
+    """Every row, whatever its host looks like; the SQL of s7_allowlist leaves out odd hosts."""
+    urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host")
+    good, bad = rules.split_by_allow_table(urls, urls.where(r"host rlike '^[a-z.]*\\.example\\.com$'"))
     return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
 
 

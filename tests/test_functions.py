@@ -139,3 +139,12 @@ def test_ppi_grid_of_all_sites_by_brute_force(spark):
                     want[(*sweep, x, y)] = (value if value is None else round(value, 6), rgba)
     got = {(r.site, r.elevation_number, r.x, r.y): (r.value, r.rgba) for r in q.g3_ppi_grid_all_sites(spark, d).collect()}
     assert got == want and len({k[0] for k in got}) == len({k[0] for k in sweeps}) > 1
+
+
+def test_every_host_is_judged(spark, tmp_path):
+    from sweepline.plans import gate_queries as q
+
+    hosts = ["a.example.com", "www.spam-farm.example.com", "A.example.com", "a.example.com:443", "u@a.example.com", "a.example.com.", "b.test"]
+    spark.createDataFrame([(i, f"https://{h}/k") for i, h in enumerate(hosts)] + [(9, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.host_reason for r in q.s7_allowlist_all_hosts(spark, str(tmp_path)).collect()}
+    assert got == {0: "listed", 1: "not_listed", 2: "not_listed", 3: "not_a_bare_host", 4: "not_a_bare_host", 5: "trailing_dot", 6: "not_listed", 9: "missing"}
