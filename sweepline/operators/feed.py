@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,26 +69,32 @@ def recovery_actions(polls: DataFrame) -> DataFrame:
 
     polls: site (string), seq, n_keys (new keys of the volume polled), newest (nullable), start (the
     site's first target). One row per poll: site, seq, target, action, new_target. A site's polls
-    are folded in order; a row is five numbers.
+    stream through in order; of those before, only target, empty and seen are held.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        target, empty, seen, out = int(pdf["start"].iloc[0]), 0, False, []
-        for site, seq, n_keys, newest in zip(pdf["site"], pdf["seq"], pdf["n_keys"], pdf["newest"], strict=True):
-            before, action = target, "Continue"
-            if n_keys > 0:
-                empty, seen = 0, True
-            else:
-                empty += 1
-                if not seen and empty >= REANCHOR_AFTER:
-                    ahead = max(int(newest) - 1, 0) if not pd.isna(newest) else target
-                    empty = 0
-                    if ahead > target:
-                        action, target = "ReAnchor", ahead
-                elif seen and empty >= STUCK_AFTER:
-                    action, target, empty, seen = "Advance", target + 1, 0, False
-            out.append((site, seq, before, action, target))
-        return pd.DataFrame(out, columns=["site", "seq", "target", "action", "new_target"])
-
-    return polls.select("site", "seq", "n_keys", "newest", "start").groupBy("site").applyInPandas(fold, "site string, seq long, target long, action string, new_target long")
+    schema = pa.schema([("site", pa.string()), ("seq", pa.int64()), ("target", pa.int64()), ("action", pa.string()), ("new_target", pa.int64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, target, empty, seen = object(), 0, 0, False
+        for b in batches:
+            out = []
+            for site, seq, n_keys, newest, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if site != last:
+                    last, target, empty, seen = site, int(start), 0, False
+                before, action = target, "Continue"
+                if n_keys is not None and n_keys > 0:
+                    empty, seen = 0, True
+                else:
+                    empty += 1
+                    if not seen and empty >= REANCHOR_AFTER:
+                        ahead = max(int(newest) - 1, 0) if newest is not None else target
+                        empty = 0
+                        if ahead > target:
+                            action, target = "ReAnchor", ahead
+                    elif seen and empty >= STUCK_AFTER:
+                        action, target, empty, seen = "Advance", target + 1, 0, False
+                out.append((site, seq, before, action, target))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    rows = polls.select("site", "seq", "n_keys", "newest", "start").repartition("site").sortWithinPartitions("site", F.asc_nulls_last("seq"))
+    return rows.mapInArrow(fold, "site string, seq long, target long, action string, new_target long")

@@ -148,3 +148,16 @@ def test_every_host_is_judged(spark, tmp_path):
     spark.createDataFrame([(i, f"https://{h}/k") for i, h in enumerate(hosts)] + [(9, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.host_reason for r in q.s7_allowlist_all_hosts(spark, str(tmp_path)).collect()}
     assert got == {0: "listed", 1: "not_listed", 2: "not_listed", 3: "not_a_bare_host", 4: "not_a_bare_host", 5: "trailing_dot", 6: "not_listed", 9: "missing"}
+
+
+def test_recovery_streams_through_small_batches(spark):
+    polls = [(s, i, 0, 30, 10) for s in "KL" for i in range(12)] + [(s, 12, 3, None, 10) for s in "KL"] + [(s, 13 + i, 0, None, 10) for s in "KL" for i in range(60)]
+    df = spark.createDataFrame(polls, "site string, seq long, n_keys int, newest long, start long").orderBy(F.desc("seq"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = feed.recovery_actions(df)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = out.where("action <> 'Continue'").orderBy("site", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in got] == [(s, *x) for s in "KL" for x in [(11, 10, "ReAnchor", 29), (72, 29, "Advance", 30)]]
