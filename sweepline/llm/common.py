@@ -40,6 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def address(spark: SparkSession) -> str:
+    """The shared folder as an address, for Spark and for pyarrow's file systems."""
+    base = shared_folder(spark)
+    return base if "://" in base or base.startswith("file:") else f"file://{base}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

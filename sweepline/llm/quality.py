@@ -1,46 +1,42 @@
 """Quality rules: plain counts, and language-specific bands of n-gram perplexity.
 
-The language model is a modified Kneser-Ney model over the characters of words, one for each
-language: order five, words padded with marks for their ends. Spark counts every n-gram of every
-text; lower orders come from continuation counts, discounts from counts of counts. The finished
-probabilities and back-off weights lie in arrays sorted by a 64-bit hash, looked up by binary
-search. Nothing is left out: the arrays grow with the distinct n-grams of the corpus.
+The language model is a modified Kneser-Ney model over the characters of a text, one for each
+language: order five, words joined by single blanks, so that contexts reach across the borders of
+words. Spark counts every n-gram of every text; lower orders come from continuation counts,
+discounts from counts of counts, and n-grams of three characters and more that were seen once are
+pruned (their mass goes to the back-off). What a text costs is given per word, by passages of 50
+words; the text's value is the median of its passages, so one odd passage condemns no text.
+
+Nothing of the model passes the driver or is broadcast: of every input file the distinct n-grams
+are joined with the model and written to the shared folder as hash-ordered arrays, which the tasks
+that read that file load. Only the arrays move, never the texts, and each is as large as the
+distinct n-grams of one file.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, map_arrow, prepare
+from .common import WORD, address, map_arrow, prepare
 
 ORDER = 5
-TABLE_TASKS = 16
-START, STOP = "\x02", "\x03"
+PRUNED_FROM = 3  # from this length on, n-grams counted once are left to the back-off
+PASSAGE = 50  # words; the base rules ask for as many
+START = "\x02"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
-
-
-def padded(word: str) -> str:
-    return START * (ORDER - 1) + word.lower() + STOP
-
-
-def slot(lang: str, gram: str) -> int:
-    """The same number as slot_column() gives in Spark."""
-    got = xxhash.xxh64_intdigest(f"{lang}\x00{gram}".encode(), seed=42)
-    return got - (1 << 64) if got >> 63 else got
-
-
-def slot_column(lang: Column, gram: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit("\x00"), gram))
+SHARDS = 16  # files an array is written in, so that a large input file is no hot key
+FLUSH = 2_000_000  # characters a task counts before it hands its counts on
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
 
 
 def base_counts(text: str | None, words: list[str] | None = None) -> tuple[int, int, int, int, int]:
@@ -69,204 +65,180 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-@dataclass
-class NgramModel:
-    """Sorted hash arrays: probabilities of n-grams, back-off weights of contexts."""
-
-    gram_slots: np.ndarray  # int64, ascending
-    gram_logs: np.ndarray  # float32, natural logarithms
-    context_slots: np.ndarray
-    context_logs: np.ndarray
-    floor: dict[str, float]  # of each language: log probability of a character never seen
-
-    @staticmethod
-    def _find(slots: np.ndarray, logs: np.ndarray, key: int) -> float | None:
-        i = int(slots.searchsorted(np.int64(key)))
-        return float(logs[i]) if i < len(slots) and slots[i] == key else None
-
-    def log_prob(self, lang: str, gram: str) -> float:
-        """Of the gram's last character after the ones before it."""
-        if not gram:
-            return self.floor.get(lang, math.log(1e-6))
-        if (p := self._find(self.gram_slots, self.gram_logs, slot(lang, gram))) is not None:
-            return p
-        weight = self._find(self.context_slots, self.context_logs, slot(lang, gram[:-1])) or 0.0
-        return weight + self.log_prob(lang, gram[1:])
-
-
-class PerplexityScorer:
-    """Sums word scores; remembers words and n-grams of each language, within a bound."""
-
-    def __init__(self, model: NgramModel, remembered: int = 300_000):
-        self.m, self.most = model, remembered
-        self.words: dict[str, dict[str, float]] = {}
-        self.grams: dict[str, dict[str, float]] = {}
-
-    def word(self, lang: str, word: str) -> float:
-        grams, s, got = self.grams.setdefault(lang, {}), padded(word), 0.0
-        for i in range(len(s) - ORDER + 1):
-            g = s[i : i + ORDER]
-            if (p := grams.get(g)) is None:
-                if len(grams) >= self.most:
-                    grams.clear()
-                p = grams[g] = self.m.log_prob(lang, g)
-            got += p
-        return got
-
-    def mean(self, lang: str, words: list[str]) -> float | None:
-        """Minus the mean log probability of a character (word ends included); None without a word."""
-        if not words:
-            return None
-        known = self.words.setdefault(lang, {})
-        scores = list(map(known.get, words))
-        if None in scores:
-            if len(known) >= self.most:
-                known.clear()
-            for i, w in enumerate(words):
-                if scores[i] is None:
-                    if (p := known.get(w)) is None:
-                        p = self.word(lang, w)
-                        if len(w) <= 64:
-                            known[w] = p
-                    scores[i] = p
-        return -sum(scores) / (sum(map(len, words)) + len(words))
-
-
-def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n) of every text: n-grams of the highest order, counted on all rows.
-
-    A partition's words are counted first, so that each distinct word is cut up once in a while
-    and not at each use; Spark adds up the partitions' counts.
-    """
+def stream(words: list[str]) -> np.ndarray:
+    """Code points of the words, each followed by a blank, after ORDER - 1 marks."""
+    return np.frombuffer((START * (ORDER - 1) + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            lang_out, gram_out, n_out = [], [], []
-            for lang, counted in words.items():
-                grams: dict[str, int] = {}
-                for w, c in counted.items():
-                    s = padded(w)
-                    for i in range(len(s) - ORDER + 1):
-                        g = s[i : i + ORDER]
-                        grams[g] = grams.get(g, 0) + c
-                lang_out += [lang] * len(grams)
-                gram_out += grams
-                n_out += grams.values()
-            words.clear()
-            return pa.RecordBatch.from_pydict({"lang": lang_out, "gram": gram_out, "n": n_out}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-        for b in batches:
-            for text, lang in zip(b.column(0), b.column(1), strict=True):
-                if text := text.as_py():
-                    words.setdefault(lang.as_py(), Counter()).update(WORD.findall(text))
-            if sum(map(len, words.values())) > 400_000:
-                yield flush()
-        if words:
-            yield flush()
+def slots(codes: np.ndarray, lang: str) -> np.ndarray:
+    """64-bit hashes of all n-grams of the highest order, one for each character after the marks."""
+    n = len(codes) - ORDER + 1
+    h = np.full(n, xxhash.xxh3_64_intdigest(lang), dtype=np.uint64)
+    for i in range(ORDER):
+        h ^= codes[i : i + n]
+        h *= _MUL
+        h ^= h >> _SHIFT
+    return h.view(np.int64)
 
-    src = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"))
-    return map_arrow(src, run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(block, lang, gram, slot, n) from (block, text, lang): n-grams of the highest order, of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (block, lang), texts in held.items():
+                hashes = [slots(c, lang) for c in texts]
+                h = np.concatenate(hashes)
+                # where each n-gram begins in the texts laid end to end
+                skip = np.repeat(np.arange(len(texts)) * (ORDER - 1), [len(x) for x in hashes])
+                order = np.argsort(h)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+                at = order[first]
+                windows = np.concatenate(texts)[(at + skip[at])[:, None] + np.arange(ORDER)]
+                flat = windows.astype("<u4").tobytes().decode("utf-32-le")
+                grams = [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+                n = np.diff(np.concatenate([first, [len(h)]]))
+                k = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array([lang] * k), pa.array(grams), pa.array(h[at]), pa.array(n)], names=["block", "lang", "gram", "slot", "n"])
 
-def _discount(counts: dict[int, int]) -> tuple[float, float, float]:
-    """D1, D2, D3+ from counts of counts; 0.5, 1.0, 1.5 where the counts do not allow them."""
+        for b in batches:
+            for block, text, lang in zip(*(b.column(i) for i in range(3)), strict=True):
+                words = WORD.findall(text.as_py() or "")
+                if words:
+                    c = stream(words)
+                    held.setdefault((block.as_py(), lang.as_py()), []).append(c)
+                    size += len(c)
+                if size > FLUSH:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    found = map_arrow(docs.select("block", "text", "lang"), run, "block long, lang string, gram string, slot long, n long")
+    return found.groupBy("block", "lang", "gram", "slot").agg(F.sum("n").alias("n"))
+
+
+def _discount(counts: dict[int, int], k: int) -> tuple[float, float, float]:
+    """D1, D2, D3+ of order k from counts of counts; 0.5, 1.0, 1.5 where the counts do not allow them."""
     n1, n2, n3, n4 = (counts.get(i, 0) for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(x if 0 < x < k else k / 2 for k, x in enumerate(d, 1))
+    d = (0.5, 1.0, 1.5)
+    if n1 and n2 and n3:
+        y = n1 / (n1 + 2 * n2)
+        d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        d = tuple(x if 0 < x < i else i / 2 for i, x in enumerate(d, 1))
+    return (1.0, *d[1:]) if k >= PRUNED_FROM else d
 
 
-def build_model(counts: DataFrame) -> NgramModel:
-    """Modified Kneser-Ney from (lang, gram, n). Everything but the discounts is DataFrame work.
+def log_probs(counts: DataFrame) -> DataFrame:
+    """(slot, logp): of every n-gram in `counts` the log probability of its last character, backed off in full.
 
-    The result has an entry of 12 bytes for each distinct n-gram and each context.
+    Modified Kneser-Ney: p(w|h) = (c - D(c)) / total + gamma(h) * p(w|h'), with gamma(h) the share
+    of h that discounts have freed. Orders below the highest count the characters that an n-gram
+    was seen after. All of it is joins and groupings of distinct n-grams; the driver gets the
+    counts of counts, five numbers an order and language.
     """
     spark = prepare(counts.sparkSession)
-    # the tables of n-grams are far smaller than the texts: a few tasks each
-    tables = {ORDER: counts.select("lang", "gram", F.col("n").alias("c")).checkpoint().coalesce(TABLE_TASKS)}
-    for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")).coalesce(TABLE_TASKS).checkpoint()
-    whole = None
-    for k, t in tables.items():
-        part = t.select("lang", F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c"))
-        whole = part if whole is None else whole.union(part)
-    of: dict[tuple, dict[int, int]] = {}  # counts of counts: five numbers an order and language
-    for r in whole.groupBy("lang", "k", "c").agg(F.count("*").alias("n")).collect():
+    top = counts.groupBy("lang", "gram", "slot").agg(F.sum("n").alias("c"))
+    tail = lambda k: F.substring("gram", ORDER - k + 1, k)
+    below = [F.struct(F.lit(k).alias("k"), tail(k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("left")) for k in range(1, ORDER)]
+    lower = top.select("lang", F.explode(F.array(*below)).alias("x")).select("lang", "x.*").distinct().groupBy("lang", "k", "gram").agg(F.count("*").alias("c"))
+    orders = top.select("lang", F.lit(ORDER).alias("k"), "gram", "c").unionByName(lower).checkpoint()
+    of: dict[tuple, dict[int, int]] = {}
+    for r in orders.groupBy("lang", "k", F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect():
         of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
-    langs = sorted({x for x, _ in of})
-    if not langs:
-        none = np.array([], dtype=np.int64), np.array([], dtype=np.float32)
-        return NgramModel(*none, *none, {})
-    floor = {x: -math.log(sum(of[x, 1].values()) + 1) for x in langs}
-    rows = [(x, k, *_discount(of.get((x, k), {}))) for x in langs for k in range(1, ORDER + 1)]
-    discounts = F.broadcast(spark.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double"))  # ORDER rows a language
-    bottom = F.create_map(*[x for k, v in floor.items() for x in (F.lit(k), F.lit(math.exp(v)))])
-    lower, grams, contexts = None, [], []
-    for k in range(1, ORDER + 1):
-        t = tables[k].withColumn("context", F.substring("gram", 1, k - 1)).join(discounts.where(F.col("k") == k).drop("k"), "lang")
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("cut", F.least(cut, F.col("c").cast("double"))).select("lang", "gram", "context", "c", "cut")
-        same = Window.partitionBy("lang", "context")  # at most an alphabet of rows
-        t = t.withColumns({"total": F.sum("c").over(same), "gamma": F.sum("cut").over(same) / F.sum("c").over(same)})
-        if lower is None:
-            below = bottom[F.col("lang")]
-        else:
-            t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"])
-            below = F.col("below")
-        t = t.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + F.col("gamma") * below)
-        t = t.select("lang", "gram", "context", "p", "gamma").coalesce(TABLE_TASKS).checkpoint()
-        grams.append(t.select(slot_column(F.col("lang"), F.col("gram")).alias("slot"), F.log("p").cast("float").alias("value")))
-        contexts.append(t.select(slot_column(F.col("lang"), F.col("context")).alias("slot"), F.log("gamma").cast("float").alias("value")))
-        lower = t.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
-
-    def arrays(parts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-        whole = parts[0]
-        for x in parts[1:]:
-            whole = whole.union(x)
-        got = whole.groupBy("slot").agg(F.max("value").alias("value")).toArrow()
-        s, v = got["slot"].to_numpy().astype(np.int64), got["value"].to_numpy().astype(np.float32)
-        order = np.argsort(s)
-        return s[order], v[order]
-
-    return NgramModel(*arrays(grams), *arrays(contexts), floor)
-
-
-def measure(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, lang, the base counts, base_failed, nats (mean surprise a character), and carry."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes a distinct n-gram or context
+    rows = [(x, k, *_discount(c, k), 1.0 / (sum(of[x, 1].values()) + 1)) for (x, k), c in of.items()]
+    discounts = F.broadcast(spark.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double, bottom double"))  # ORDER rows a language
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    t = orders.join(discounts, ["lang", "k"]).withColumns({"cut": F.least(cut, F.col("c").cast("double")), "context": F.expr("substring(gram, 1, k - 1)")})
+    same = Window.partitionBy("lang", "k", "context")  # at most an alphabet of rows
+    t = t.select("lang", "k", F.col("gram").alias("tail"), "bottom", ((F.col("c") - F.col("cut")) / F.sum("c").over(same)).alias("seen"), (F.sum("cut").over(same) / F.sum("c").over(same)).alias("gamma"))
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), tail(k).alias("tail")) for k in range(1, ORDER + 1)])
+    chain = counts.select("lang", "gram", "slot").distinct().select("lang", "slot", F.explode(parts).alias("x")).select("lang", "slot", "x.*").join(t, ["lang", "k", "tail"])
+    chain = chain.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("k", "seen", "gamma"))).alias("chain"), F.max("bottom").alias("bottom"))
+    p = F.aggregate("chain", F.col("bottom"), lambda p, x: x["seen"] + x["gamma"] * p)
+    return chain.select("slot", F.log(p).cast("float").alias("logp"))
+
+
+def write_arrays(counts: DataFrame, folder: str) -> None:
+    """Of every block its distinct n-grams with their log probabilities, under folder/block=.../."""
+    met = counts.select("block", "slot").join(log_probs(counts), "slot")
+    met.repartition("block", F.pmod("slot", F.lit(SHARDS))).sortWithinPartitions("block", "slot").write.partitionBy("block").parquet(folder)
+
+
+class Arrays:
+    """The arrays of one block at a time: hashes in ascending order, and log probabilities."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.store, self.base = fs.FileSystem.from_uri(folder)
+        self.block: int | None = None
+
+    def surprise(self, block: int, hashes: np.ndarray) -> np.ndarray:
+        if block != self.block:
+            import pyarrow.parquet as pq
+
+            got = pq.read_table(f"{self.base}/block={block}", filesystem=self.store, columns=["slot", "logp"], partitioning=None)
+            s, p = got["slot"].to_numpy(), got["logp"].to_numpy()
+            order = np.argsort(s)
+            self.slots, self.logs, self.block = s[order], p[order].astype(np.float64), block
+        at = self.slots.searchsorted(hashes)
+        if len(hashes) and (at[-1] >= len(self.slots) or (self.slots[np.minimum(at, len(self.slots) - 1)] != hashes).any()):
+            raise RuntimeError("the texts have changed since their n-grams were counted")
+        return -self.logs[at]
+
+
+def passages(codes: np.ndarray, surprise: np.ndarray) -> np.ndarray:
+    """Mean nats a word of each passage of PASSAGE words; what is left over belongs to the last one."""
+    ends = np.flatnonzero(codes[ORDER - 1 :] == 32) + 1
+    total = np.concatenate([[0.0], np.cumsum(surprise)])
+    cuts = np.append(np.arange(0, max(1, len(ends) // PASSAGE)) * PASSAGE, len(ends))
+    at = np.concatenate([[0], ends])[cuts]
+    return np.diff(total[at]) / np.diff(cuts)
+
+
+def measure(docs: DataFrame, folder: str, kind: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, the base counts, base_failed, nats (median of the passages), passages, and carry."""
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nats", "passages", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = PerplexityScorer(shared.value)
-        for b in batches:
-            langs, base, nats = b.column(2), [], []
-            for text, lang in zip(b.column(1), langs, strict=True):
-                text = text.as_py()
-                words = WORD.findall(text or "")
-                base.append(base_counts(text, words))
-                nats.append(scorer.mean(lang.as_py(), words))
-            cols = [pa.array([r[i] for r in base], pa.int64()) for i in range(5)]
-            failed = pa.array([base_failed(r[0], r[4]) for r in base], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), langs, *cols, failed, pa.array(nats, pa.float64()), *(b.column(i) for i in range(3, b.num_columns))], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nats", *carry])
-
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), *carry)
+        arrays = Arrays(folder)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                base, nats, each = [], [], []
+                for block, text, lang in zip(*(b.column(i) for i in range(3)), strict=True):
+                    text, lang = text.as_py(), lang.as_py()
+                    words = WORD.findall(text or "")
+                    base.append(base_counts(text, words))
+                    if words:
+                        c = stream(words)
+                        means = passages(c, arrays.surprise(block.as_py(), slots(c, lang)))
+                        nats.append(float(np.median(means)))
+                        each.append(means)
+                    else:
+                        nats.append(None)
+                        each.append([])
+                cols = [pa.array([r[i] for r in base], pa.int64()) for i in range(5)]
+                failed = pa.array([base_failed(r[0], r[4]) for r in base], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(2), *cols, failed, pa.array(nats, pa.float64()), pa.array(each, pa.list_(pa.float64())), *(b.column(i) for i in range(4, b.num_columns))], names=names)
+
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(src, run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nats double{kept}")
+    return map_arrow(docs.select("block", "text", "lang", "doc_id", *carry), run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nats double, passages array<double>{kept}")
 
 
-def bands(measured: DataFrame, width: float = 6.0, grain: float = 1e-3) -> dict[str, tuple[float, float]]:
-    """Of each language the lower and upper bound of nats.
+def bands(measured: DataFrame, width: float = 5.0, grain: float = 0.01) -> dict[str, tuple[float, float]]:
+    """Of each language the lower and upper bound of nats a word.
 
-    Quartiles of all rows that pass the base rules, read off a histogram whose bins are `grain`
-    wide; the band reaches `width` times the distance between the median and each quartile to
-    either side of the median, so it rejects outliers and no fixed share. A distance counts as one
-    bin at least: the histogram tells no smaller ones apart.
+    Quartiles of all passages of the rows that pass the base rules, read off a histogram whose bins
+    are `grain` wide; the band reaches `width` times the distance between the median and each
+    quartile to either side of the median, so it rejects outliers and no fixed share. A distance
+    counts as one bin at least: the histogram tells no smaller ones apart.
     """
-    bins = measured.where("not base_failed and nats is not null").groupBy("lang", F.round(F.col("nats") / grain).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()
+    each = measured.where("not base_failed").select("lang", F.explode("passages").alias("nats"))
+    bins = each.groupBy("lang", F.round(F.col("nats") / grain).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()
     by_lang: dict[str, list[tuple[int, int]]] = {}
     for r in bins:
         by_lang.setdefault(r["lang"], []).append((r["bin"], r["n"]))
@@ -279,19 +251,26 @@ def bands(measured: DataFrame, width: float = 6.0, grain: float = 1e-3) -> dict[
     return out
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, base counts, base_failed, perplexity, kept, and the columns in carry.
 
     kept is false where the base rules fail (fewer than 50 words, or over half the words in
-    repeated 3-word windows), else true where the perplexity a character lies in the band of the
+    repeated 3-word windows), else true where the perplexity a word lies in the band of the
     row's language. Rows with a null language form a language of their own. Null and empty texts
     have no words and fail; their perplexity is null. Repeated rows and null ids each keep their
-    row; other columns are not read. An empty table gives an empty result.
+    row; other columns are not read (carry may name none of this function's own columns). An empty
+    table gives an empty result.
+
+    `docs` is read twice and must give the same texts both times. Its rows should come straight
+    from files (a scan, filters, projections): a file's rows are a block. Rows that come from no
+    file form one block, whose distinct n-grams every task loads.
     """
-    prepare(docs.sparkSession)
-    measured = measure(docs, build_model(count_grams(docs, text_col, lang_col)), id_col, text_col, lang_col, carry).checkpoint()
-    limits = bands(measured, width)
+    spark = prepare(docs.sparkSession)
+    source = docs.select(F.xxhash64(F.input_file_name()).alias("block"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(id_col).alias("doc_id"), *carry)
+    folder = f"{address(spark)}/ngrams-{uuid.uuid4().hex}"
+    write_arrays(count_grams(source).checkpoint(), folder)
+    measured = measure(source, folder, docs.schema[id_col].dataType.simpleString(), carry).checkpoint()
     inside = F.lit(False)
-    for lang, (low, high) in sorted(limits.items()):  # as many branches as there are languages
+    for lang, (low, high) in sorted(bands(measured, width).items()):  # as many branches as there are languages
         inside = inside | ((F.col("lang") == lang) & F.col("nats").between(low, high))
-    return measured.withColumns({"kept": ~F.col("base_failed") & inside, "perplexity": F.exp("nats")}).drop("lang", "nats")
+    return measured.withColumns({"kept": ~F.col("base_failed") & inside, "perplexity": F.exp("nats")}).drop("lang", "nats", "passages")

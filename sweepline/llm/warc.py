@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, prepare, shared_folder
+from .common import address, map_arrow, prepare
 
 # Fixed values of the formats
 SKIPPABLE_DICTIONARY = 0x184D2A5D
@@ -306,5 +306,4 @@ def read_archives(spark: SparkSession, folder: str, strict: bool = True, with_pa
 
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder for archives in the shared one, as an address."""
-    base = shared_folder(spark)
-    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/warc-{uuid.uuid4().hex}"
+    return f"{address(spark)}/warc-{uuid.uuid4().hex}"
