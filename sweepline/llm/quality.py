@@ -1,8 +1,8 @@
 """Quality rules: plain counts, and language-specific bands of n-gram perplexity.
 
 The language model is a modified Kneser-Ney model over the characters of a text, one for each
-language: order five, words joined by single blanks, so that contexts reach across the borders of
-words. Spark counts every n-gram of every text; lower orders come from continuation counts,
+language: order five, lower case, digits as zeros, words joined by single blanks, so that contexts
+reach across the borders of words. Spark counts every n-gram of every text; lower orders come from continuation counts,
 discounts from counts of counts, and n-grams of three characters and more that were seen once are
 pruned (their mass goes to the back-off). What a text costs is given per word, by passages of 50
 words; the text's value is the median of its passages, so one odd passage condemns no text.
@@ -34,7 +34,7 @@ START = "\x02"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
 SHARDS = 16  # files an array is written in, so that a large input file is no hot key
-FLUSH = 2_000_000  # characters a task counts before it hands its counts on
+FLUSH = 4_000_000  # characters a task counts before it hands its counts on
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -66,8 +66,10 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def stream(words: list[str]) -> np.ndarray:
-    """Code points of the words, each followed by a blank, after ORDER - 1 marks."""
-    return np.frombuffer((START * (ORDER - 1) + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
+    """Code points of the lower-case words, each followed by a blank, after ORDER - 1 marks; digits are zeros."""
+    codes = np.frombuffer((START * (ORDER - 1) + " ".join(words).lower() + " ").encode("utf-32-le"), dtype="<u4").astype(np.uint32)
+    codes[(codes >= 48) & (codes < 58)] = 48
+    return codes
 
 
 def slots(codes: np.ndarray, lang: str) -> np.ndarray:
@@ -82,7 +84,10 @@ def slots(codes: np.ndarray, lang: str) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(block, lang, gram, slot, n) from (block, text, lang): n-grams of the highest order, of every text."""
+    """(block, lang, gram, slot, n) from (block, text, lang): n-grams of the highest order, of every text.
+
+    A task hands on counts of some millions of characters at a time: an n-gram has several rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list[np.ndarray]] = {}
@@ -116,8 +121,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from flush()
 
-    found = map_arrow(docs.select("block", "text", "lang"), run, "block long, lang string, gram string, slot long, n long")
-    return found.groupBy("block", "lang", "gram", "slot").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("block", "text", "lang"), run, "block long, lang string, gram string, slot long, n long")
 
 
 def _discount(counts: dict[int, int], k: int) -> tuple[float, float, float]:
@@ -141,24 +145,26 @@ def log_probs(counts: DataFrame) -> DataFrame:
     """
     spark = prepare(counts.sparkSession)
     top = counts.groupBy("lang", "gram", "slot").agg(F.sum("n").alias("c"))
-    tail = lambda k: F.substring("gram", ORDER - k + 1, k)
-    below = [F.struct(F.lit(k).alias("k"), tail(k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("left")) for k in range(1, ORDER)]
+    below = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("left")) for k in range(1, ORDER)]
     lower = top.select("lang", F.explode(F.array(*below)).alias("x")).select("lang", "x.*").distinct().groupBy("lang", "k", "gram").agg(F.count("*").alias("c"))
-    orders = top.select("lang", F.lit(ORDER).alias("k"), "gram", "c").unionByName(lower).checkpoint()
+    orders = top.withColumn("k", F.lit(ORDER)).unionByName(lower, allowMissingColumns=True).checkpoint()
     of: dict[tuple, dict[int, int]] = {}
     for r in orders.groupBy("lang", "k", F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect():
         of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
     rows = [(x, k, *_discount(c, k), 1.0 / (sum(of[x, 1].values()) + 1)) for (x, k), c in of.items()]
-    discounts = F.broadcast(spark.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double, bottom double"))  # ORDER rows a language
+    discounts = F.broadcast(spark.createDataFrame(rows, "lang string, order int, d1 double, d2 double, d3 double, bottom double"))  # ORDER rows a language
     cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    t = orders.join(discounts, ["lang", "k"]).withColumns({"cut": F.least(cut, F.col("c").cast("double")), "context": F.expr("substring(gram, 1, k - 1)")})
-    same = Window.partitionBy("lang", "k", "context")  # at most an alphabet of rows
-    t = t.select("lang", "k", F.col("gram").alias("tail"), "bottom", ((F.col("c") - F.col("cut")) / F.sum("c").over(same)).alias("seen"), (F.sum("cut").over(same) / F.sum("c").over(same)).alias("gamma"))
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), tail(k).alias("tail")) for k in range(1, ORDER + 1)])
-    chain = counts.select("lang", "gram", "slot").distinct().select("lang", "slot", F.explode(parts).alias("x")).select("lang", "slot", "x.*").join(t, ["lang", "k", "tail"])
-    chain = chain.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("k", "seen", "gamma"))).alias("chain"), F.max("bottom").alias("bottom"))
-    p = F.aggregate("chain", F.col("bottom"), lambda p, x: x["seen"] + x["gamma"] * p)
-    return chain.select("slot", F.log(p).cast("float").alias("logp"))
+    same = Window.partitionBy("lang", "context")  # at most an alphabet of rows
+    seen, gamma = (F.col("c") - F.col("cut")) / F.sum("c").over(same), F.sum("cut").over(same) / F.sum("c").over(same)
+    shorter = None
+    for k in range(1, ORDER + 1):
+        t = orders.where(F.col("k") == k).join(discounts.where(F.col("order") == k), "lang").withColumn("context", F.substring("gram", 1, k - 1))
+        t = t.withColumn("cut", F.least(cut, F.col("c").cast("double"))).select("lang", "gram", "slot", "bottom", seen.alias("seen"), gamma.alias("gamma"))
+        if shorter is not None:
+            t = t.withColumn("tail", F.substring("gram", 2, k - 1)).join(shorter, ["lang", "tail"])
+        p = F.col("seen") + F.col("gamma") * F.col("bottom" if shorter is None else "p")
+        shorter = t.select("lang", F.col("gram").alias("tail"), "slot", p.alias("p")) if k == ORDER else t.select("lang", F.col("gram").alias("tail"), p.alias("p"))
+    return shorter.select("slot", F.log("p").cast("float").alias("logp"))
 
 
 def write_arrays(counts: DataFrame, folder: str) -> None:
@@ -182,8 +188,8 @@ class Arrays:
 
             got = pq.read_table(f"{self.base}/block={block}", filesystem=self.store, columns=["slot", "logp"], partitioning=None)
             s, p = got["slot"].to_numpy(), got["logp"].to_numpy()
-            order = np.argsort(s)
-            self.slots, self.logs, self.block = s[order], p[order].astype(np.float64), block
+            self.slots, first = np.unique(s, return_index=True)
+            self.logs, self.block = p[first].astype(np.float64), block
         at = self.slots.searchsorted(hashes)
         if len(hashes) and (at[-1] >= len(self.slots) or (self.slots[np.minimum(at, len(self.slots) - 1)] != hashes).any()):
             raise RuntimeError("the texts have changed since their n-grams were counted")

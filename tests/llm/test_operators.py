@@ -136,12 +136,16 @@ def test_base_counts():
     assert not quality.base_failed(100, 50) and quality.base_failed(100, 51) and quality.base_failed(49, 0)
 
 
+def plain(text):
+    return re.sub("[0-9]", "0", text.lower())
+
+
 def plain_log_probs(texts, n=quality.ORDER):
     """The same model by dictionaries, for one language: n-gram -> log probability of its last character."""
     grams = [Counter()]
     for t in texts:
         if w := quality.WORD.findall(t or ""):
-            s = quality.START * (n - 1) + " ".join(w) + " "
+            s = quality.START * (n - 1) + plain(" ".join(w)) + " "
             grams[0].update(s[i : i + n] for i in range(len(s) - n + 1))
     for _ in range(n - 1):
         grams.append(Counter(g[1:] for g in grams[-1]))
@@ -170,7 +174,8 @@ def plain_nats(text, logs, n=quality.ORDER):
     w = quality.WORD.findall(text or "")
     if not w:
         return []
-    s, costs, at = quality.START * (n - 1) + " ".join(w) + " ", [], 0
+    s, costs, at = quality.START * (n - 1) + plain(" ".join(w)) + " ", [], 0
+    w = plain(" ".join(w)).split(" ")
     for word in w:
         costs.append(-sum(logs[s[i : i + n]] for i in range(at, at + len(word) + 1)))
         at += len(word) + 1
