@@ -34,7 +34,8 @@ START = "\x02"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
 SHARDS = 16  # files an array is written in, so that a large input file is no hot key
-FLUSH = 4_000_000  # characters a task counts before it hands its counts on
+FLUSH = 2_000_000  # characters whose n-grams a task sorts at a time
+HELD = 3_000_000  # distinct n-grams that a task holds
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -86,40 +87,62 @@ def slots(codes: np.ndarray, lang: str) -> np.ndarray:
 def count_grams(docs: DataFrame) -> DataFrame:
     """(block, lang, gram, slot, n) from (block, text, lang): n-grams of the highest order, of every text.
 
-    A task hands on counts of some millions of characters at a time: an n-gram has several rows.
+    A task adds up a block's counts while they fit in HELD entries: an n-gram may have several rows.
     """
+    names = ["block", "lang", "gram", "slot", "n"]
+
+    def merge(h: np.ndarray, n: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        return h[order[first]], np.add.reduceat(n[order], first), windows[order[first]]
+
+    def counted(texts: list[np.ndarray], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes = [slots(c, lang) for c in texts]
+        h = np.concatenate(hashes)
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        at = order[first]
+        # where each n-gram begins in the texts laid end to end
+        skip = np.repeat(np.arange(len(texts)) * (ORDER - 1), [len(x) for x in hashes])
+        return h[at], np.diff(np.append(first, len(h))), np.concatenate(texts)[(at + skip[at])[:, None] + np.arange(ORDER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], list[np.ndarray]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (block, lang), texts in held.items():
-                hashes = [slots(c, lang) for c in texts]
-                h = np.concatenate(hashes)
-                # where each n-gram begins in the texts laid end to end
-                skip = np.repeat(np.arange(len(texts)) * (ORDER - 1), [len(x) for x in hashes])
-                order = np.argsort(h)
-                first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-                at = order[first]
-                windows = np.concatenate(texts)[(at + skip[at])[:, None] + np.arange(ORDER)]
-                flat = windows.astype("<u4").tobytes().decode("utf-32-le")
-                grams = [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
-                n = np.diff(np.concatenate([first, [len(h)]]))
-                k = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array([lang] * k), pa.array(grams), pa.array(h[at]), pa.array(n)], names=["block", "lang", "gram", "slot", "n"])
+        texts: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        size, now = 0, None
+
+        def add_up() -> None:
+            for lang, got in texts.items():
+                new = counted(got, lang)
+                sums[lang] = merge(*(np.concatenate(x) for x in zip(sums[lang], new, strict=True))) if lang in sums else new
+            texts.clear()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for lang, (h, n, windows) in sums.items():
+                for i in range(0, len(h), 100_000):
+                    flat = windows[i : i + 100_000].astype("<u4").tobytes().decode("utf-32-le")
+                    grams = [flat[j : j + ORDER] for j in range(0, len(flat), ORDER)]
+                    k = len(grams)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, now)), pa.array([lang] * k), pa.array(grams), pa.array(h[i : i + k]), pa.array(n[i : i + k])], names=names)
+            sums.clear()
 
         for b in batches:
             for block, text, lang in zip(*(b.column(i) for i in range(3)), strict=True):
-                words = WORD.findall(text.as_py() or "")
-                if words:
+                if (block := block.as_py()) != now:
+                    add_up()
+                    yield from hand_on()
+                    now = block
+                if words := WORD.findall(text.as_py() or ""):
                     c = stream(words)
-                    held.setdefault((block.as_py(), lang.as_py()), []).append(c)
+                    texts.setdefault(lang.as_py(), []).append(c)
                     size += len(c)
                 if size > FLUSH:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+                    add_up()
+                    size = 0
+                    if sum(len(x[0]) for x in sums.values()) > HELD:
+                        yield from hand_on()
+        add_up()
+        yield from hand_on()
 
     return map_arrow(docs.select("block", "text", "lang"), run, "block long, lang string, gram string, slot long, n long")
 
