@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -46,6 +47,13 @@ def address(spark: SparkSession) -> str:
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder as a table and read back: lineage ends here, as with checkpoint()."""
+    path = f"{address(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

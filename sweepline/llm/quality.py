@@ -7,10 +7,10 @@ discounts from counts of counts, and n-grams of three characters and more that w
 pruned (their mass goes to the back-off). What a text costs is given per word, by passages of 50
 words; the text's value is the median of its passages, so one odd passage condemns no text.
 
-Nothing of the model passes the driver or is broadcast: of every input file the distinct n-grams
-are joined with the model and written to the shared folder as hash-ordered arrays, which the tasks
-that read that file load. Only the arrays move, never the texts, and each is as large as the
-distinct n-grams of one file.
+Nothing of the model passes the driver. It is written to the shared folder as arrays ordered by a
+64-bit hash, which the scoring tasks load: whole, where it has few enough entries; else cut to size,
+for every input file the n-grams that occur in it. Then only arrays move, never the texts, and each
+is as large as the distinct n-grams of one file.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, address, map_arrow, prepare
+from .common import WORD, address, map_arrow, prepare, written
 
 ORDER = 5
 PRUNED_FROM = 3  # from this length on, n-grams counted once are left to the back-off
@@ -158,19 +158,23 @@ def _discount(counts: dict[int, int], k: int) -> tuple[float, float, float]:
     return (1.0, *d[1:]) if k >= PRUNED_FROM else d
 
 
-def log_probs(counts: DataFrame) -> DataFrame:
-    """(slot, logp): of every n-gram in `counts` the log probability of its last character, backed off in full.
+def count_orders(counts: DataFrame) -> DataFrame:
+    """(lang, gram, slot, c, k): counts of the highest order; below it, of the characters before an n-gram (slot null)."""
+    top = written(counts.groupBy("lang", "gram", "slot").agg(F.sum("n").alias("c")))
+    below = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("left")) for k in range(1, ORDER)]
+    lower = top.select("lang", F.explode(F.array(*below)).alias("x")).select("lang", "x.*").distinct().groupBy("lang", "k", "gram").agg(F.count("*").alias("c"))
+    return written(top.withColumn("k", F.lit(ORDER)).unionByName(lower, allowMissingColumns=True))
+
+
+def log_probs(orders: DataFrame) -> DataFrame:
+    """(slot, logp): of every n-gram of the highest order the log probability of its last character, backed off in full.
 
     Modified Kneser-Ney: p(w|h) = (c - D(c)) / total + gamma(h) * p(w|h'), with gamma(h) the share
     of h that discounts have freed. Orders below the highest count the characters that an n-gram
     was seen after. All of it is joins and groupings of distinct n-grams; the driver gets the
     counts of counts, five numbers an order and language.
     """
-    spark = prepare(counts.sparkSession)
-    top = counts.groupBy("lang", "gram", "slot").agg(F.sum("n").alias("c"))
-    below = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("left")) for k in range(1, ORDER)]
-    lower = top.select("lang", F.explode(F.array(*below)).alias("x")).select("lang", "x.*").distinct().groupBy("lang", "k", "gram").agg(F.count("*").alias("c"))
-    orders = top.withColumn("k", F.lit(ORDER)).unionByName(lower, allowMissingColumns=True).checkpoint()
+    spark = prepare(orders.sparkSession)
     of: dict[tuple, dict[int, int]] = {}
     for r in orders.groupBy("lang", "k", F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect():
         of.setdefault((r["lang"], r["k"]), {})[r["c"]] = r["n"]
@@ -190,22 +194,35 @@ def log_probs(counts: DataFrame) -> DataFrame:
     return shorter.select("slot", F.log("p").cast("float").alias("logp"))
 
 
-def write_arrays(counts: DataFrame, folder: str) -> None:
-    """Of every block its distinct n-grams with their log probabilities, under folder/block=.../."""
-    met = counts.select("block", "slot").join(log_probs(counts), "slot")
-    met.repartition("block", F.pmod("slot", F.lit(SHARDS))).sortWithinPartitions("block", "slot").write.partitionBy("block").parquet(folder)
+def write_arrays(docs: DataFrame, folder: str, whole_model: int) -> bool:
+    """Count, build the model and write it under folder/block=.../; whether it is whole, as block 0.
+
+    With more than whole_model entries every block gets the n-grams that occur in it. The texts are
+    then read once more to find those.
+    """
+    orders = count_orders(count_grams(docs))
+    model = log_probs(orders)
+    whole = orders.where(F.col("k") == ORDER).count() <= whole_model
+    if whole:
+        met = model.withColumn("block", F.lit(0).cast("long"))
+    else:
+        met = count_grams(docs).select("block", "slot").join(model, "slot")
+    met.repartition("block", F.pmod("slot", F.lit(SHARDS))).write.partitionBy("block").parquet(folder)
+    return whole
 
 
 class Arrays:
-    """The arrays of one block at a time: hashes in ascending order, and log probabilities."""
+    """The arrays of one block at a time (of the only one, if the model is whole): hashes in ascending order, log probabilities."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, whole: bool):
         from pyarrow import fs
 
         self.store, self.base = fs.FileSystem.from_uri(folder)
+        self.whole = whole
         self.block: int | None = None
 
     def surprise(self, block: int, hashes: np.ndarray) -> np.ndarray:
+        block = 0 if self.whole else block
         if block != self.block:
             import pyarrow.parquet as pq
 
@@ -228,12 +245,12 @@ def passages(codes: np.ndarray, surprise: np.ndarray) -> np.ndarray:
     return np.diff(total[at]) / np.diff(cuts)
 
 
-def measure(docs: DataFrame, folder: str, kind: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def measure(docs: DataFrame, folder: str, whole_model: bool, kind: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, nats (median of the passages), passages, and carry."""
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nats", "passages", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = Arrays(folder)
+        arrays = Arrays(folder, whole_model)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
@@ -280,7 +297,7 @@ def bands(measured: DataFrame, width: float = 5.0, grain: float = 0.01) -> dict[
     return out
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, whole_model: int = 5_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, base counts, base_failed, perplexity, kept, and the columns in carry.
 
     kept is false where the base rules fail (fewer than 50 words, or over half the words in
@@ -290,15 +307,16 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     row; other columns are not read (carry may name none of this function's own columns). An empty
     table gives an empty result.
 
-    `docs` is read twice and must give the same texts both times. Its rows should come straight
-    from files (a scan, filters, projections): a file's rows are a block. Rows that come from no
-    file form one block, whose distinct n-grams every task loads.
+    `docs` is read more than once and must give the same texts each time. A task loads the model
+    whole while it has up to whole_model entries (16 bytes each), else the part that its input
+    file's texts need. Rows should then come straight from files (a scan, filters, projections):
+    those that come from no file count as one file.
     """
     spark = prepare(docs.sparkSession)
     source = docs.select(F.xxhash64(F.input_file_name()).alias("block"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(id_col).alias("doc_id"), *carry)
     folder = f"{address(spark)}/ngrams-{uuid.uuid4().hex}"
-    write_arrays(count_grams(source).checkpoint(), folder)
-    measured = measure(source, folder, docs.schema[id_col].dataType.simpleString(), carry).checkpoint()
+    whole = write_arrays(source, folder, whole_model)
+    measured = measure(source, folder, whole, docs.schema[id_col].dataType.simpleString(), carry).checkpoint()
     inside = F.lit(False)
     for lang, (low, high) in sorted(bands(measured, width).items()):  # as many branches as there are languages
         inside = inside | ((F.col("lang") == lang) & F.col("nats").between(low, high))

@@ -217,7 +217,7 @@ def test_model_equals_plain_kneser_ney(spark):
     rows = [r for r in corpus(30, words_each=60) if r[2] == "en"]
     src = docs(spark, rows).select(F.lit(1).cast("long").alias("block"), "text", "lang")
     counts = quality.count_grams(src)
-    got = {r.gram: r.logp for r in counts.join(quality.log_probs(counts), "slot").collect()}
+    got = {r.gram: r.logp for r in counts.join(quality.log_probs(quality.count_orders(counts)), "slot").collect()}
     want = plain_log_probs([r[1] for r in rows])
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-4) for g in want)
 
@@ -267,11 +267,12 @@ def test_quality_verdicts_equal_brute_force(spark):
 
 
 def test_quality_blocks_are_files(spark, tmp_path):
-    """Arrays written per input file give the verdicts that one block gives."""
+    """A model cut to size for each input file gives the verdicts that the whole one gives."""
     df = docs(spark, ordered_corpus(60) + ODD)
     df.repartition(5).write.parquet(f"{tmp_path}/d")
-    key = lambda d: sorted(map(str, quality.verdicts(d, carry=("source",)).collect()))
-    assert key(spark.read.parquet(f"{tmp_path}/d")) == key(df)
+    key = lambda d, n: sorted(map(str, quality.verdicts(d, whole_model=n, carry=("source",)).collect()))
+    want = key(df, 5_000_000)
+    assert key(spark.read.parquet(f"{tmp_path}/d"), 100) == want == key(df, 100)
 
 
 def test_bands_come_from_the_spread(spark):
