@@ -11,6 +11,7 @@ at the end of tokens, so the borders between pieces are forced cuts too.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 
 END = "</w>"
+LONG = 64  # symbols; longer fragments and pieces are merged by a heap, and not remembered
 # Fixed values, which must equal the tokenizer file's: white space, and the pattern of pieces
 # (letters first, which changes nothing: its branches differ in their first character). Letters are
 # those of the regex module's Unicode version; unassigned code points may differ from the library's.
@@ -76,6 +78,8 @@ class Bpe:
 
     def encode_fragment(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """Merge the leftmost pair of the lowest rank until no pair has one."""
+        if len(fragment) > LONG:
+            return self._encode_long(fragment)
         word, rank, never = list(fragment), self.rank.get, self.never
         ranks = [rank(p, never) for p in zip(word, word[1:], strict=False)]
         while ranks and (low := min(ranks)) < never:
@@ -88,6 +92,33 @@ class Bpe:
                 ranks[i] = rank((word[i], word[i + 1]), never)
         return tuple([self.ids[w] for w in word if w in self.ids])
 
+    def _encode_long(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+        """The same in n log n steps: a heap of (rank, position) over a linked list of symbols."""
+        n, rank, never = len(fragment), self.rank.get, self.never
+        word: list[str | None] = list(fragment)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        now = [rank(p, never) for p in zip(word, word[1:], strict=False)] + [never]  # of each position the rank of its pair
+        heap = [r * n + i for i, r in enumerate(now) if r < never]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if now[i] != r:
+                continue
+            j = after[i]
+            word[i] += word[j]
+            word[j], now[j] = None, never
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            now[i] = rank((word[i], word[k]), never) if k < n else never
+            if now[i] < never:
+                heapq.heappush(heap, now[i] * n + i)
+            if (h := before[i]) >= 0:
+                now[h] = rank((word[h], word[i]), never)
+                if now[h] < never:
+                    heapq.heappush(heap, now[h] * n + h)
+        return tuple([self.ids[w] for w in word if w in self.ids])
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         byte = self.byte
         symbols = [byte[b] for b in piece.encode()]
@@ -97,7 +128,9 @@ class Bpe:
             if (got := self.parts.get(f)) is None:
                 if len(self.parts) >= self.most:
                     self.parts.clear()
-                got = self.parts[f] = self.encode_fragment(f)
+                got = self.encode_fragment(f)
+                if len(f) <= LONG:
+                    self.parts[f] = got
             ids.extend(got)
         return tuple(ids)
 
@@ -108,7 +141,7 @@ class Bpe:
                 self.words.clear()
             ids = self.encode_piece(piece)
             got = ids, " ".join(map(str, ids)), self.decode(ids)
-            if len(piece) <= 64:
+            if len(piece) <= LONG:
                 self.words[piece] = got
         return got
 
