@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +25,26 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: Look-alikes of Latin letters in Cyrillic and Greek, in two aligned rows.
-LOOKALIKE = {ord(a): b for a, b in zip("аеіјорсухѕһԁԛԝкмнтвαεικνορτυχ", "aeijopcyxshdqwkmhtbaeikvoptux", strict=True)}
+# Letters of other scripts and their Latin look-alikes, in aligned rows.
+CYRILLIC = "авеікмнорстухѕјһԁԛԝьгпцңү", "abeikmhopctyxsjhdqwbrnuhy"
+GREEK = "αβγεζηικμνοπρστυχωϲϳ", "abyeznikuvonpotuxwcj"
+ARMENIAN = "ոսօհցգքզյ", "nuohgqpqj"
 #: Digits and signs that stand for letters, undone only inside a word that has a letter.
-SUBSTITUTE = str.maketrans("013457@$!|", "oieastasil")
+SUBSTITUTE = str.maketrans("0123456789@$!|", "oizeasgtbgasil")
+MARKS = re.compile("[\u0300-\u036f]+")
+
+
+def _lookalikes() -> dict[int, str]:
+    """Of the scripts above, and of Latin letters that Unicode names as one of a to z "with" something, small capitals and the like."""
+    out = {ord(a): b for rows in (CYRILLIC, GREEK, ARMENIAN) for a, b in zip(*rows, strict=True)}
+    named = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL)(?: SCRIPT| DOTLESS| OPEN| TURNED| REVERSED)? ([A-Z])(?: WITH .*)?")
+    for c in [*range(0xC0, 0x2B0), *range(0x1D00, 0x1E00), *range(0xA720, 0xA800), *range(0xAB30, 0xAB70)]:
+        if m := named.fullmatch(unicodedata.name(chr(c), "")):
+            out[c] = m[1].lower()
+    return out
+
+
+LOOKALIKE = _lookalikes()
 RUN = re.compile(r"[\w@$!|]+")
 PLAIN = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[0-9@$!|]")
@@ -41,7 +59,7 @@ def fold(text: str | None) -> str:
         return ""
     low = text.lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKC", low).translate(LOOKALIKE)
+        low = MARKS.sub("", unicodedata.normalize("NFKD", low)).translate(LOOKALIKE).lower()
     out = []
     for w in RUN.findall(low):
         if ODD.search(w):
@@ -87,7 +105,10 @@ class Matcher:
         for end, (size, weight) in self.auto.iter(folded):
             (calm if weight is None else hits).append((end - size + 1, end, weight))
         if calm:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in calm)]
+            calm.sort()
+            starts, reach = [c[0] for c in calm], list(accumulate((c[1] for c in calm), max))
+            # a phrase that begins no later and ends no earlier holds the hit
+            hits = [h for h in hits if not ((i := bisect_right(starts, h[0])) and reach[i - 1] >= h[1])]
         return sum(h[2] for h in hits) / (folded.count(" ") - 1) ** self.m.power, len(hits)
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -109,12 +130,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs_per_class: int = 4000, max_terms: int = 2000, stem: tuple[int, int] = (3, 8), least_docs: int = 3, least_weight: float = 2.0, least_support: float = 40.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs_per_class: int = 4000, stem: tuple[int, int] = (3, 8), least_docs: int = 3, least_weight: float = 2.0, least_support: float = 40.0) -> ToxicityModel:
     """Learn the lexicon, its weights, exception phrases and the curve from labelled rows.
 
     The sample is bounded: about max_docs_per_class documents of each class, chosen by a hash of
-    the id; at most max_terms patterns are kept. A term's weight is its log odds between the two
-    classes; terms whose likelihood ratio against chance is below least_support are left out. A stem stands in for the words that begin with it unless one word makes up nearly all
+    the id. Nothing else is capped: all terms of the sample that tell the classes apart enter the
+    lexicon. A term's weight is its log odds between the two classes; terms whose likelihood ratio
+    against chance is below least_support, or that fewer than least_docs toxic documents hold, are
+    left out. A stem stands in for the words that begin with it unless one word makes up nearly all
     of its uses. Ids that are null, or labelled both ways, are left out.
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -149,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = F.col("toxic") + F.col("clean")
     part = lambda c, k: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n[0] + n[1]) / (total * n[k]))).otherwise(0.0)
     support = 2 * (part("toxic", 1) + part("clean", 0))
-    # of two terms equally telling the better supported comes first; ties fall to the shorter, then by code point
-    found = counted.withColumn("weight", odds).where((F.col("toxic") >= least_docs) & (F.col("weight") >= least_weight) & (support >= least_support)).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.length("term"), "term").limit(20 * max_terms).collect()
+    found = counted.withColumn("weight", odds).where((F.col("toxic") >= least_docs) & (F.col("weight") >= least_weight) & (support >= least_support)).collect()  # terms of the bounded sample
     by_term = {r["term"]: (r["toxic"], r["clean"], r["weight"]) for r in found}
     blunt = set()  # stems that a longer term with half of their uses beats clearly
     for t, (toxic, _, weight) in by_term.items():
@@ -164,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 most_used[t[: k + 1]] = max(most_used.get(t[: k + 1], 0), toxic)
     lexicon: dict[str, float] = {}
     for t in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
-        if len(lexicon) >= max_terms or t in blunt or any(t[:k] in lexicon for k in range(2, len(t))):
+        if t in blunt or any(t[:k] in lexicon for k in range(2, len(t))):
             continue
         toxic, _, weight = by_term[t]
         if t.endswith(" ") or most_used.get(t, 0) < 0.9 * toxic:
@@ -189,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"phrase": keys, "clean": [seen[0][k] for k in keys], "toxic": [seen[1][k] for k in keys]})
 
     calm = map_arrow(sample, neighbours, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    calm = calm.where((F.col("clean") >= least_docs) & (F.col("clean") >= 4 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(max_terms)
+    calm = calm.where((F.col("clean") >= least_docs) & (F.col("clean") >= 4 * F.col("toxic"))).orderBy("phrase")
     model = ToxicityModel(lexicon, tuple(dict.fromkeys((*EXCEPTIONS, *(r["phrase"] for r in calm.collect())))))
     pairs = densities(sample, model, "y", "text").collect()  # about 2 * max_docs_per_class numbers
     model.slope, model.offset = _logistic(np.array([r["density"] for r in pairs]), np.array([r["doc_id"] for r in pairs], dtype=float))
