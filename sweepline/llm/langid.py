@@ -8,19 +8,19 @@ else four, and so on to one. The word scores of a text add up; a softmax makes t
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 
 
@@ -79,7 +79,8 @@ class Scorer:
 
 
 def _log_frequencies(rows: pa.Table, langs: list[str], smooth: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
-    """Row numbers of the keys, and their smoothed log frequency in each language; rows: lang, key, n."""
+    """Row numbers of the keys in ascending order, and their smoothed log frequency in each language; rows: lang, key, n."""
+    rows = rows.sort_by("key")
     keys = rows["key"].combine_chunks().dictionary_encode()
     counts = np.zeros((max(1, len(keys.dictionary)), len(langs)), dtype=np.float32)
     at = {x: i for i, x in enumerate(langs)}
@@ -88,20 +89,21 @@ def _log_frequencies(rows: pa.Table, langs: list[str], smooth: float = 0.5) -> t
     return index, np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(counts)))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 3000, max_words_per_lang: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs_per_lang: int = 3000, least_count: int = 2, longest: int = 5) -> LanguageModel:
     """Learn from labelled rows (null languages and texts are left out).
 
-    The sample is bounded: about max_docs_per_lang documents a language, chosen by a hash of the
-    text, so every run takes the same ones. The model is bounded too: the most frequent
-    max_words_per_lang words of each language, and max_grams n-grams of each length a language.
+    The sample is bounded: about max_docs_per_lang documents a language, chosen by a hash of id and
+    text, so every run takes the same ones. The model holds every word and n-gram that one language
+    of the sample has least_count times, so it is bounded by the sample; a word seen less often is
+    scored by its n-grams, like an unseen one.
     """
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], {}, np.zeros((1, 0)), [{}] * longest, [np.zeros((1, 0))] * longest, longest, np.zeros(0))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / sizes[k])))])
-    sample = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + 0.5) / 1e6 < share[F.col("lang")])
+    sample = labelled.where((F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) + 0.5) / 1e6 < share[F.col("lang")]).select("text", "lang")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,17 +123,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
                         seen[lang, padded[i : i + size]] += n
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())})
 
-    def top(df: DataFrame, key: str, most: int) -> pa.Table:
-        first = Window.partitionBy("lang").orderBy(F.desc("n"), key)
-        kept = df.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
-        return kept.select("lang", F.col(key).alias("key"), "n").toArrow()  # at most `most` rows a language
+    def known(df: DataFrame, key: str) -> pa.Table:
+        whole = F.max("n").over(Window.partitionBy(key))  # at most a row a language
+        kept = df.withColumn("most", whole).where(F.col("most") >= least_count)
+        return kept.select("lang", F.col(key).alias("key"), "n").toArrow()  # bounded by the sample
 
     words = map_arrow(sample, count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
-    index, scores = _log_frequencies(top(words, "word", max_words_per_lang), langs)
+    index, scores = _log_frequencies(known(words, "word"), langs)
     counted = map_arrow(words, count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.length("gram")).checkpoint()
     grams, gram_scores = [], []
     for n in range(longest, 0, -1):
-        i, s = _log_frequencies(top(counted.where(F.col("size") == n), "gram", max_grams), langs)
+        i, s = _log_frequencies(known(counted.where(F.col("size") == n), "gram"), langs)
         grams.append(i)
         gram_scores.append(s)
     total = sum(sizes.values())
