@@ -189,14 +189,18 @@ def read_archive(content: bytes) -> Iterator[Parsed | WarcError]:
             yield e
 
 
-def train_dictionary(pages: DataFrame, html_col: str = "html", sample_rows: int = 200, most_bytes: int = 32_768, size: int = 16_384) -> bytes:
+def train_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 200, most_bytes: int = 32_768, size: int = 16_384) -> bytes:
     """A dictionary from at most sample_rows pages of at most most_bytes each, chosen by a hash.
 
-    b'' where there are too few pages to train on. Pages beyond the bound are archived like all
+    Pages are thinned out before they are sorted, to some 3 * sample_rows of all, so that what
+    reaches the driver is bounded whatever the input. b'' where there are too few pages to train on. Pages beyond the bound are archived like all
     others; the dictionary only makes archives smaller.
     """
     html = F.col(html_col)
-    got = pages.where(F.octet_length(html).between(1, most_bytes)).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(sample_rows).collect()
+    small = pages.where(F.octet_length(html).between(1, most_bytes))
+    share = 3 * sample_rows / max(1, small.count())
+    chosen = (F.pmod(F.xxhash64(F.col(id_col), html), F.lit(1 << 40)) + 0.5) / float(1 << 40) < share
+    got = small.where(chosen).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(sample_rows).collect()
     samples = [record(i, None, r["html"].encode(), "A" * 32, None) for i, r in enumerate(got)]
     if len(samples) < 20:
         return b""
