@@ -126,6 +126,20 @@ def by_blocks(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | No
     return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), stream, schema)
 
 
+def join_keyed(big: DataFrame, small: DataFrame, key: str, n: str, total: int, hot_share: int = 10_000) -> DataFrame:
+    """big joined with small on key, where small holds every key of big at most once, and in column n how often.
+
+    Keys with more than a hot_share-th of all `total` rows number less than hot_share, whatever the
+    input: they are broadcast, so that no task gets all rows of one. The others meet by a shuffle.
+    """
+    hot = F.col(n) > total / hot_share
+    if total <= hot_share:
+        return big.join(small.drop(n), key)
+    few = F.broadcast(small.where(hot).drop(n))
+    rest = big.join(few.select(key), key, "left_anti").join(small.where(~hot).drop(n), key)
+    return big.join(few, key).unionByName(rest)
+
+
 def salted_blocks(df: DataFrame, keys: list[str], item: Column, pieces: Column) -> DataFrame:
     """Deal a group out to blocks of bounded size that together meet every pair once.
 

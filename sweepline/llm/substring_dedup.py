@@ -1,9 +1,10 @@
 """Removes passages that an earlier document already has, by hashing lines and sentences.
 
 A text is cut into units: at line ends, and inside a line after a sentence end once four words are
-together. Units are normalised (lower case, single blanks) and hashed. Of each digest the document
-of the lowest rank keeps its first occurrence. Runs of repeated units with enough words together
-are removed from all others; offsets refer to the original text.
+together, as lines of running text are whole paragraphs. Units are normalised (lower case, single
+blanks) and hashed. Of each digest the document of the lowest rank keeps its first occurrence. Runs
+of repeated units with enough words together are removed from all others; offsets refer to the
+original text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, prepare
+from .common import join_keyed, map_arrow, prepare, written
 
 BREAK = re.compile(r"[.!?]+(?=\s)|\n")
 LEAST_UNIT = 4
@@ -78,7 +79,7 @@ def _rank(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(LAST))
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text (what is left), n_units, n_removed_chars, removed.
 
     removed: array of (start, end), code-point offsets of the original text in ascending order.
@@ -87,30 +88,35 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     they take nothing from one another. Ties cannot arise otherwise. A null text stays null, an
     empty one empty; neither has units. An empty table gives no rows. Other columns are not read.
 
-    Digests have 64 bits and go together with the number of words; a lone collision removes nothing
-    unless the unit is part of a run with min_words words. Groups of equal digests are combined
-    before they are shuffled, and only one number per group is kept, so a line that a third of all
-    documents share costs no task more than its partition.
+    A passage is removed if its whole units make up min_words words; shorter ones, such as a heading
+    that many texts share, stay. Digests have 64 bits; a lone collision removes nothing unless the
+    unit is part of a run with min_words words. Groups of equal digests are combined before they
+    are shuffled, and only one row per group is kept. Digests that many documents share are few,
+    and are broadcast back to the documents, so a line that a third of all documents hold goes to
+    no single task. Rows are told apart by id and text, so null ids are no hot key either, unless
+    their texts are equal too.
     """
     prepare(docs.sparkSession)
-    src = docs.select(_rank(F.col(id_col)).alias("rank"), F.col(text_col).alias("text"))
+    src = docs.select(_rank(F.col(id_col)).alias("rank"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                ranks, digests = [], []
-                for r, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ranks, sames, digests = [], [], []
+                for r, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                     mine = {d for _, _, d, n in units(t.as_py()) if n}
                     ranks += [r] * len(mine)
+                    sames += [h] * len(mine)
                     digests += mine
-                yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(digests, pa.int64())], names=["rank", "digest"])
-
-    held = map_arrow(src, hashes, "rank long, digest long")
-    spread = held.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first")
-    again = held.join(spread, "digest").where("rank > first").groupBy("rank").agg(F.collect_set("digest").alias("again"))
-    text = docs.select(_rank(F.col(id_col)).alias("rank"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    marked = text.join(again, "rank", "left").select("doc_id", "text", "again", *carry)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ranks, sames, digests)], names=["rank", "same", "digest"])
+
+    held = written(map_arrow(src, hashes, "rank long, same long, digest long"))
+    spread = held.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n")
+    again = join_keyed(held, spread, "digest", "n", held.count()).where("rank > first")
+    again = again.groupBy("rank", "same").agg(F.collect_set("digest").alias("again"))
+    text = docs.select(_rank(F.col(id_col)).alias("rank"), F.xxhash64(text_col).alias("same"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    marked = text.join(again, ["rank", "same"], "left").select("doc_id", "text", "again", *carry)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
