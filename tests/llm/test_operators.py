@@ -3,13 +3,14 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepline.llm import bpe, chat, components, embed_dedup, jaccard_join, langid, mixing, quality, queries, substring_dedup, toxicity, warc
+from sweepline.llm import bpe, chat, common, components, embed_dedup, jaccard_join, langid, mixing, quality, queries, substring_dedup, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens string, rank int, node string"
 SYL = {"en": ["the", "ing", "tion", "er", "and", "st"], "de": ["sch", "ung", "ein", "der", "ä", "ich"], "fr": ["eau", "ment", "é", "les", "oi", "que"]}
@@ -56,6 +57,57 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert langid.Scorer(model).score("q")[0] in model.langs
 
 
+def test_language_letters(spark):
+    """Numbers that are letters to some rules are none here; a mark belongs to its letter."""
+    model = langid.fit(docs(spark, corpus(30)))
+    got = {r.doc_id: r for r in langid.predict(docs(spark, [(1, "½ ² Ⅷ ٣", None, None), (2, "_ 4 !", None, None), (3, "the Ⅷ", None, None)]), model).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (1, 2)] == [("und", 0.0)] * 2 and got[3].lang_pred in model.langs
+    assert langid.LETTERS.findall("हिन्दी ½x") == ["हिन्दी", "x"]
+
+
+def test_language_equals_brute_force(spark):
+    """Scores by dictionaries: log frequency of known words, of unseen ones the mean over their longest known n-grams."""
+    rows = corpus(60)
+    model = langid.fit(docs(spark, rows))
+    langs = sorted({r[2] for r in rows})
+    table = {x: Counter() for x in langs}
+    grams = {n: {x: Counter() for x in langs} for n in range(1, 6)}
+    for _, t, x, _ in rows:
+        for w in t.lower().split():
+            table[x][w] += 1
+            for n in range(1, 6):
+                grams[n][x].update(f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n))
+
+    def logs(counts):
+        keys = {k for c in counts.values() for k, v in c.items() if v >= 2}
+        total = {x: sum(c[k] for k in keys if c[k]) for x, c in counts.items()}
+        return {k: np.array([math.log((counts[x][k] + 0.5) / (total[x] + 0.5 * len(keys))) for x in langs]) for k in keys}
+
+    known, parts = logs(table), {n: logs(g) for n, g in grams.items()}
+    prior = np.array([math.log(sum(r[2] == x for r in rows) / len(rows)) for x in langs])
+    scorer = langid.Scorer(model)
+    for _, t, _, _ in [*corpus(20, seed=77), (0, "q", 0, 0), (0, "schtion unger", 0, 0)]:
+        total = prior.copy()
+        for w in t.lower().split():
+            if w in known:
+                total += known[w]
+                continue
+            for n in range(5, 0, -1):
+                if got := [parts[n][g] for i in range(len(w) + 3 - n) if (g := f"<{w}>"[i : i + n]) in parts[n]]:
+                    total += np.mean(got, axis=0)
+                    break
+        lang, score = scorer.score(t)
+        assert lang == langs[int(total.argmax())] and score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+
+
+def test_language_sample_tells_copies_apart(spark):
+    """One text in very many rows does not enter the bounded sample as a whole."""
+    rows = [(i, "the same the same", "en", "s") for i in range(3000)]
+    model = langid.fit(docs(spark, rows), max_docs_per_lang=300)
+    n = math.exp(model.word_scores[model.words["the"], 0])
+    assert "same" in model.words and 0 < n < 1
+
+
 def test_language_without_rows(spark):
     model = langid.fit(docs(spark, ODD[:1]))
     assert langid.predict(docs(spark, corpus(2)), model).first().lang_pred == "und"
@@ -82,6 +134,24 @@ def test_matcher_normalises_and_excepts():
     assert m.density("trash " + "a " * 99)[0] < m.density("trash a")[0] and m.density(None) == (0.0, 0)
 
 
+def test_matcher_equals_brute_force_and_stays_linear():
+    rng = random.Random(2)
+    model = toxicity.ToxicityModel({" bad ": 2.0, " aw": 1.0}, ("not bad", "bad luck", "awful nice day", "a bad b"), 0.5, 1.0, -2.0)
+    m = toxicity.Matcher(model)
+    for _ in range(300):
+        text = toxicity.fold(" ".join(rng.choice(["bad", "not", "luck", "awful", "nice", "day", "a", "b", "aware"]) for _ in range(rng.randrange(12))))
+        at = lambda x: [(i, i + len(x)) for i in range(len(text)) if text.startswith(x, i)]
+        calm = [s for e in model.exceptions for s in at(f" {e} ")]
+        want = sum(not any(a <= h[0] and h[1] <= b for a, b in calm) for x in model.lexicon for h in at(x))
+        assert m.density(text)[1] == want, text
+    began = time.process_time()
+    assert m.density("not bad " * 100_000)[1] == 0 and time.process_time() - began < 5
+
+
+def test_fold_undoes_marks_and_other_scripts():
+    assert toxicity.fold("ÏDÍÖT ıdıøt ᴛrash ＴＲＡＳＨ тrаsһ Հate 8ad wea2el") == " idiot idiot trash trash trash hate bad weazel "
+
+
 def test_toxicity_held_out(spark):
     out = queries.op2_toxicity(spark, "/root/testdata/sf0.01").where("held_out")
     truth = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
@@ -127,6 +197,23 @@ def test_bpe_cuts_are_certain():
         assert len(b.fragments(b._symbols(token))) == 1
 
 
+def test_bpe_long_pieces(spark):
+    """The heap gives what the plain way and the library give, in about linear time."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    lib, own = Tokenizer.from_file(path), bpe.load(path)
+    rng = random.Random(8)
+    for t in ("x" * 5000, "ab" * 3000, "".join(rng.choice("abcdeinrst") for _ in range(4000)), "!?" * 900 + "=" * 3000, "é" * 700, "".join(rng.choice("thenig") for _ in range(bpe.LONG + 1))):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    began = time.process_time()
+    own.encode("x" * 1_000_000)
+    assert time.process_time() - began < 20
+    rows = [(1, "x" * 200_000, None, None), (1, "x" * 200_000, None, None), (2, "a b", None, None), (2, "a b", None, None)]
+    got = Counter((r.doc_id, r.n_tokens) for r in bpe.encode(docs(spark, rows), path).collect())
+    assert got == {(1, len(lib.encode("x" * 200_000, add_special_tokens=False).ids)): 2, (2, 2): 2}
+
+
 # quality
 
 
@@ -282,7 +369,15 @@ def test_bands_come_from_the_spread(spark):
     assert got["de"] == pytest.approx((8.35, 8.45))
 
 
-# components
+# joins with hot keys, components
+
+
+def test_join_keyed_equals_a_join(spark):
+    big = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(400)], "k int, v int")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    want = sorted(map(tuple, big.join(small.drop("n"), "k").collect()))
+    for share in (4, 10, 1000):
+        assert sorted(map(tuple, common.join_keyed(big, small, "k", "n", 400, share).collect())) == want
 
 
 def test_components(spark):
@@ -422,18 +517,44 @@ def test_chat_frame(spark):
 # passages
 
 
-def plain_dedup(rows, min_words=8):
+def plain_units(text):
+    """Pieces that make up the text: up to a line end, or up to a full stop, question or exclamation mark before a blank once four words are there."""
+    out, piece = [], ""
+    for i, c in enumerate(text or ""):
+        piece += c
+        last = c in ".!?" and i + 1 < len(text) and text[i + 1].isspace()
+        if c == "\n" or (last and len(piece.split()) >= 4):
+            out.append(piece)
+            piece = ""
+    return out + [piece] * bool(piece)
+
+
+def plain_dedup(rows, min_words=25):
+    """Texts without the runs of units that stand in an earlier document, or earlier in the same one."""
+    key = lambda piece: " ".join(piece.split()).lower()
+    rank = lambda i: math.inf if i is None else i
     first = {}
-    for i, t in sorted((i if i is not None else substring_dedup.LAST, t) for i, t in rows):
-        for _, _, d, n in substring_dedup.units(t):
-            if n:
-                first.setdefault(d, i)
+    for i, t in rows:
+        for p in plain_units(t):
+            first[key(p)] = min(first.get(key(p), math.inf), rank(i))
     out = {}
     for i, t in rows:
-        rank = i if i is not None else substring_dedup.LAST
-        cut = substring_dedup.units(t)
-        known = {d for _, _, d, n in cut if n and first[d] < rank}
-        out[i] = substring_dedup.cut_out(t, substring_dedup.repeated_spans(cut, known, min_words)) if t else t
+        here, marked = set(), []
+        for p in plain_units(t):
+            k = key(p)
+            marked.append((p, None if not k else first[k] < rank(i) or k in here))
+            here.add(k)
+        text, run, blanks = "", [], []  # blank units between removed ones go with them
+        for p, again in [*marked, ("", False)]:
+            if again is None and run:
+                blanks.append(p)
+            elif again:
+                run += [*blanks, p]
+                blanks = []
+            else:
+                text += "".join(run) * (len("".join(run).split()) < min_words) + "".join(blanks) + p
+                run, blanks = [], []
+        out[i] = text if t else t
     return out
 
 
@@ -446,7 +567,7 @@ def test_passages_equal_brute_force(spark):
         if i % 4 == 0:
             own.insert(rng.randrange(6), passage)
         rows.append((i, rng.choice([" ", "\n", "\n\n"]).join(own), "fr", "s"))
-    rows += [(200, rows[3][1], "fr", "s"), (201, "One two three four five six. One two three four five six. One two three four five six.", "en", "s"), *ODD]
+    rows += [(200, rows[3][1], "fr", "s"), (201, "One two three four five six. " * 6, "en", "s"), (None, passage + " " + rows[0][1], "en", "s"), *ODD]
     got = {r.doc_id: r for r in substring_dedup.dedup_passages(docs(spark, rows), carry=("source",)).collect()}
     want = plain_dedup([(r[0], r[1]) for r in rows])
     assert {k: v.text for k, v in got.items()} == want
@@ -528,6 +649,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_dictionary_takes_a_bounded_sample(spark):
+    """Even of pages with one and the same html few reach the driver; a large payload goes through whole."""
+    df = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("<html>page "), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string"))).alias("html"))
+    df = df.union(spark.createDataFrame([(9000, "<p>" + "é" * 3_000_000)], "page_id long, html string"))
+    words_ = warc.train_dictionary(df, sample_rows=50)
+    folder = warc.new_folder(spark)
+    warc.write_archives(df, folder, url_col=None, dictionary=words_)
+    back = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
+    assert len(back) == 5001 and back[9000].payload_bytes == 6_000_003 and back[4].refers_to == 0
+
+
 def test_warc_damage():
     import zstandard
 

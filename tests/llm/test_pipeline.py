@@ -58,6 +58,25 @@ def test_repeated_rows_stay_single(spark):
     assert got.where("doc_id = 5").first().n == 1
 
 
+def test_odd_rows(spark):
+    """Null ids, sources and languages, repeated rows, a very long text, and columns with clashing names."""
+    docs, texts = build(spark)
+    odd = [(None, texts[7] + " one more", "en", None, 1), (None, None, None, None, 0), (9, texts[9], "en", "s1", 1), (9, texts[8] + " two", "en", "s1", 1), (900, " ".join(texts[10:60]), None, "s2", 1)]
+    df = docs.union(spark.createDataFrame(odd, docs.schema))
+    for c in ("id", "hash", "rank", "size", "key", "n", "block", "text_hash", "row_key"):
+        df = df.withColumn(c, F.lit("clash"))
+    for name, stage in p.STAGES:
+        df = stage(spark, df, "").checkpoint()
+        assert df.count() > 0, name
+        if name == "n-gram Jaccard join":
+            n = Counter(r.doc_id for r in df.collect())
+            assert n[9] == 2 and n[None] <= 1 and n[0] == 1
+        if name != p.STAGES[-1][0]:
+            assert df.columns == list(p.COLUMNS)
+            for c in ("id", "hash", "rank", "size", "key", "n"):
+                df = df.withColumn(c, F.lit("clash"))
+
+
 def test_empty(spark):
     docs, _ = build(spark)
     df = docs.limit(0)
