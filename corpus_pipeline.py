@@ -1,4 +1,9 @@
-"""Cleans a corpus and encodes it: quality rules, near copies, repeated passages, mixing, BPE."""
+"""Cleans a corpus and encodes it: quality rules, near copies, repeated passages, mixing, BPE.
+
+In every stage: columns of the input other than those of documents are not read, whatever their
+names; an empty table gives an empty one; a null source is a source of its own, a null language a
+language of its own. Each stage's docstring states the rest.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepline.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from sweepline.llm.common import shared_folder, table
+from sweepline.llm.common import shared_folder, table, written
 from sweepline.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +25,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose perplexity lies in their language's band."""
+    """Documents that pass the base rules and whose perplexity lies in their language's band.
+
+    Null and empty texts have no words and go. Very long texts are judged by the median of their
+    passages. Rows that repeat an id are judged each by its text; equal rows stay or go together,
+    null ids are ids like any other.
+    """
     keyed = _keyed(docs)
     passed = quality.verdicts(keyed, carry=("text_hash",)).where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
@@ -28,21 +38,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest id."""
-    kept = jaccard_join.join_similar(docs).where("kept").select(F.col("doc_id").alias("id"))
-    repeated = kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    out = docs.select(*COLUMNS).join(kept.distinct() if repeated else kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """One document of each group of similar ones: that with the smallest id.
+
+    Rows that repeat an id are dropped with it or stay with it, and of those equal in text as well
+    one stays. Null and empty texts, and rows with a null id, are like nothing and stay.
+    """
+    kept = written(jaccard_join.join_similar(docs).where("kept").select(F.col("doc_id").alias("id")))
+    once = kept.where("id is not null").distinct()
+    out = docs.select(*COLUMNS).join(once, F.col("doc_id") == F.col("id"), "left_semi")
+    if once.count() < kept.count():  # ids that repeat, or are null
+        out = out.dropDuplicates(["doc_id", "text"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    return out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that one of a smaller id has."""
+    """Every document without the passages that one of a smaller id has, or that it had before itself.
+
+    Every row stays, if with an empty text; a null text stays null. Rows of one id take nothing from
+    one another; null ids rank last. n_chars is counted anew.
+    """
     out = substring_dedup.dedup_passages(docs, carry=("lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document stands in it once for every pass that takes words of it, as a whole."""
+    """The mix: a document stands in it once for every pass that takes words of it, as a whole.
+
+    Null and empty texts have no words and are never taken. Rows are told apart by id and text;
+    equal rows stand for each other and share their passes. A null id is an id.
+    """
     keyed = docs.select(*COLUMNS).withColumn("row_key", F.concat_ws(":", "doc_id", F.xxhash64("text")))
     mixed = mixing.mix(keyed, id_col="row_key").where("taken > 0")
     times = mixed.groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("times"), F.count("*").alias("rows"))
@@ -53,7 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of every document of the mix."""
+    """doc_id, n_tokens and token ids of every row of the mix; null and empty texts have no tokens."""
     return bpe.encode(docs, tokenizer_path())
 
 
