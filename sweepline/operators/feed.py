@@ -68,10 +68,11 @@ def recovery_actions(polls: DataFrame) -> DataFrame:
     """All actions over a site's polls: each one moves the target that later ones start from.
 
     polls: site (string), seq, n_keys (new keys of the volume polled), newest (nullable), start (the
-    site's first target). One row per poll: site, seq, target, action, new_target. A site's polls
-    stream through in order; of those before, only target, empty and seen are held.
+    site's first target). One row per poll: site, seq, target, action, new_target, empty_polls (in a
+    row, this one included). A site's polls stream through in order; of those before, only target,
+    empty and seen are held.
     """
-    schema = pa.schema([("site", pa.string()), ("seq", pa.int64()), ("target", pa.int64()), ("action", pa.string()), ("new_target", pa.int64())])
+    schema = pa.schema([("site", pa.string()), ("seq", pa.int64()), ("target", pa.int64()), ("action", pa.string()), ("new_target", pa.int64()), ("empty_polls", pa.int64())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, target, empty, seen = object(), 0, 0, False
@@ -80,11 +81,12 @@ def recovery_actions(polls: DataFrame) -> DataFrame:
             for site, seq, n_keys, newest, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if site != last:
                     last, target, empty, seen = site, int(start), 0, False
-                before, action = target, "Continue"
+                before, action, count = target, "Continue", 0
                 if n_keys is not None and n_keys > 0:
                     empty, seen = 0, True
                 else:
                     empty += 1
+                    count = empty
                     if not seen and empty >= REANCHOR_AFTER:
                         ahead = max(int(newest) - 1, 0) if newest is not None else target
                         empty = 0
@@ -92,9 +94,9 @@ def recovery_actions(polls: DataFrame) -> DataFrame:
                             action, target = "ReAnchor", ahead
                     elif seen and empty >= STUCK_AFTER:
                         action, target, empty, seen = "Advance", target + 1, 0, False
-                out.append((site, seq, before, action, target))
+                out.append((site, seq, before, action, target, count))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     rows = polls.select("site", "seq", "n_keys", "newest", "start").repartition("site").sortWithinPartitions("site", F.asc_nulls_last("seq"))
-    return rows.mapInArrow(fold, "site string, seq long, target long, action string, new_target long")
+    return rows.mapInArrow(fold, "site string, seq long, target long, action string, new_target long, empty_polls long")

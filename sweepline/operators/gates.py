@@ -44,8 +44,8 @@ def mask_below(gates: DataFrame, product: str, threshold: float = 0.0) -> DataFr
     return gates.where((F.col("product") != product) | (F.col("value") >= threshold))
 
 
-def base_product(gates: DataFrame, product: str, palette: DataFrame) -> DataFrame:
-    """Calibrated and coloured gates of one product."""
+def base_product(gates: DataFrame, product: str) -> DataFrame:
+    """Calibrated and coloured gates of one product that has a palette."""
     from .grid import colorize
 
-    return colorize(flag_gates(calibrate(gates.where(F.col("product") == product))), palette)
+    return colorize(flag_gates(calibrate(gates.where(F.col("product") == product))), product)

@@ -160,7 +160,14 @@ def w15_next_action(spark, sf_dir):
     return feed.next_action(steps).select("event_id", "action", "new_target")
 
 
-@query()
+@query(cte("polls").replace("with ", "with recursive ", 1) + """, f(site, seq, target, action, new_target, empty_polls, empty, seen) as (
+select site, 0::bigint, start, 'Continue', start, 0::bigint, 0::bigint, false from polls where seq = 1
+union all select site, seq, new_target, case when jump then 'ReAnchor' when stuck then 'Advance' else 'Continue' end, case when jump then greatest(newest - 1, 0) when stuck then new_target + 1 else new_target end,
+  n, case when check_due or stuck then 0 else n end, case when stuck then false else seen or got end
+from (select *, check_due and coalesce(greatest(newest - 1, 0), new_target) > new_target as jump, not got and seen and n >= 60 as stuck
+  from (select f.site, p.seq, f.new_target, f.seen, p.newest, p.n_keys > 0 as got, case when p.n_keys > 0 then 0 else f.empty + 1 end as n, p.n_keys = 0 and not f.seen and f.empty + 1 >= 12 as check_due
+    from f join polls p on p.site = f.site and p.seq = f.seq + 1)))
+select site, seq, target, action, new_target, empty_polls from f where seq > 0""")
 def w15_recovery_actions(spark, sf_dir):
     return feed.recovery_actions(view(spark, sf_dir, "polls"))
 

@@ -13,9 +13,25 @@ GATES = cte("gates")
 VALUE = "case when raw >= 2 then (raw - \"offset\") / scale end"
 
 
-def _case(column: str, names: dict) -> str:
-    arms = " ".join(f"when {k} then '{v}'" for k, v in names.items())
-    return f"case {column} {arms} else 'Unknown(' || {column} || ')' end"
+# The oracles' own tables, written out apart from the package's so that an error in either one shows.
+STATUS_SQL = "case status when 0 then 'StartOfElevation' when 1 then 'Intermediate' when 2 then 'EndOfElevation' when 3 then 'StartOfVolume' when 4 then 'EndOfVolume' when 5 then 'StartOfLastElevation' else 'Unknown(' || status || ')' end"
+WAVEFORM_SQL = "case waveform when 1 then 'Contiguous Surveillance' when 2 then 'Contiguous Doppler with ambiguity resolution' when 3 then 'Contiguous Doppler' when 4 then 'Batch' when 5 then 'Staggered Pulse Pair' else 'Unknown(' || waveform || ')' end"
+CHANNEL_SQL = "case channel when 0 then 'Constant Phase' when 1 then 'Random Phase' when 2 then 'SZ2 Phase' else 'Unknown(' || channel || ')' end"
+SPACING_SQL = "case spacing when 1 then '0.5 deg' when 2 then '1.0 deg' else 'Unknown(' || spacing || ')' end"
+MESSAGE_SQL = """case {c} when 1 then 'Digital Radar Data (legacy)' when 2 then 'RDA Status Data' when 3 then 'Performance/Maintenance Data' when 5 then 'Volume Coverage Pattern' when 6 then 'RDA Control Commands' when 7 then 'Volume Coverage Pattern (RPG)'
+when 8 then 'Clutter Sensor Zones' when 9 then 'Request for Data' when 10 then 'Console Message' when 11 then 'Loop Back Test (RDA → RPG)' when 12 then 'Loop Back Test (RPG → RDA)' when 13 then 'Clutter Filter Bypass Map' when 15 then 'Clutter Filter Map'
+when 17 then 'RDA Adaptation Data' when 18 then 'RDA Adaptation Data (new)' when 20 then 'Spare' when 29 then 'User Selectable Parameters' when 31 then 'Digital Radar Data Generic Format (Message 31)' when 32 then 'Spare / Unknown' else 'Unknown(' || {c} || ')' end"""
+VCP_SQL = """case vcp when 11 then 'Severe Weather (14 sweeps, ~5 min)' when 12 then 'Severe Weather (14 sweeps, SAILS capable)' when 21 then 'Precipitation/Clear Air (~6 min)' when 31 then 'Clear Air (long PRI, ~10 min)' when 32 then 'Clear Air (short PRI)'
+when 35 then 'SAILS (6 sweeps, ~3.5 min)' when 80 then 'Maintenance/Test' when 112 then 'AVSET Severe Weather' when 121 then 'Precipitation, multiple PRF' when 212 then 'AVSET Precipitation' when 215 then 'AVSET Clear Air' else 'Unknown(' || vcp || ')' end"""
+SUPER_RES_SQL = "concat_ws(',', case when mask & 1 <> 0 then 'half_degree' end, case when mask & 2 <> 0 then 'doppler_300km' end, case when mask & 4 <> 0 then 'dual_pol' end, case when mask & 8 <> 0 then 'dual_pol_300km' end)"
+REFLECTIVITY_SQL = """when value >= 75 then '9854C6FF' when value >= 70 then 'F800FDFF' when value >= 65 then 'BC0000FF' when value >= 60 then 'D40000FF' when value >= 55 then 'FD0000FF' when value >= 50 then 'FD9500FF' when value >= 45 then 'E5BC00FF' when value >= 40 then 'FDF802FF'
+when value >= 35 then '008E00FF' when value >= 30 then '01C501FF' when value >= 25 then '02FD02FF' when value >= 20 then '0300F4FF' when value >= 15 then '019FF4FF' when value >= 10 then '04E9E7FF' when value >= 5 then '767676FF'"""
+VELOCITY_SQL = """when value >= 54 then 'C80000FF' when value >= 44 then 'FF0000FF' when value >= 34 then 'FF5000FF' when value >= 24 then 'FFA000FF' when value >= 14 then 'FFFF00FF' when value >= 4 then 'AAAA00FF' when value >= 1 then '646400FF' when value >= -1 then '646464FF'
+when value >= -4 then '006400FF' when value >= -14 then '00C850FF' when value >= -24 then '00FFB0FF' when value >= -34 then '00F0FFFF' when value >= -44 then '00A0FFFF' when value >= -54 then '0028FFFF' when value >= -64 then '0000C8FF'"""
+
+
+def _colour_sql(arms: str) -> str:
+    return f"case when raw = 1 then 'A0A0A0FF' when value is null then '00000000' {arms} else '00000000' end"
 
 
 def valued(spark, sf_dir):
@@ -45,7 +61,7 @@ def d13_gate_range(spark, sf_dir):
 CODES = "select event_id, cast(event_id % 8 as int) as status, cast(event_id % 7 as int) as waveform, cast(event_id % 4 as int) as channel, cast(event_id % 3 as int) as spacing, cast(event_id % 35 as int) as message, cast(event_id % 250 as int) as vcp, cast(event_id % 16 as int) as mask from "
 
 
-@query(f"with c as ({CODES} events) select event_id, {_case('status', codes.RADIAL_STATUS)} as status_label, {_case('waveform', codes.WAVEFORM)} as waveform_label, {_case('channel', codes.CHANNEL)} as channel_label, {_case('spacing', codes.SPACING)} as spacing_label, {_case('message', codes.MESSAGE_TYPE)} as message_label, {_case('vcp', codes.VCP)} as vcp_label, concat_ws(',', {', '.join(f'''case when mask & {1 << i} <> 0 then '{n}' end''' for i, n in enumerate(codes.SUPER_RES))}) as super_res from c")
+@query(f"with c as ({CODES} events) select event_id, {STATUS_SQL} as status_label, {WAVEFORM_SQL} as waveform_label, {CHANNEL_SQL} as channel_label, {SPACING_SQL} as spacing_label, {MESSAGE_SQL.format(c='message')} as message_label, {VCP_SQL} as vcp_label, {SUPER_RES_SQL} as super_res from c")
 def d14_label_codes(spark, sf_dir):
     df = spark.sql(CODES + "{events}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     out = codes.label_codes(df, status="status", waveform="waveform", channel="channel", spacing="spacing", message="message", vcp="vcp")
@@ -124,21 +140,21 @@ def s6_object_urls(spark, sf_dir):
     return rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "reason", "host", "key")
 
 
-@query(URLS + r", h as (select page_id, host, case when host is null then 'missing' when regexp_matches(host, '[@:/]') then 'not_a_bare_host' when host like '%.' then 'trailing_dot' when host not like '%.example.com' then 'not_listed' end as host_reason from s where regexp_matches(coalesce(host, ''), '^(|[a-z.]*)$')) select page_id, host, coalesce(host_reason, 'listed') as host_reason from h")
-def s7_allowlist(spark, sf_dir):
-    urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).where("coalesce(host, '') rlike '^(|[a-z.]*)$'").select("page_id", "host")
-    good, bad = rules.split_by_allow_table(urls, urls.where("host like '%.example.com'"))
-    return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
+HOSTS = URLS + r" select page_id, host, case when host is null then 'missing' when regexp_matches(host, '[@:/]') then 'not_a_bare_host' when host like '%.' then 'trailing_dot' when host not in (select host from s where regexp_matches(host, '^[a-z.]*\.example\.com$')) then 'not_listed' else 'listed' end as host_reason from s"
 
 
-@query(URLS + r" select page_id, host, case when host is null then 'missing' when regexp_matches(host, '[@:/]') then 'not_a_bare_host' when host like '%.' then 'trailing_dot' when host not in (select host from s where regexp_matches(host, '^[a-z.]*\.example\.com$')) then 'not_listed' else 'listed' end as host_reason from s")
-def s7_allowlist_all_hosts(spark, sf_dir):
-    """Every row, whatever its host looks like; the SQL of s7_allowlist leaves out odd hosts."""
+@query(HOSTS)
+def s7_allowlist(spark, sf_dir):
     urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host")
     good, bad = rules.split_by_allow_table(urls, urls.where(r"host rlike '^[a-z.]*\\.example\\.com$'"))
     return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
 
 
+@query(HOSTS)
+def s7_allowlist_all_hosts(spark, sf_dir):
+    return s7_allowlist(spark, sf_dir)
+
+
 @query("with t as (select event_id, props || ' ~*/é' || event_type as s from events) select event_id, replace(replace(url_encode(s), '+', '%20'), '%7E', '~') as query_value, replace(replace(replace(url_encode(s), '+', '%20'), '%7E', '~'), '%2F', '/') as path_value, '/?list-type=2&prefix=' || url_encode(event_type) || case when event_id % 2 = 0 then '&start-after=' || replace(replace(url_encode(s), '+', '%20'), '%7E', '~') else '' end as listing from t join events using (event_id)")
 def s8_percent_encode(spark, sf_dir):
     s = F.concat("props", F.lit(" ~*/é"), "event_type")
@@ -191,7 +207,7 @@ near as (select pt.*, n.radial_idx, n.radial_azimuth, n.distance from pt left jo
 
 
 def _near(spark, sf_dir):
-    points = spark.sql(POINTS + "{events}", events=spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("point_no", F.col("event_id"))
+    points = spark.sql(POINTS + "{events}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     radials = spark.sql(RADIAL_TABLE, g=view(spark, sf_dir, "gates"))
     return grid.nearest_radial(points, radials, ["site", "elevation_number"])
 
@@ -212,21 +228,23 @@ def j3_gate_at(spark, sf_dir):
     return out.select("event_id", "raw", "flag", F.round("value", 6).alias("value"))
 
 
-def _colour_sql(steps, value, raw):
-    arms = " ".join(f"when {value} >= {t} then '{grid.hex_colour(c)}'" for t, c in reversed(steps))
-    return f"case when {raw} = 1 then '{grid.hex_colour(grid.FOLDED)}' when {value} is null then '{grid.hex_colour(grid.CLEAR)}' {arms} else '{grid.hex_colour(grid.CLEAR)}' end"
-
-
-@query(GATES + f", v as (select *, {VALUE} as value from gates where product = 'DREF') select radial_idx, gate_idx, {_colour_sql(grid.REFLECTIVITY, 'value', 'raw')} as rgba from v")
+@query(GATES + f", v as (select *, {VALUE} as value from gates) select radial_idx, product, gate_idx, {_colour_sql(REFLECTIVITY_SQL)} as rgba from v where product = 'DREF' union all select radial_idx, product, gate_idx, {_colour_sql(VELOCITY_SQL)} from v where product = 'DVEL'")
 def j4_colorize(spark, sf_dir):
-    flagged = gates.flag_gates(gates.calibrate(view(spark, sf_dir, "gates").where("product = 'DREF'")))
-    return grid.colorize(flagged, grid.palette(spark, "DREF")).select("radial_idx", "gate_idx", "rgba")
+    flagged = gates.flag_gates(gates.calibrate(view(spark, sf_dir, "gates")))
+    out = None
+    for product in grid.PALETTES:
+        part = grid.colorize(flagged.where(F.col("product") == product), product).select("radial_idx", "product", "gate_idx", "rgba")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query(GATES + f", v as (select *, {VALUE} as value from gates where product = 'DVEL') select radial_idx, gate_idx, round(value, 6) as value, {_colour_sql(grid.VELOCITY, 'value', 'raw')} as rgba from v")
+@query(GATES + f", v as (select *, {VALUE} as value from gates) select radial_idx, product, gate_idx, round(value, 6) as value, {_colour_sql(REFLECTIVITY_SQL)} as rgba from v where product = 'DREF' union all select radial_idx, product, gate_idx, round(value, 6), {_colour_sql(VELOCITY_SQL)} from v where product = 'DVEL'")
 def g7_base_product(spark, sf_dir):
-    out = gates.base_product(view(spark, sf_dir, "gates"), "DVEL", grid.palette(spark, "DVEL"))
-    return out.select("radial_idx", "gate_idx", F.round("value", 6).alias("value"), "rgba")
+    out = None
+    for product in grid.PALETTES:
+        part = gates.base_product(view(spark, sf_dir, "gates"), product).select("radial_idx", "product", "gate_idx", F.round("value", 6).alias("value"), "rgba")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(cte("moments") + """, f as (select elevation_number, product, arg_min(gate_count, radial_idx) as gates from moments group by 1, 2), n as (select elevation_number, string_agg(product || ':' || gates, ',' order by product || ':' || gates) as moments from f group by 1),
@@ -247,7 +265,7 @@ def a4_moment_stats(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("valid_pct", "mean_value", "std_value")})
 
 
-@query(f"with m as (select cast(event_id % 35 as int) as msg_type from events) select msg_type, count(*) as n, case when grouping(msg_type) = 1 then 'Total' else {_case('msg_type', codes.MESSAGE_TYPE)} end as label from m group by rollup (msg_type)")
+@query(f"with m as (select cast(event_id % 35 as int) as msg_type from events) select msg_type, count(*) as n, case when grouping(msg_type) = 1 then 'Total' else {MESSAGE_SQL.format(c='msg_type')} end as label from m group by rollup (msg_type)")
 def a5_message_census(spark, sf_dir):
     return inspect.message_census(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 35).cast("int").alias("msg_type")))
 
@@ -285,36 +303,44 @@ def w17_path_segments(spark, sf_dir):
     return grid.path_segments(view(spark, sf_dir, "paths")).drop("layer")
 
 
-@query(cte("paths") + f""", sg as (select * from (select *, lead(lon) over w as nlon, lead(lat) over w as nlat, lead(point_idx) over w as more from paths window w as (partition by layer, part_id order by point_idx)) where more is not null),
-a as (select part_id, point_idx, nlat, nlon, round(400 + {XY.format(lat='lat', lon='lon')} * (400 / 460.0))::int as x0, round(400 - {YX.format(lat='lat', lon='lon')} * (400 / 460.0))::int as y0 from ({PROJECT.format(lat='lat', lon='lon')} sg)),
-b as (select part_id, point_idx, x0, y0, round(400 + {XY.format(lat='nlat', lon='nlon')} * (400 / 460.0))::int as x1, round(400 - {YX.format(lat='nlat', lon='nlon')} * (400 / 460.0))::int as y1 from ({PROJECT.format(lat='nlat', lon='nlon')} a))
+AT = """greatest(least(sin(radians(slat)) * sin(radians({lat})) + cos(radians(slat)) * cos(radians({lat})) * cos(radians({lon}) - radians(slon)), 1.0), -1.0)"""
+EAST = """case when acos({cc}) < 1e-10 then 1.0 else acos({cc}) / sin(acos({cc})) end * cos(radians({lat})) * sin(radians({lon}) - radians(slon)) * 6371.0"""
+NORTH = """case when acos({cc}) < 1e-10 then 1.0 else acos({cc}) / sin(acos({cc})) end * (cos(radians(slat)) * sin(radians({lat})) - sin(radians(slat)) * cos(radians({lat})) * cos(radians({lon}) - radians(slon))) * 6371.0"""
+
+
+def _pixel(sign: str, form: str, lat: str, lon: str) -> str:
+    return f"round(400 {sign} ({form.format(cc='(' + AT.format(lat=lat, lon=lon) + ')', lat=lat, lon=lon)}) * (400 / 460.0))::int"
+
+
+@query(cte("paths", "sites") + f""", st as (select name as site, 28 + abs(lat) % 15 as slat, -100 + abs(lon) % 22 as slon from sites),
+sg as (select * from (select *, lead(lon) over w as nlon, lead(lat) over w as nlat, lead(point_idx) over w as more from paths window w as (partition by layer, part_id order by point_idx)) where more is not null),
+b as (select site, part_id, point_idx, {_pixel('+', EAST, 'lat', 'lon')} as x0, {_pixel('-', NORTH, 'lat', 'lon')} as y0, {_pixel('+', EAST, 'nlat', 'nlon')} as x1, {_pixel('-', NORTH, 'nlat', 'nlon')} as y1 from sg, st)
 select * from b where not ((x0 < 0 and x1 < 0) or (x0 >= 800 and x1 >= 800) or (y0 < 0 and y1 < 0) or (y0 >= 800 and y1 >= 800))""")
 def g4_project_overlay(spark, sf_dir):
-    sites = spark.createDataFrame([("S0", 35.0, -90.0)], "site string, site_lat double, site_lon double")
-    return grid.project_overlay(view(spark, sf_dir, "paths"), sites, 460.0, 800).drop("site", "layer")
+    """Every station, moved to where the paths lie."""
+    sites = view(spark, sf_dir, "sites").select(F.col("name").alias("site"), (28 + F.abs("lat") % 15).alias("site_lat"), (-100 + F.abs("lon") % 22).alias("site_lon"))
+    return grid.project_overlay(view(spark, sf_dir, "paths"), sites, 460.0, 800).drop("layer")
 
 
-@query(cte("moments") + f""", cells as (select x, y, case when a < 0 then a + 360 else a end as azimuth_deg, r as range_km from (select x, y, degrees(atan2((x - 8) * 0.5, (8 - y) * 0.5)) as a, sqrt(((x - 8) * 0.5) ** 2 + ((8 - y) * 0.5) ** 2) as r from range(16) t(x), range(16) u(y)) where r <= 4.0),
-ra as ({RADIAL_TABLE.replace("{g}", "gates")} having min(site) = 'S1'), sw as (select distinct site, elevation_number from ra),
+PPI = cte("moments") + f""", cells as (select x, y, case when a < 0 then a + 360 else a end as azimuth_deg, r as range_km from (select x, y, degrees(atan2((x - 8) * 0.5, (8 - y) * 0.5)) as a, sqrt(((x - 8) * 0.5) ** 2 + ((8 - y) * 0.5) ** 2) as r from range(16) t(x), range(16) u(y)) where r <= 4.0),
+ra as ({RADIAL_TABLE.replace("{g}", "gates")}),
 d as (select c.*, ra.site, ra.elevation_number, ra.radial_idx, abs(c.azimuth_deg - ra.azimuth_deg) as d0, (c.azimuth_deg - ra.azimuth_deg) - 360 * floor((c.azimuth_deg - ra.azimuth_deg) / 360) as turn from cells c, ra),
 e as (select *, case when d0 > 180 then 360 - d0 else d0 end as distance, turn > 0 and turn < 180 as below from d),
 n as (select * from (select *, row_number() over (partition by site, elevation_number, x, y order by distance, below desc, case when below then -radial_idx else radial_idx end) as rn from e where distance <= 1.0) where rn = 1),
 ga as (select n.*, trunc((range_km - 2.125) / 0.25)::int as gate, m.raw as gates, m.gate_count, m.scale, m.offset as off from n left join moments m on m.site = n.site and m.elevation_number = n.elevation_number and m.radial_idx = n.radial_idx and m.product = 'DREF'),
 gb as (select *, case when gate >= 0 and gate < gate_count then gates[gate + 1] end as raw from ga), gv as (select *, case when raw >= 2 then (raw - off) / scale end as value from gb),
-gc as (select site, elevation_number, x::int as x, y::int as y, round(value, 6) as value, {_colour_sql(grid.REFLECTIVITY, 'value', 'raw')} as rgba from gv) select * from gc where rgba <> '00000000'""")
-def g3_ppi_grid(spark, sf_dir):
-    return _ppi_grid(spark, view(spark, sf_dir, "gates").where("site = 'S1'"), view(spark, sf_dir, "moments").where("site = 'S1'"))
+gc as (select site, elevation_number, x::int as x, y::int as y, round(value, 6) as value, {_colour_sql(REFLECTIVITY_SQL)} as rgba from gv) select * from gc where rgba <> '00000000'"""
 
 
-def _ppi_grid(spark, g, moments):
-    out = grid.ppi_grid(spark.sql(RADIAL_TABLE, g=g), moments, "DREF", 4.0, 16, ["site", "elevation_number"])
+@query(PPI)
+def g3_ppi_grid(spark, sf_dir):
+    out = grid.ppi_grid(spark.sql(RADIAL_TABLE, g=view(spark, sf_dir, "gates")), view(spark, sf_dir, "moments"), "DREF", 4.0, 16, ["site", "elevation_number"])
     return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")
 
 
-@query()
+@query(PPI)
 def g3_ppi_grid_all_sites(spark, sf_dir):
-    """Every sweep of every site; the SQL of g3_ppi_grid covers one site."""
-    return _ppi_grid(spark, view(spark, sf_dir, "gates"), view(spark, sf_dir, "moments"))
+    return g3_ppi_grid(spark, sf_dir)
 
 
 BINNED = GATES + f""", v0 as (select *, round(elevation_deg, 1) as angle, {VALUE} as value, first_gate_m / 1000.0 + gate_idx * gate_width_m / 1000.0 as range_km from gates where product = 'DREF'),

@@ -48,7 +48,7 @@ def test_listing(spark):
 
 
 def test_registry(spark, tmp_path):
-    from sweepline.sources.registry import NAMES
+    NAMES = ("ncdcid", "icao", "wban", "name", "country", "state", "county", "lat", "lon", "elev_ft", "utc", "stntype")
 
     bounds = [(0, 8), PLACES["icao"], (14, 19), PLACES["name"], (51, 71), PLACES["state"], (75, 105), PLACES["lat"], PLACES["lon"], PLACES["elev_ft"], (134, 139), PLACES["stntype"]]
 
@@ -160,4 +160,10 @@ def test_recovery_streams_through_small_batches(spark):
         got = out.where("action <> 'Continue'").orderBy("site", "seq").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert [tuple(r) for r in got] == [(s, *x) for s in "KL" for x in [(11, 10, "ReAnchor", 29), (72, 29, "Advance", 30)]]
+    assert [tuple(r) for r in got] == [(s, *x) for s in "KL" for x in [(11, 10, "ReAnchor", 29, 12), (72, 29, "Advance", 30, 60)]]
+
+
+def test_product_maps(spark):
+    df = spark.sql("select map('DREF', 1, 'DSW', 2) as m union all select map() union all select null")
+    got = df.select(codes.product_keys(F.col("m")), codes.has_product(F.col("m"), F.lit("sw")), codes.has_product(F.col("m"), F.lit("nope")), codes.product_of(F.col("m"), F.lit("REF")), codes.product_of(F.col("m"), F.lit("VEL"))).collect()
+    assert [tuple(r) for r in got] == [(["DREF", "DSW"], True, False, 1, None), ([], False, False, None, None), (None, None, None, None, None)]
