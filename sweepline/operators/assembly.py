@@ -42,10 +42,10 @@ def placed_radials(radials: DataFrame, epochs: DataFrame) -> DataFrame:
     of = epochs.where("kind <> 'S'").select("site", "chunk_no", "epoch")
     inside = Window.partitionBy("site", "epoch")
     out = radials.join(of, ["site", "chunk_no"]).withColumn("pos", F.row_number().over(inside.orderBy("chunk_no", "radial_idx")))
-    # a few rows per epoch: where each elevation begins, closes, and is followed by a new one
-    spans = out.groupBy("site", "epoch", "elevation_number").agg(F.min("pos").alias("first_pos"), F.min(F.when(F.col("radial_status").isin(*CLOSING), F.col("pos"))).alias("close_at"))
-    spans = spans.withColumn("next_first", F.lead("first_pos").over(inside.orderBy("first_pos")))
-    out = out.join(spans, ["site", "epoch", "elevation_number"])
+    # where each elevation begins, closes, and is followed by a new one: all by the epoch's partitioning
+    each = Window.partitionBy("site", "epoch", "elevation_number")
+    out = out.withColumns({"first_pos": F.min("pos").over(each), "close_at": F.min(F.when(F.col("radial_status").isin(*CLOSING), F.col("pos"))).over(each)})
+    out = out.withColumn("next_first", F.min("first_pos").over(inside.orderBy("first_pos").rangeBetween(1, Window.unboundedFollowing)))
     complete = F.col("close_at").isNotNull() & (F.col("next_first").isNull() | (F.col("close_at") < F.col("next_first")))
     out = out.withColumn("complete", complete)
     accepted = F.when(F.col("complete"), F.col("pos") <= F.col("close_at")).otherwise(F.col("next_first").isNull() | (F.col("pos") < F.col("next_first")))

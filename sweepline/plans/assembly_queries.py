@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly, feed, inspect, state
+from ..runtime import written
 from .adapters import cte, view
 from .registry import query
 
@@ -13,17 +14,17 @@ TIMEOUT = "14 hours"  # events lie far apart; tests use 12 minutes
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(epochs, placed radials) of the events. Both are read several times, so Spark keeps them."""
+    """(epochs, placed radials) of the events. Both are read several times, so they are written once."""
     radials = view(spark, sf_dir, "radials").where("kind <> 'S'").drop("kind", "msg5_vcp")
-    epochs = assembly.volume_epochs(view(spark, sf_dir, "chunks"), TIMEOUT).persist()
-    return epochs, assembly.placed_radials(radials, epochs).persist()
+    epochs = written(assembly.volume_epochs(view(spark, sf_dir, "chunks"), TIMEOUT))
+    return epochs, written(assembly.placed_radials(radials, epochs))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembly events for the state operators; a volume is its epoch, made late now and then."""
     epochs, placed = assembled(spark, sf_dir)
     events = assembly.assembly_events(epochs, placed)
-    return events.withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0)).persist()
+    return written(events).withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0))
 
 
 EPOCHS = cte("chunks") + f""",

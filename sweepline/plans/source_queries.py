@@ -47,6 +47,66 @@ def a6_chunk_sizes(spark, sf_dir):
     return counts.join(sizes, ["site", "volume_seq", "chunk_no"])
 
 
+def volume_bytes(spark, sf_dir) -> DataFrame:
+    """S, I and E chunks of the events' radials, with RVOL and RRAD blocks and the pattern that an S announces."""
+    r = view(spark, sf_dir, "radials")
+    r = r.select("site", F.col("vol_no").alias("volume_seq"), "chunk_no", "kind", F.col("site").alias("site_id"), "julian_date", F.col("event_id").alias("scan_time_ms"), "azimuth_deg", "elevation_deg", (F.col("radial_idx") + 1).alias("azimuth_number"), F.lit(2).alias("azimuth_spacing_code"), "radial_status", "elevation_number", F.lit(None).cast("array<struct<product:string>>").alias("moments"), "rvol_vcp", "latitude", "longitude", "site_amsl_m", "unamb_range", "nyquist", "msg5_vcp")
+    each = F.struct(F.col("cut").alias("cut"), "elevation_deg", (F.col("cut") % 3).alias("channel_config"), "waveform", (F.col("cut") % 16).alias("super_res"))
+    cuts = view(spark, sf_dir, "cuts").groupBy("vcp_number").agg(F.transform(F.array_sort(F.collect_list(each)), lambda c: F.struct(c["elevation_deg"].alias("elevation_deg"), c["channel_config"].alias("channel_config"), c["waveform"].alias("waveform"), c["super_res"].alias("super_res"))).alias("cuts"))
+    said = r.where("kind = 'S' and msg5_vcp is not null").groupBy("site", "volume_seq", "chunk_no").agg(F.max("msg5_vcp").alias("vcp_number"))
+    return encode.encode_chunks(r.drop("msg5_vcp"), vcps=said.join(cuts, "vcp_number"))
+
+
+@query(cte("radials") + """ select site, vol_no as volume_seq, chunk_no::int as chunk_no, kind, event_id as scan_time_ms, elevation_number, case when nyquist is not null then unamb_range end as unamb_range, nyquist,
+latitude, longitude, site_amsl_m, rvol_vcp as vcp_number from radials""")
+def d7_site_and_radial_constants(spark, sf_dir):
+    out = chunks.radials(chunks.decode(volume_bytes(spark, sf_dir)))
+    p = F.col("site_parameters")
+    return out.select("site", "volume_seq", "chunk_no", "kind", "scan_time_ms", "elevation_number", *[F.col(c).cast("double").alias(c) for c in ("unamb_range", "nyquist")], *[p[c].cast("double").alias(c) for c in ("latitude", "longitude")], p["site_amsl_m"].alias("site_amsl_m"), p["vcp_number"].alias("vcp_number"))
+
+
+@query(cte("radials", "cuts") + """, s as (select site, vol_no, chunk_no, max(msg5_vcp) as vcp_number from radials where kind = 'S' and msg5_vcp is not null group by 1, 2, 3)
+select site, vol_no as volume_seq, chunk_no::int as chunk_no, vcp_number, cut, round(round(elevation_deg * 65536 / 360) * 360 / 65536, 5) as elevation_deg, cut % 3 as channel_config, waveform, cut % 16 as super_res from s join cuts using (vcp_number)""")
+def d9_decode_vcp(spark, sf_dir):
+    out = chunks.vcp_cuts(chunks.vcps(chunks.decode(volume_bytes(spark, sf_dir))))
+    return out.withColumn("elevation_deg", F.round(F.col("elevation_deg").cast("double"), 5))
+
+
+@query("""with s as (select s_suppkey, s_name, case when s_suppkey % 4 = 3 then 'TDWR' else 'NEXRAD' end as kind, s_suppkey % 90 as lat, -(s_suppkey % 180) as lon, s_suppkey * 7 % 9000 as feet from supplier)
+select 'K' || lpad(s_suppkey::varchar, 3, '0') as id, s_name as name, 'ST' as state, lat + 0.25e0 as lat, lon - 0.5e0 as lon, round_even(feet * 0.3048, 0)::int as elevation_m from s where kind = 'NEXRAD' and s_suppkey < 1000""")
+def s9_station_registry(spark, sf_dir):
+    """A station export made of the suppliers, written as text and read back."""
+    from ..runtime import shared_path
+    from ..sources.registry import PLACES, read_station_registry
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 1000")  # ids have four places
+    n = F.col("s_suppkey")
+    values = {
+        "icao": F.concat(F.lit("K"), F.lpad(n.cast("string"), 3, "0")), "name": F.col("s_name"), "state": F.lit("ST"), "lat": (n % 90 + 0.25).cast("string"), "lon": (-(n % 180) - 0.5).cast("string"),
+        "elev_ft": (n * 7 % 9000).cast("string"), "stntype": F.when(n % 4 == 3, "TDWR").otherwise("NEXRAD"),
+    }
+    parts, ruler, at = [], "", 0
+    for name, (a, b) in PLACES.items():
+        parts += [F.lit(" " * (a - at)), F.rpad(values[name], b - a, " ")]
+        ruler += " " * (a - at) + "-" * (b - a)
+        at = b
+    rows = s.select(F.concat(*parts).alias("value"))
+    path = shared_path(spark, "stations")
+    rows.unionByName(spark.createDataFrame([("the header",), (ruler,)], "value string")).write.text(path)
+    return read_station_registry(spark, path)
+
+
+@query(cte("radials") + " select site, strftime(ts, '%Y-%m-%d') as volume_date, event_id, elevation_number from radials")
+def s10_write_table(spark, sf_dir):
+    from ..runtime import shared_path
+    from ..sources.tables import write_table
+
+    path = shared_path(spark, "radials")
+    rows = view(spark, sf_dir, "radials").select("site", F.date_format("ts", "yyyy-MM-dd").alias("volume_date"), "event_id", "elevation_number")
+    write_table(rows, path)
+    return spark.read.parquet(path).select("site", F.date_format("volume_date", "yyyy-MM-dd").alias("volume_date"), "event_id", "elevation_number")
+
+
 BYTES = {
     "spark": "case event_id % 6 when 0 then encode(concat('AR2V0006.', 'xxx', repeat('y', 20)), 'UTF-8') when 1 then concat(unhex('000003E8'), encode('BZh91AY', 'UTF-8')) when 2 then concat(unhex('FFFFFC18'), encode('BZh91AY', 'UTF-8')) when 3 then unhex('0000') when 4 then encode(repeat('z', 40), 'UTF-8') else concat(encode(repeat('h', 28), 'UTF-8'), encode('BZh91AY', 'UTF-8')) end",
     "duck": "case event_id % 6 when 0 then 'S' when 1 then 'I' when 2 then 'E' when 5 then 'S' end",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors see (spark.checkpoint.dir).
+
+    Only where that is unset (tests, a notebook) does the session get a temporary folder of its own.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepline-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as a table to the shared folder and read back: what reads them often reads that."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)

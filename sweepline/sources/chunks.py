@@ -107,20 +107,19 @@ def decompress(content: bytes, kind: str, limit: int = LIMIT) -> bytes:
     for a, b in spans:
         if b > len(content):
             raise ChunkError("TooShort")
-        rest = content[a:b]
-        while rest:  # a block is a bzip2 stream; several may follow one another
-            d = bz2.BZ2Decompressor()
-            try:
-                part = d.decompress(rest, left + 1)
-            except (OSError, EOFError) as e:
-                raise ChunkError("Decompression") from e
-            if len(part) > left:
-                raise ChunkError("DecompressedTooLarge")
-            if not d.eof:
-                raise ChunkError("Decompression")
-            out.append(part)
-            left -= len(part)
-            rest = b""
+        if a == b:
+            continue
+        d = bz2.BZ2Decompressor()  # a block is one bzip2 stream; what follows it in the block is not read
+        try:
+            part = d.decompress(content[a:b], left + 1)
+        except (OSError, EOFError) as e:
+            raise ChunkError("Decompression") from e
+        if len(part) > left:
+            raise ChunkError("DecompressedTooLarge")
+        if not d.eof:
+            raise ChunkError("Decompression")
+        out.append(part)
+        left -= len(part)
     return b"".join(out)
 
 
