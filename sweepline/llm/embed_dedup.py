@@ -9,6 +9,7 @@ forest of its links, both no larger than the leaf.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,10 @@ from .common import by_blocks, map_arrow, prepare, salted_blocks
 from .components import components
 
 
+#: Most bytes of a forest's directions, which are broadcast: 256 MB.
+FOREST_BYTES = 256 << 20
+
+
 @dataclass
 class Node:
     direction: np.ndarray | None = None
@@ -56,25 +61,34 @@ class Forest:
         return [np.array(sorted(f), dtype=np.int32) for f in found]
 
 
-def grow(sample: np.ndarray, n_trees: int, leaf_rows: int, rows_per_sample: float, spill: float, seed: int) -> Forest:
-    """Trees over a sample; a node is split while it stands for more than leaf_rows rows."""
+def grow(sample: np.ndarray, n_trees: int, leaf_rows: int, rows_per_sample: float, spill: float, seed: int, forest_bytes: int = FOREST_BYTES) -> Forest:
+    """Trees over a sample; a node is split while it stands for more than leaf_rows rows.
+
+    Level by level, so that the forest stays whole where the bound on its directions' bytes ends it.
+    """
     rng = np.random.default_rng(seed)
     ids = iter(range(1 << 31))
-
-    def build(rows: np.ndarray) -> Node:
-        if len(rows) * rows_per_sample <= leaf_rows or len(rows) < 8:
-            return Node(leaf=next(ids))
-        for _ in range(3):
-            w = rng.standard_normal(sample.shape[1])
-            w /= np.linalg.norm(w)
-            p = sample[rows] @ w
-            cut = float(np.quantile(p, rng.uniform(0.4, 0.6)))
-            low, high = rows[p <= cut + spill], rows[p >= cut - spill]
-            if max(len(low), len(high)) < 0.9 * len(rows):
-                return Node(w, cut, build(low), build(high))
-        return Node(leaf=next(ids))  # all rows lie close together: they are compared as they are
-
-    trees = [build(np.arange(len(sample))) for _ in range(n_trees)]
+    trees = []
+    for _ in range(n_trees):
+        left = forest_bytes // (8 * n_trees * max(1, sample.shape[1]))
+        root = Node()
+        front = deque([(root, np.arange(len(sample)))])
+        while front:
+            node, rows = front.popleft()
+            for _ in range(3 if left and len(rows) * rows_per_sample > leaf_rows and len(rows) >= 8 else 0):
+                w = rng.standard_normal(sample.shape[1])
+                w /= np.linalg.norm(w)
+                p = sample[rows] @ w
+                cut = float(np.quantile(p, rng.uniform(0.4, 0.6)))
+                low, high = rows[p <= cut + spill], rows[p >= cut - spill]
+                if max(len(low), len(high)) < 0.9 * len(rows):
+                    node.direction, node.cut, node.low, node.high = w, cut, Node(), Node()
+                    front += [(node.low, low), (node.high, high)]
+                    left -= 1
+                    break
+            else:  # small enough, or all rows lie close together: they are compared as they are
+                node.leaf = next(ids)
+        trees.append(root)
     return Forest(trees, spill, next(ids))
 
 
@@ -98,7 +112,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id (null for a null id). Other columns are not read; an empty table gives no rows.
 
     Equal vectors are first collapsed, so copies cost nothing. The forest is fitted to about
-    sample_rows vectors chosen by a hash and indexes every vector. A leaf above block_rows rows,
+    sample_rows vectors chosen by a hash and indexes every vector; its directions take FOREST_BYTES
+    at most. A node of fewer than eight sample rows is not split, so from some 1.5 million rows a
+    label on leaves grow with the rows, and the work with their square: raise sample_rows with them
+    (a sample of 20,000 vectors costs the driver 10 MB at 64 dimensions). A leaf above block_rows rows,
     such as a large group of near copies, is cut into blocks that meet pairwise in tasks of their
     own; no pair in it is left out.
     """
@@ -137,7 +154,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         f = grow(x, n_trees, leaf_rows, largest / len(x), spill, seed)
         forests[size] = (f, first)
         first += f.n_leaves
-    shared = spark.sparkContext.broadcast(forests)  # n_trees * sample_rows / 4 directions at most
+    shared = spark.sparkContext.broadcast(forests)  # of each length at most FOREST_BYTES
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

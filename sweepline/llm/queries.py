@@ -43,6 +43,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, and of every third a twin some way off (cosine about 0.96), as the tables hold hardly any link."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    twin = F.transform("embedding", lambda x, i: x + 0.15 * F.sqrt(square / F.size("embedding")) * ((F.col("vec_id") * 31 + (i + 1) * 17) % 7 - 3))
+    return v.unionByName(v.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), twin.alias("embedding"), "label"))
+
+
+def embedding_planted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(planted(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
@@ -66,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, embedding_planted_links)}
 
 SQL = {
     "op5_embedding_dedup": """
@@ -116,3 +128,8 @@ select page_id, payload_bytes,
   case when page_id = low then 'response' else 'revisit' end as record_type,
   case when page_id <> low then low end as refers_to from bits""",
 }
+
+_PLANTED = """with recursive base as (select vec_id, cast(embedding as double[]) as embedding, label from embeddings),
+planted as (select * from base union all select vec_id + 1000000000, list_transform(embedding, lambda x, i: x + 0.15 * sqrt(list_inner_product(embedding, embedding) / len(embedding)) * ((vec_id * 31 + i * 17) % 7 - 3)), label from base where vec_id % 3 = 0),
+"""
+SQL["embedding_planted_links"] = SQL["op5_embedding_dedup"].replace("from embeddings", "from planted").replace("with recursive ", _PLANTED, 1)

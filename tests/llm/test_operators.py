@@ -420,6 +420,29 @@ def test_vectors_equal_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_of_planted_links(spark):
+    """Production parameters, on enough rows of one label that the trees split several times."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 48))
+    noise = rng.standard_normal((1500, 48)) * np.linalg.norm(x[:1500], axis=1)[:, None] / np.sqrt(48) * rng.uniform(0.2, 0.38, 1500)[:, None]
+    v = np.vstack([x, x[:1500] + noise])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.93).sum(axis=1)
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert want.sum() > 2000 and all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.97 * want.sum()
+
+
+def test_forest_keeps_to_its_bytes():
+    x = np.random.default_rng(1).standard_normal((2000, 16))
+    f = embed_dedup.grow(x / np.linalg.norm(x, axis=1)[:, None], 4, 10, 1.0, 0.02, 3, forest_bytes=4 * 100 * 16 * 8)
+    size = lambda n: 0 if n.direction is None else 1 + size(n.low) + size(n.high)
+    assert [size(t) for t in f.trees] == [100] * 4
+    assert all(len(a) >= 4 for a in f.leaves(x[:50] / np.linalg.norm(x[:50], axis=1)[:, None]))
+
+
 # Jaccard
 
 
