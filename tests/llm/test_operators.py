@@ -537,6 +537,25 @@ def test_chat_frame(spark):
     assert chat.repaired_messages(df.limit(0)).count() == 0
 
 
+def test_parts_of_conversations_give_the_whole(spark):
+    """A conversation cut into parts costs what it costs in one, and comes out legal, whole and in order."""
+    rng = random.Random(21)
+    rows, codes = [], {}
+    for conv in range(40):
+        roles = [rng.choice(["user", "user", "assistant", "system", "odd", None]) for _ in range(rng.choice([1, 2, 5, 17, 60, 300]))]
+        codes[conv] = [chat.role_code(r) for r in roles]
+        rows += [(conv, i, r, f"{conv}/{i}") for i, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    outs = [sorted((r.conv_id, r.message, r.role, r.text, r.n_parts, r.n_relabelled, r.cost) for r in chat.repaired_messages(df, part_rows=n).collect()) for n in (4096, 7)]
+    for out in outs:
+        for conv, c in codes.items():
+            mine = [r for r in out if r[0] == conv]
+            assert [r[1] for r in mine] == list(range(len(mine))) and legal([chat.ROLES.index(r[2]) for r in mine])
+            assert {r[6] for r in mine} == {chat.repair(c)[0]}
+            assert "\n\n".join(r[3] for r in mine if r[3]).split("\n\n") == [f"{conv}/{i}" for i in range(len(c))]
+            assert sum(r[4] for r in mine) == len(c)
+
+
 # passages
 
 
