@@ -228,11 +228,20 @@ class Arrays:
 
             got = pq.read_table(f"{self.base}/block={block}", filesystem=self.store, columns=["slot", "logp"], partitioning=None)
             s, p = got["slot"].to_numpy(), got["logp"].to_numpy()
-            self.slots, first = np.unique(s, return_index=True)
+            self.slots, first = np.unique(s.view(np.uint64), return_index=True)
             self.logs, self.block = p[first].astype(np.float64), block
-        at = self.slots.searchsorted(hashes)
-        if len(hashes) and (at[-1] >= len(self.slots) or (self.slots[np.minimum(at, len(self.slots) - 1)] != hashes).any()):
-            raise RuntimeError("the texts have changed since their n-grams were counted")
+            bits = max(8, int(len(s)).bit_length() + 1)
+            self.shift = np.uint64(64 - bits)
+            # where the hashes with each leading bits begin: a lookup takes a step or two from there
+            self.begin = self.slots.searchsorted(np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        h = hashes.view(np.uint64)
+        at = self.begin[h >> self.shift]
+        wrong = np.flatnonzero(self.slots.take(at, mode="clip") != h)
+        while len(wrong):
+            at[wrong] += 1
+            if at.max() >= len(self.slots) or (self.slots[at[wrong]] > h[wrong]).any():
+                raise RuntimeError("the texts have changed since their n-grams were counted")
+            wrong = wrong[self.slots[at[wrong]] != h[wrong]]
         return -self.logs[at]
 
 

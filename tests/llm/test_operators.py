@@ -715,3 +715,19 @@ def test_warc_damage():
     assert kinds(z.compress(good.replace(b"Content-Length: 5", b"Content-Length: 6"))) == ["WarcError"]
     assert kinds(z.compress(good.replace(b"WARC-Date", b"WARC-Time"))) == ["WarcError"] and kinds(z.compress(b"WARC/1.1\r\n\r\n")) == ["WarcError"]
     assert kinds(warc.dictionary_frame(b"no dictionary") + two) == ["WarcError"]
+
+
+def test_arrays_find_every_hash_and_no_other(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    h = np.unique(np.concatenate([rng.integers(-(1 << 63), 1 << 63, 3000), np.arange(40) - 20, [(1 << 63) - 1, -(1 << 63)]]))
+    (tmp_path / "block=0").mkdir()
+    pq.write_table(pa.table({"slot": h, "logp": np.arange(len(h), dtype=np.float32)}), tmp_path / "block=0" / "a.parquet")
+    arrays = quality.Arrays(f"file://{tmp_path}", True)
+    pick = rng.integers(0, len(h), 5000)
+    assert (arrays.surprise(7, h[pick]) == -pick).all() and len(arrays.surprise(7, h[:0])) == 0
+    for foreign in (12345, -77777, 21, -21):
+        with pytest.raises(RuntimeError):
+            arrays.surprise(7, np.array([h[5], foreign]))
