@@ -41,7 +41,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merge ranks, and the symbol pairs that some token holds."""
 
-    def __init__(self, spec: dict, remembered: int = 300_000):
+    def __init__(self, spec: dict, remembered: int = 80_000):
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END:
             raise ValueError("not a BPE vocabulary with word ends")

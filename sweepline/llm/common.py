@@ -18,6 +18,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes that a task's Parquet writer gathers before it writes them out: a small part of an executor's heap.
+ROW_GROUP = 16 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and see that checkpoint() has a folder.
 
@@ -50,7 +54,7 @@ def address(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder as a table and read back: lineage ends here, as with checkpoint()."""
     path = f"{address(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ _ROLL = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 class Shingler:
     """Shingle sets as sorted arrays of 64-bit hashes; remembers word hashes, within a bound."""
 
-    def __init__(self, remembered: int = 300_000):
+    def __init__(self, remembered: int = 100_000):
         self.most, self.words = remembered, {}
 
     def shingles(self, text: str | None) -> np.ndarray:

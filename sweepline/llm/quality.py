@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, address, map_arrow, prepare, written
+from .common import ROW_GROUP, WORD, address, map_arrow, prepare, written
 
 ORDER = 5
 PRUNED_FROM = 3  # from this length on, n-grams counted once are left to the back-off
@@ -34,8 +34,8 @@ START = "\x02"
 SYMBOLS = frozenset("#*$%&|<>")
 NO_LANG = "und"
 SHARDS = 16  # files an array is written in, so that a large input file is no hot key
-FLUSH = 2_000_000  # characters whose n-grams a task sorts at a time
-HELD = 3_000_000  # distinct n-grams that a task holds
+FLUSH = 1_000_000  # characters whose n-grams a task sorts at a time
+HELD = 1_500_000  # distinct n-grams that a task holds
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -207,7 +207,7 @@ def write_arrays(docs: DataFrame, folder: str, whole_model: int) -> bool:
         met = model.withColumn("block", F.lit(0).cast("long"))
     else:
         met = count_grams(docs).select("block", "slot").join(model, "slot")
-    met.repartition("block", F.pmod("slot", F.lit(SHARDS))).write.partitionBy("block").parquet(folder)
+    met.repartition("block", F.pmod("slot", F.lit(SHARDS))).write.option("parquet.block.size", ROW_GROUP).partitionBy("block").parquet(folder)
     return whole
 
 
