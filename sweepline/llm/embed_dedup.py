@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_blocks, map_arrow, prepare, salted_blocks
+from .common import by_blocks, join_keyed, map_arrow, prepare, salted_blocks
 from .components import components
 
 
@@ -187,8 +187,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = components(found.where("low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     # nodes are hashes: the component's id is the smallest vec_id among the rows of its classes
     reps = classes.select("node", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = classes.select("node", "copies").join(reps.select("node", "component"), "node").join(least, "component").join(links, "node", "left")
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    by_node = join_keyed(classes.select("node", "copies").join(reps.select("node", "component"), "node"), least, "component", "n", n_rows).join(links, "node", "left")
     by_node = by_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
     keyed = rows.select("id", F.when(F.col("bits").isNotNull(), F.xxhash64("label", "bits")).alias("node"))
     out = keyed.join(by_node, "node", "left")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, by_blocks, map_arrow, prepare, salted_blocks
+from .common import WORD, by_blocks, join_keyed, map_arrow, prepare, salted_blocks
 from .components import components
 from .embed_dedup import spanning
 
@@ -248,8 +248,8 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.where("low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     reps = classes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = reps.join(first, "component").join(links, "node", "left")
+    first = reps.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    by_node = join_keyed(reps, first, "component", "n", classes.count()).join(links, "node", "left")
     by_node = by_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     keyed = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_a")).alias("node"))
     out = keyed.join(by_node, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
