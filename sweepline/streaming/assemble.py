@@ -36,7 +36,7 @@ def _frame(site: str, chunk_no: int | None, events: list[dict]) -> pd.DataFrame:
 
 
 class Assembler(StatefulProcessor):
-    def __init__(self, timeout_ms: int):
+    def __init__(self, timeout_ms: int | None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -58,6 +58,8 @@ class Assembler(StatefulProcessor):
             if events:
                 yield _frame(key[0], int(chunk_no), events)
         self.state.update(s.values())
+        if self.timeout_ms is None:
+            return
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if s.phase != machine.IDLE:
@@ -73,16 +75,17 @@ class Assembler(StatefulProcessor):
         pass
 
 
-def assemble_stream(chunks: DataFrame, timeout_ms: int = 12 * 60 * 1000) -> DataFrame:
+def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000) -> DataFrame:
     """Assembly events as chunks come in; a sweep is reported in the micro-batch that closes it.
 
     chunks: site, chunk_no, kind (S, I, E or RESET), vcp, radials (array of structs with radial_idx,
     elevation_number, radial_status, rvol_vcp, julian_date, scan_time_ms). Rows of a site are put
-    in order within a micro-batch. A site that is silent for timeout_ms closes its volume.
+    in order within a micro-batch. A site that is silent for timeout_ms closes its volume; with None
+    there is no watchdog, as for the replay of an archive, whose silence says nothing of its sites.
     """
     prepare(chunks.sparkSession)
     src = chunks.select("site", F.col("chunk_no").cast("long"), "kind", F.col("vcp").cast("int"), "radials")
-    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=EVENTS, outputMode="Append", timeMode="ProcessingTime")
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=EVENTS, outputMode="Append", timeMode="None" if timeout_ms is None else "ProcessingTime")
 
 
 CURRENT = "site string, elevation_number int, volume long, vcp_number int, last_complete long, revision long"
@@ -94,12 +97,12 @@ class CurrentState(StatefulProcessor):
         self.state = handle.getValueState("current", SITE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        vcp, complete, revision, els, vols = self.state.get() if self.state.exists() else (-1, -1, 0, [], [])
+        vcp, complete, revision, els, vols = self.state.get() if self.state.exists() else (-1, None, 0, [], [])
         sweeps, out = dict(zip(els, vols, strict=True)), []
         batch = pd.concat(list(rows)).sort_values("event_no", kind="stable")
         for kind, el, volume, new_vcp, status in zip(batch["event_type"], batch["elevation_number"], batch["volume"], batch["vcp_number"], batch["status"], strict=True):
             if kind == "RESET":
-                sweeps, vcp, complete, revision = {}, -1, -1, revision + 1
+                sweeps, vcp, complete, revision = {}, -1, None, revision + 1
             elif kind == "SweepClosed":
                 if vcp not in (-1, int(new_vcp)):
                     sweeps = {}
@@ -108,7 +111,7 @@ class CurrentState(StatefulProcessor):
                     continue
                 sweeps[el] = int(volume)
                 revision += 1
-                out.append((key[0], el, int(volume), vcp, None if complete < 0 else complete, revision))
+                out.append((key[0], el, int(volume), vcp, complete, revision))
             elif kind == "VolumeClosed" and status == "Complete":
                 complete, revision = int(volume), revision + 1
                 out.append((key[0], None, None, vcp, complete, revision))
