@@ -24,6 +24,8 @@ from .components import components
 
 #: Most bytes of a forest's directions, which are broadcast: 256 MB.
 FOREST_BYTES = 256 << 20
+#: Most levels below a tree's last nodes; each leaves a child about SPLIT_SHARE of a node's rows, spill included.
+DEEPER, SPLIT_SHARE = 30, 0.6
 
 
 @dataclass
@@ -33,49 +35,78 @@ class Node:
     low: Node | None = None
     high: Node | None = None
     leaf: int = -1
+    cuts: tuple[float, ...] = ()  # of the levels below, along the forest's deep directions
 
 
 @dataclass
 class Forest:
     trees: list[Node]
+    deep: np.ndarray  # tree, level, component
     spill: float
     n_leaves: int
 
     def leaves(self, x: np.ndarray) -> list[np.ndarray]:
         """Of each row of x (unit vectors) the ascending ids of all leaves that it falls in."""
-        found: list[list[int]] = [[] for _ in range(len(x))]
-
-        def walk(node: Node, rows: np.ndarray) -> None:
-            if not len(rows):
-                return
-            if node.direction is None:
-                for r in rows:
-                    found[r].append(node.leaf)
-                return
-            side = x[rows] @ node.direction - node.cut
-            walk(node.low, rows[side <= self.spill])
-            walk(node.high, rows[side >= -self.spill])
-
-        for t in self.trees:
-            walk(t, np.arange(len(x)))
-        return [np.array(sorted(f), dtype=np.int32) for f in found]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for tree, deep in zip(self.trees, self.deep, strict=True):
+            ends: list[tuple[Node, np.ndarray]] = []
+
+            def walk(node: Node, rows: np.ndarray, ends: list = ends) -> None:
+                if not len(rows):
+                    return
+                if node.direction is None:
+                    ends.append((node, rows))
+                    return
+                side = x[rows] @ node.direction - node.cut
+                walk(node.low, rows[side <= self.spill])
+                walk(node.high, rows[side >= -self.spill])
+
+            walk(tree, np.arange(len(x)))
+            held.append(self._below(x @ deep.T, ends))
+        rows, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((ids, rows))
+        return np.split(ids[order], np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
+
+    def _below(self, along: np.ndarray, ends: list[tuple[Node, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaf ids after the levels below a tree's last nodes; a row may come several times."""
+        depth = np.array([len(n.cuts) for n, _ in ends], dtype=int)
+        cuts = np.zeros((len(ends), max(depth, default=0)))
+        for i, (n, _) in enumerate(ends):
+            cuts[i, : depth[i]] = n.cuts
+        end = np.repeat(np.arange(len(ends)), [len(r) for _, r in ends])
+        rows = np.concatenate([np.zeros(0, dtype=int), *[r for _, r in ends]])
+        path = np.ones(len(rows), dtype=np.int64)
+        for level in range(cuts.shape[1]):
+            on = depth[end] > level
+            side = along[rows, level] - cuts[end, level]
+            low, high = ~on | (side <= self.spill), on & (side >= -self.spill)
+            path = np.concatenate([np.where(on, 2 * path, path)[low], 2 * path[high] + 1])
+            rows, end = np.concatenate([rows[low], rows[high]]), np.concatenate([end[low], end[high]])
+        return rows, np.array([n.leaf for n, _ in ends], dtype=np.int64)[end] << 32 | path
 
 
 def grow(sample: np.ndarray, n_trees: int, leaf_rows: int, rows_per_sample: float, spill: float, seed: int, forest_bytes: int = FOREST_BYTES) -> Forest:
     """Trees over a sample; a node is split while it stands for more than leaf_rows rows.
 
     Level by level, so that the forest stays whole where the bound on its directions' bytes ends it.
+    A node that still stands for too many rows when its sample rows or the bytes run out is split
+    further along directions that all such nodes of a tree share; of its own it has only the cuts,
+    the medians of the sample rows that it holds.
     """
     rng = np.random.default_rng(seed)
+    deep = rng.standard_normal((n_trees, DEEPER, sample.shape[1]))
+    deep /= np.linalg.norm(deep, axis=2)[:, :, None]
     ids = iter(range(1 << 31))
     trees = []
-    for _ in range(n_trees):
+    for t in range(n_trees):
         left = forest_bytes // (8 * n_trees * max(1, sample.shape[1]))
         root = Node()
         front = deque([(root, np.arange(len(sample)))])
         while front:
             node, rows = front.popleft()
-            for _ in range(3 if left and len(rows) * rows_per_sample > leaf_rows and len(rows) >= 8 else 0):
+            many = len(rows) * rows_per_sample / leaf_rows
+            known = left and len(rows) >= 8
+            for _ in range(3 if known and many > 1 else 0):
                 w = rng.standard_normal(sample.shape[1])
                 w /= np.linalg.norm(w)
                 p = sample[rows] @ w
@@ -88,8 +119,11 @@ def grow(sample: np.ndarray, n_trees: int, leaf_rows: int, rows_per_sample: floa
                     break
             else:  # small enough, or all rows lie close together: they are compared as they are
                 node.leaf = next(ids)
+                if many > 1 and not known and len(rows):
+                    levels = min(DEEPER, int(np.ceil(np.log(many) / -np.log(SPLIT_SHARE))))
+                    node.cuts = tuple(np.median(sample[rows] @ deep[t, :levels].T, axis=0).tolist())
         trees.append(root)
-    return Forest(trees, spill, next(ids))
+    return Forest(trees, deep, spill, next(ids))
 
 
 def _usable(raw: list | None) -> bool:
@@ -113,11 +147,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Equal vectors are first collapsed, so copies cost nothing. The forest is fitted to about
     sample_rows vectors chosen by a hash and indexes every vector; its directions take FOREST_BYTES
-    at most. A node of fewer than eight sample rows is not split, so from some 1.5 million rows a
-    label on leaves grow with the rows, and the work with their square: raise sample_rows with them
-    (a sample of 20,000 vectors costs the driver 10 MB at 64 dimensions). A leaf above block_rows rows,
-    such as a large group of near copies, is cut into blocks that meet pairwise in tasks of their
-    own; no pair in it is left out.
+    at most. Below nodes of fewer than eight sample rows, levels are added with the rows a label, so
+    that leaves keep their size however many rows there are; each level costs a pair at the
+    threshold some hundredths of its chance to meet in a tree. A leaf above block_rows rows, such as
+    a large group of near copies, is cut into blocks that meet pairwise in tasks of their own; no
+    pair in it is left out.
     """
     spark = prepare(vectors.sparkSession)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -165,15 +199,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 at = [i for i, v in enumerate(vecs) if len(v) == size]
                 if size not in known:
                     for i in at:
-                        leaves[i] = np.array([-size], dtype=np.int32)
+                        leaves[i] = np.array([-size], dtype=np.int64)
                     continue
                 f, start = known[size]
                 x = np.array([vecs[i] for i in at])
                 for i, got in zip(at, f.leaves(x / np.linalg.norm(x, axis=1)[:, None]), strict=True):
-                    leaves[i] = got + start
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(leaves, pa.list_(pa.int32()))], names=["label", "bits", "copies", "node", "leaves"])
+                    leaves[i] = got + (start << 32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(leaves, pa.list_(pa.int64()))], names=["label", "bits", "copies", "node", "leaves"])
 
-    routed = map_arrow(classes.select("label", "bits", "copies", "node"), route, "label string, bits binary, copies long, node long, leaves array<int>").checkpoint()
+    routed = map_arrow(classes.select("label", "bits", "copies", "node"), route, "label string, bits binary, copies long, node long, leaves array<long>").checkpoint()
     met = routed.withColumn("leaf", F.explode("leaves"))
     sizes = met.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1")
     met = met.join(sizes, ["label", "leaf"]).withColumn("group", F.xxhash64("label", "leaf"))

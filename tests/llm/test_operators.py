@@ -435,6 +435,34 @@ def test_vectors_recall_of_planted_links(spark):
     assert want.sum() > 2000 and all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.97 * want.sum()
 
 
+def test_leaves_keep_their_size_beyond_the_sample():
+    """200 sample vectors for 6,000 rows and leaves of 30: most splits lie below the sample's last nodes."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 48))
+    y = x[:500] + rng.standard_normal((500, 48)) * 0.25
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    f = embed_dedup.grow(x[:200], 8, 30, 30.0, 0.02, 3)
+    at = f.leaves(x)
+    _, sizes = np.unique(np.concatenate(at), return_counts=True)
+    # the trees' last nodes alone would hold four to seven sample rows, 120 to 210 rows
+    assert sizes.mean() < 30 and sizes.max() < 200 and all((np.diff(a) > 0).all() and len(a) >= 8 for a in at)
+    near = [i for i in range(500) if x[i] @ y[i] >= 0.93]
+    assert len(near) > 300 and sum(len(np.intersect1d(at[i], b)) > 0 for i, b in zip(near, f.leaves(y[near]), strict=True)) >= 0.97 * len(near)
+
+
+def test_vectors_recall_with_levels_below_the_sample(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 48))
+    v = np.vstack([x, x[:600] + rng.standard_normal((600, 48)) * rng.uniform(0.2, 0.38, 600)[:, None]])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.93).sum(axis=1)
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, leaf_rows=40, sample_rows=150).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.97 * want.sum() > 500
+
+
 def test_forest_keeps_to_its_bytes():
     x = np.random.default_rng(1).standard_normal((2000, 16))
     f = embed_dedup.grow(x / np.linalg.norm(x, axis=1)[:, None], 4, 10, 1.0, 0.02, 3, forest_bytes=4 * 100 * 16 * 8)
