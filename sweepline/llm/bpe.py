@@ -41,7 +41,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merge ranks, and the symbol pairs that some token holds."""
 
-    def __init__(self, spec: dict, remembered: int = 80_000):
+    def __init__(self, spec: dict, remembered: int = 300_000):
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END:
             raise ValueError("not a BPE vocabulary with word ends")
@@ -180,13 +180,14 @@ def load(path: str, **options) -> Bpe:
         return Bpe(json.load(f), **options)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, remembered: int = 300_000) -> DataFrame:
     """One row per input row: doc_id, n_tokens, and on demand ids (array<int>) and two digests.
 
     ids_sha256 is of the decimal ids joined by one blank, decoded_sha256 of the decoded text.
     path names a vocabulary file, read once on the driver (a few MB) and broadcast. Null and empty
     texts have no tokens. Repeated rows and null ids each keep their row; other columns are not
-    read. Whole texts are encoded; what a worker remembers of words is bounded.
+    read. Whole texts are encoded; a task remembers so many words, and as many fragments, at most;
+    that alters its speed and memory, never a result.
     """
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     schema = f"doc_id {kind}, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(json.loads(shared.value))
+        bpe = Bpe(json.loads(shared.value), remembered)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
