@@ -78,7 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token ids of every row of the mix; null and empty texts have no tokens."""
-    return bpe.encode(docs, tokenizer_path())
+    return bpe.encode(docs, tokenizer_path(), remembered=80_000)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_copies), ("substring dedup", repeated_passages), ("mixing sources", mix_sources), ("BPE encoding", encode)]
