@@ -7,14 +7,13 @@ language of its own. Each stage's docstring states the rest.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepline.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from sweepline.llm.common import shared_folder, table, written
+from sweepline.llm.common import table
 from sweepline.llm.queries import tokenizer_path
+from sweepline.runtime import shared_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -90,7 +89,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

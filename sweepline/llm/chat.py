@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_blocks, map_arrow, prepare, written
+from ..runtime import map_arrow, prepare, written
+from .common import by_blocks
 
 ROLES = ("system", "user", "assistant")
 #: Names used for the same roles; they cost nothing. Any other name, and null, is unknown.

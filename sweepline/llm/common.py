@@ -1,63 +1,21 @@
-"""What several operators share: word rule, scratch folder, streaming over sorted groups."""
+"""What several operators share: word rule, streaming over sorted groups, joins on hot keys."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import map_arrow
+
 #: A word is a run of anything but the space and the five ASCII controls tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes that a task's Parquet writer gathers before it writes them out: a small part of an executor's heap.
-ROW_GROUP = 16 << 20
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and see that checkpoint() has a folder.
-
-    The folder is the one named by spark.checkpoint.dir. Only where that is unset (tests, a
-    notebook) and no other was set does the session get a temporary one of its own.
-    """
-    sc = spark.sparkContext
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sweepline-"))
-    return spark
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    prepare(spark)
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def address(spark: SparkSession) -> str:
-    """The shared folder as an address, for Spark and for pyarrow's file systems."""
-    base = shared_folder(spark)
-    return base if "://" in base or base.startswith("file:") else f"file://{base}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder as a table and read back: lineage ends here, as with checkpoint()."""
-    path = f"{address(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,12 +25,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with the package importable in the workers."""
-    prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, one table per run, from batches sorted by the keys."""
     import numpy as np

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, prepare
+from ..runtime import prepare
+from .common import join_keyed
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

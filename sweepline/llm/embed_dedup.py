@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_blocks, join_keyed, map_arrow, prepare, salted_blocks
+from ..runtime import map_arrow, prepare, sampled
+from .common import by_blocks, join_keyed, salted_blocks
 from .components import components
 
 
@@ -176,7 +177,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     per_label = classes.groupBy("label", F.length("bits").alias("size")).agg(F.count("*").alias("n"))
     largest = per_label.agg(F.max("n")).first()[0]
     share = min(1.0, sample_rows / n_rows)
-    chosen = classes.where((F.pmod(F.xxhash64("bits"), F.lit(1_000_000)) + 0.5) / 1e6 < share).select("bits").collect()
+    chosen = classes.where(sampled(share, "bits")).select("bits").collect()
     by_size: dict[int, list[np.ndarray]] = {}
     for r in chosen:
         a = np.frombuffer(bytes(r["bits"]))

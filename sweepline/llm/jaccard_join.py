@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, by_blocks, join_keyed, map_arrow, prepare, salted_blocks
+from ..runtime import map_arrow, prepare
+from .common import WORD, by_blocks, join_keyed, salted_blocks
 from .components import components
 from .embed_dedup import spanning
 

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from ..runtime import map_arrow, sampled
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not langs:
         return LanguageModel([], {}, np.zeros((1, 0)), [{}] * longest, [np.zeros((1, 0))] * longest, longest, np.zeros(0))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / sizes[k])))])
-    sample = labelled.where((F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) + 0.5) / 1e6 < share[F.col("lang")]).select("text", "lang")
+    sample = labelled.where(sampled(share[F.col("lang")], "id", "text")).select("text", "lang")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

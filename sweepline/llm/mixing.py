@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, prepare
+from ..runtime import prepare
+from .common import WORD_SQL
 
 GOLDEN = 0.6180339887498949
 CHUNK_BITS = 12  # of the shuffle key: prefix sums run within a source's 4096 chunks, then over them

@@ -15,7 +15,6 @@ is as large as the distinct n-grams of one file.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_GROUP, WORD, address, map_arrow, prepare, written
+from ..runtime import ROW_GROUP, map_arrow, prepare, shared_path, written
+from .common import WORD
 
 ORDER = 5
 PRUNED_FROM = 3  # from this length on, n-grams counted once are left to the back-off
@@ -323,7 +323,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     spark = prepare(docs.sparkSession)
     source = docs.select(F.xxhash64(F.input_file_name()).alias("block"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(id_col).alias("doc_id"), *carry)
-    folder = f"{address(spark)}/ngrams-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "ngrams")
     whole = write_arrays(source, folder, whole_model)
     measured = measure(source, folder, whole, docs.schema[id_col].dataType.simpleString(), carry).checkpoint()
     inside = F.lit(False)

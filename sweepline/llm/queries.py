@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, embed_dedup, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -78,7 +78,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, embedding_planted_links)}
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, op13_decontaminate, embedding_planted_links)}
 
 SQL = {
     "op5_embedding_dedup": """
@@ -129,6 +134,17 @@ select page_id, payload_bytes,
   case when page_id <> low then low end as refers_to from bits""",
 }
 
+SQL["op13_decontaminate"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+b as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark),
+win as (select distinct item, least(len(w), 10) as n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') as t from b, unnest(range(0, greatest(len(w) - 9, 1))) as u(i) where len(w) > 0),
+places as (select r, n, i, array_to_string(w[i + 1:i + n], ' ') as t from d, (select distinct n from win), unnest(range(0, len(w) - n + 1)) as u(i)),
+found as (select r, n, i, item from places join win using (n, t)),
+hit as (select r, count(distinct p) as n_hit from (select distinct r, n, i from found), unnest(range(i, i + n)) as u(p) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by encode(item)) as ids from (select distinct r, item from found) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join items using (r)"""
+
 _PLANTED = """with recursive base as (select vec_id, cast(embedding as double[]) as embedding, label from embeddings),
 planted as (select * from base union all select vec_id + 1000000000, list_transform(embedding, lambda x, i: x + 0.15 * sqrt(list_inner_product(embedding, embedding) / len(embedding)) * ((vec_id * 31 + i * 17) % 7 - 3)), label from base where vec_id % 3 = 0),
 """

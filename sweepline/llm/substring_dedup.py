@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, map_arrow, prepare, written
+from ..runtime import map_arrow, prepare, written
+from .common import join_keyed
 
 BREAK = re.compile(r"[.!?]+(?=\s)|\n")
 LEAST_UNIT = 4

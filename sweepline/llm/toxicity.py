@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from ..runtime import map_arrow, sampled, written
 
 # Letters of other scripts and their Latin look-alikes, in aligned rows.
 CYRILLIC = "авеікмнорстухѕјһԁԛԝьгпцңү", "abeikmhopctyxsjhdqwbrnuhy"
@@ -146,9 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n.get(1) or not n.get(0):
         return ToxicityModel()
     share = F.when(F.col("y") == 1, min(1.0, max_docs_per_class / n[1])).otherwise(min(1.0, max_docs_per_class / n[0]))
-    chosen = marked.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) + 0.5) / 1e6 < share).select("doc_id", "y")
+    chosen = marked.where(sampled(share, "doc_id")).select("doc_id", "y")
     # about 2 * max_docs_per_class rows of 12 bytes, whatever the input: fit to broadcast
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    sample = written(sample)  # read four times, where all texts would be read each time
     low, high = stem
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import address, map_arrow, prepare
+from ..runtime import map_arrow, prepare, sampled, shared_path
 
 # Fixed values of the formats
 SKIPPABLE_DICTIONARY = 0x184D2A5D
@@ -199,8 +198,7 @@ def train_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str =
     html = F.col(html_col)
     small = pages.where(F.octet_length(html).between(1, most_bytes))
     share = 3 * sample_rows / max(1, small.count())
-    chosen = (F.pmod(F.xxhash64(F.col(id_col), html), F.lit(1 << 40)) + 0.5) / float(1 << 40) < share
-    got = small.where(chosen).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(sample_rows).collect()
+    got = small.where(sampled(share, id_col, html_col)).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(sample_rows).collect()
     samples = [record(i, None, r["html"].encode(), "A" * 32, None) for i, r in enumerate(got)]
     if len(samples) < 20:
         return b""
@@ -310,4 +308,4 @@ def read_archives(spark: SparkSession, folder: str, strict: bool = True, with_pa
 
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder for archives in the shared one, as an address."""
-    return f"{address(spark)}/warc-{uuid.uuid4().hex}"
+    return shared_path(spark, "warc")
