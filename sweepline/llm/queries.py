@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embed_dedup, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, embed_dedup, jaccard_join, langid, mixing, quality, spelling, substring_dedup, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -78,12 +78,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, op13_decontaminate, embedding_planted_links)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, op12_spelling, op13_decontaminate, embedding_planted_links)}
 
 SQL = {
     "op5_embedding_dedup": """
@@ -134,6 +138,20 @@ select page_id, payload_bytes,
   case when page_id <> low then low end as refers_to from bits""",
 }
 
+SQL["op12_spelling"] = r"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select coalesce(doc_id::varchar, 'null') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents),
+u as (select id, w, count(*) as n, hex(encode(id || ':' || w)) as b from runs where length(w) >= 6 group by id, w),
+h as (select w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(b)::int, 2), lambda i: ('0x' || substr(b, i::bigint + 1, 2))::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from u, crc),
+words as (select case when h % 199 = 0 then left(w, (h % length(w))::bigint) || substr(w, (h % length(w) + 2)::bigint) else w end as word, sum(n)::bigint as n from h group by 1 having length(word) >= 6 and sum(n) >= 5),
+cut as (select word, i, left(word, i) as a, substr(word, i + 2) as z from words, unnest(range(0, length(word))) as x(i)),
+near as (select p.word, q.word as other from cut p join cut q on p.i = q.i and p.a = q.a and p.z = q.z and length(p.word) = length(q.word) and p.word <> q.word
+  union select cut.word, o.word from cut join words o on o.word = cut.a || cut.z union select o.word, cut.word from cut join words o on o.word = cut.a || cut.z),
+best as (select near.word, count(*)::bigint as n_near, first(other order by o.n desc, encode(other)) as other, max(o.n) as top from near join words o on o.word = near.other group by near.word),
+f as (select word, n, coalesce(n_near, 0)::bigint as n_near, case when top >= 5 * n then other end as form, case when top >= 5 * n then top end as form_n from words left join best using (word)),
+chain(word, top_word) as (select word, word from f union all select chain.word, f.form from chain join f on f.word = chain.top_word where f.form is not null)
+select f.word, f.n, n_near, form, form_n, top_word as root from f join chain on chain.word = f.word where top_word in (select word from f where form is null)"""
+
 SQL["op13_decontaminate"] = r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
 b as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark),
