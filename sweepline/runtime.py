@@ -78,6 +78,11 @@ def few(df: DataFrame, rows: int, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def sample_grains(share: Column | float, grains: int) -> Column:
+    share = F.lit(float(share)) if isinstance(share, int | float) else share
+    return F.greatest(F.lit(1), F.round(share * grains).cast("long"))
+
+
 def sampled(share: Column | float, *keys: str, grain_bits: int = 40) -> Column:
     """Whether a row is in a sample of about this share, by a hash of its keys.
 
@@ -85,5 +90,4 @@ def sampled(share: Column | float, *keys: str, grain_bits: int = 40) -> Column:
     one grain counts as one, so that a sample never gets empty because the table is large.
     """
     grains = 1 << grain_bits
-    share = F.lit(float(share)) if isinstance(share, int | float) else share
-    return F.pmod(F.xxhash64(*keys), F.lit(grains)) < F.greatest(F.lit(1), F.round(share * grains).cast("long"))
+    return F.pmod(F.xxhash64(*keys), F.lit(grains)) < sample_grains(share, grains)
