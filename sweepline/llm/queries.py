@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embed_dedup, jaccard_join, langid, mixing, quality, spelling, substring_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, embed_dedup, jaccard_join, langid, mixing, quality, spelling, substring_dedup, toxicity, vector_codes, warc
 from .common import crc_mod, table
 
 
@@ -78,6 +78,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
@@ -87,7 +92,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, op12_spelling, op13_decontaminate, embedding_planted_links)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_bpe, op4_quality, op5_embedding_dedup, op6_jaccard_join, op7_chat_format, op8_passage_dedup, op9_mixing, op10_warc, op11_vector_codes, op12_spelling, op13_decontaminate, embedding_planted_links)}
 
 SQL = {
     "op5_embedding_dedup": """
@@ -138,6 +143,22 @@ select page_id, payload_bytes,
   case when page_id <> low then low end as refers_to from bits""",
 }
 
+_ROUND = """,
+a{r} as materialized (select vec_id, part, first(e order by d, e) as e, min(d) as d from (select v.vec_id, v.part, c.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as d from v join c{r} c using (part)) group by vec_id, part)"""
+_MOVE = """,
+s{r} as (select part, e, i, sum(x[i])::bigint as s, count(*)::bigint as n from v join a{r} using (vec_id, part), unnest(range(1, len(x) + 1)) as u(i) group by part, e, i),
+m{r} as (select part, e, list((s - ((s % n) + n) % n) // n order by i) as x from s{r} group by part, e),
+c{next} as materialized (select part, e, coalesce(m{r}.x, c{r}.x) as x from c{r} left join m{r} using (part, e))"""
+SQL["op11_vector_codes"] = """
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as q from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select vec_id, part, q[part * len(q) // 8 + 1:(part + 1) * len(q) // 8] as x from k, unnest(range(8)) as u(part)),
+c0 as materialized (select part, e, x from v join (select vec_id, row_number() over (order by vec_id) - 1 as e from k order by vec_id limit 16) using (vec_id))""" + "".join(_ROUND.format(r=r) + (_MOVE.format(r=r, next=r + 1) if r < 6 else "") for r in range(7)) + """,
+coded as (select vec_id, string_agg(printf('%02x', e), '' order by part) as code, sum(d)::bigint as error from a6 group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) from c6) as codebooks_sha256
+from coded join k using (vec_id)"""
+
 SQL["op12_spelling"] = r"""
 with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
 runs as (select coalesce(doc_id::varchar, 'null') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents),
