@@ -9,10 +9,11 @@ Only readable chunks belong in either table: an undecodable one changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.codes import CLOSING
+from . import scan
 
 
 def _silent(arrival: Column, before: Column, timeout: str) -> Column:
@@ -22,14 +23,29 @@ def _silent(arrival: Column, before: Column, timeout: str) -> Column:
 def volume_epochs(chunks: DataFrame, timeout: str = "12 minutes") -> DataFrame:
     """Add epoch: counts up per site at every S, after an E, after silence, and at the first chunk.
 
-    Also adds next_kind and next_silent, what follows the chunk at its site. One window per site,
-    with running frames only, so a site's history streams through sorted.
+    Also adds next_kind and next_silent, what follows the chunk at its site. A site's history is cut
+    into blocks: a block counts the starts behind its first chunk, and whether that one starts an
+    epoch follows from the last chunk of the block before.
     """
-    w = Window.partitionBy("site").orderBy("chunk_no")
-    before = F.lag("kind").over(w)
-    starts = (F.col("kind") == "S") | before.isNull() | (before == "E") | _silent(F.col("arrival"), F.lag("arrival").over(w), timeout)
-    out = chunks.withColumns({"starts": starts.cast("int"), "next_kind": F.lead("kind").over(w), "next_silent": _silent(F.lead("arrival").over(w), F.col("arrival"), timeout)})
-    return out.withColumn("epoch", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    w = scan.inside("chunk_no")
+    mine = F.struct("kind", "arrival")
+
+    def starts(now: Column, before: Column) -> Column:
+        return (now["kind"] == "S") | before.isNull() | (before["kind"] == "E") | F.coalesce(_silent(now["arrival"], before["arrival"], timeout), F.lit(False))
+
+    rows = scan.cut(chunks, "chunk_no").withColumns({"_before": F.lag(mine).over(w), "_after": F.lead(mine).over(w)})
+    inner = F.when(F.col("_before").isNotNull(), starts(mine, F.col("_before")).cast("int")).otherwise(0)
+    rows = rows.withColumn("_inner", inner).withColumn("_so_far", F.sum("_inner").over(scan.upto(w)))
+
+    def carried(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        out = blocks.withColumns({"_last_before": F.lag("last").over(w), "_next": F.lead("first").over(w)})
+        out = out.withColumn("_opens", starts(F.col("first"), F.col("_last_before")).cast("int"))
+        return out.withColumn("_starts_before", F.coalesce(F.sum(F.col("inner") + F.col("_opens")).over(scan.earlier(w)), F.lit(0)))
+
+    rows = scan.carry(rows, [F.min_by(mine, "chunk_no").alias("first"), F.max_by(mine, "chunk_no").alias("last"), F.sum("_inner").alias("inner")], carried)
+    after = F.coalesce("_after", "_next")
+    epoch = (F.col("_starts_before") + F.col("_opens") + F.col("_so_far")).cast("long")
+    return rows.select(*chunks.columns, after["kind"].alias("next_kind"), _silent(after["arrival"], F.col("arrival"), timeout).alias("next_silent"), epoch.alias("epoch"))
 
 
 def placed_radials(radials: DataFrame, epochs: DataFrame) -> DataFrame:
@@ -143,6 +159,5 @@ def assembly_events(epochs: DataFrame, placed: DataFrame) -> DataFrame:
     done = done.join(message5_vcp(epochs), ["site", "epoch"])
     done = done.select("site", F.col("last_chunk").alias("chunk_no"), "epoch", F.lit("VolumeClosed").alias("event_type"), F.lit(5).alias("phase"), F.lit(0).alias("place"), "status", F.coalesce("vcp_number", "msg5", F.lit(0)).alias("vcp_number"))
     out = lost.unionByName(closed, allowMissingColumns=True).unionByName(late, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
-    order = Window.partitionBy("site").orderBy("chunk_no", "phase", "place", "complete", "elevation_number")
-    return out.withColumn("event_no", F.row_number().over(order)).drop("phase", "place")
+    return scan.numbered(out, "event_no", "chunk_no", "phase", "place", "complete", "elevation_number").drop("phase", "place")
 

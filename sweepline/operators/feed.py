@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Fixed values of the feed's rules, in polls.
 STALLED_AFTER, REANCHOR_AFTER, STUCK_AFTER = 5, 12, 60
 
@@ -25,8 +27,7 @@ def cold_start_anchor(folders: DataFrame) -> DataFrame:
 
 def sequence_gaps(folders: DataFrame) -> DataFrame:
     """(site, volume_seq, next_volume, skipped) where numbers are missing in between."""
-    w = Window.partitionBy("site").orderBy("volume_seq")
-    out = folders.select("site", "volume_seq").distinct().withColumn("next_volume", F.lead("volume_seq").over(w))
+    out = scan.neighbours(folders.select("site", "volume_seq").distinct(), F.col("volume_seq"), "volume_seq").select("site", "volume_seq", F.col("after").alias("next_volume"))
     return out.withColumn("skipped", F.col("next_volume") - F.col("volume_seq") - 1).where("skipped > 0")
 
 
@@ -36,10 +37,17 @@ def ingest_state(polls: DataFrame, stalled_after: int = STALLED_AFTER) -> DataFr
     attempts: errors in a row up to here. State: ReAnchoring where the poll re-anchored, else
     Polling, Retrying(n), or Stalled from stalled_after errors on.
     """
-    w = Window.partitionBy("site").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    runs = polls.withColumn("run", F.sum((~F.col("is_error")).cast("int")).over(w))
-    in_run = Window.partitionBy("site", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = runs.withColumn("attempts", F.sum(F.col("is_error").cast("int")).over(in_run)).drop("run")
+    # attempts are the errors so far, less those up to the last success; both come in blocks
+    so_far = scan.upto(scan.inside("seq"))
+    out = scan.cut(polls, "seq").withColumn("_errors", F.sum(F.col("is_error").cast("int")).over(so_far))
+    out = out.withColumn("_forgiven", F.max(F.when(~F.col("is_error"), F.col("_errors"))).over(so_far))
+
+    def carried(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        out = blocks.withColumn("_errors_before", F.coalesce(F.sum("n").over(scan.earlier(w)), F.lit(0)))
+        return out.withColumn("_forgiven_before", F.coalesce(F.max(F.col("_errors_before") + F.col("forgiven")).over(scan.earlier(w)), F.lit(0)))
+
+    out = scan.carry(out, [F.max("_errors").alias("n"), F.max("_forgiven").alias("forgiven")], carried)
+    out = out.withColumn("attempts", F.col("_errors_before") + F.col("_errors") - F.coalesce(F.col("_errors_before") + F.col("_forgiven"), F.col("_forgiven_before"))).select(*polls.columns, "attempts")
     state = F.when(F.col("reanchored"), "ReAnchoring").when(F.col("attempts") == 0, "Polling").when(F.col("attempts") >= stalled_after, "Stalled").otherwise(F.concat(F.lit("Retrying("), F.col("attempts").cast("string"), F.lit(")")))
     return out.withColumn("state", state)
 

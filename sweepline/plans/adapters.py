@@ -6,11 +6,14 @@ Each text names its inputs in braces. view() runs it in Spark; cte() gives it fo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import scan
 
 VCP_OF = "case vol_no % 3 when 0 then 35 when 1 then 212 else 121 end"
 TEXTS = {
     "radials": f"""
-with e as (select event_id, ts, user_id % 10 as site_no, event_type, value, {{k}} as k, row_number() over (partition by user_id % 10 order by event_id) - 1 as seq from {{events}}),
+with e as (select event_id, ts, user_id % 10 as site_no, event_type, value, {{k}} as k, {{seq}} - 1 as seq from {{events}}),
 c as (select *, cast(floor(seq / 12) as bigint) as chunk_no, cast(seq % 12 as int) as radial_idx from e),
 v as (select *, cast(floor(chunk_no / 8) as bigint) as vol_no, cast(chunk_no % 8 as int) as pos8 from c)
 select concat('S', cast(site_no as string)) as site, chunk_no, radial_idx, event_id, ts, value, k, vol_no,
@@ -39,7 +42,7 @@ from l""",
 select site, radial_idx, product, min(elevation_number) as elevation_number, min(elevation_deg) as elevation_deg, min(azimuth_deg) as azimuth_deg, cast(count(*) as int) as gate_count,
   min(scale) as scale, min(g.offset) as offset, min(first_gate_m) as first_gate_m, min(gate_width_m) as gate_width_m, {raws} as raw from {gates} g group by site, radial_idx, product""",
     "polls": """
-select concat('S', cast(user_id % 10 as string)) as site, row_number() over (partition by user_id % 10 order by event_id) as seq, ts as polled_at, event_type = 'error' as is_error,
+select concat('S', cast(user_id % 10 as string)) as site, {seq} as seq, ts as polled_at, event_type = 'error' as is_error,
   event_type = 'signup' and value > 200 as reanchored, case when event_type in ('click', 'purchase') and value > 40 then 1 else 0 end as n_keys,
   case when event_id % 4 = 0 then cast(user_id % 10 * 100 + event_id % 50 as bigint) end as newest, cast(user_id % 10 * 100 as bigint) as start, event_id, value, event_type
 from {events}""",
@@ -58,16 +61,24 @@ select distinct cast(case l_suppkey % 3 when 0 then 35 when 1 then 212 else 121
 select cast(c_nationkey as int) as part_id, 'layer' as layer, cast(row_number() over (partition by c_nationkey order by c_custkey) as int) as point_idx,
   -100e0 + c_custkey % 40 * 0.5e0 as lon, 30e0 + c_custkey % 23 * 0.5e0 as lat from {customer}""",
 }
-SPARK = {"k": "cast(get_json_object(props, '$.k') as int)", "raws": "transform(array_sort(collect_list(struct(gate_idx, raw))), x -> x.raw)"}
-DUCK = {"k": "cast(json_extract_string(props, '$.k') as int)", "raws": "list(raw order by gate_idx)"}
+#: seq numbers the events of a site; numbered_events() adds it for Spark, without a window over a whole site.
+SPARK = {"seq": "seq", "k": "cast(get_json_object(props, '$.k') as int)", "raws": "transform(array_sort(collect_list(struct(gate_idx, raw))), x -> x.raw)"}
+DUCK = {"seq": "row_number() over (partition by user_id % 10 order by event_id)", "k": "cast(json_extract_string(props, '$.k') as int)", "raws": "list(raw order by gate_idx)"}
 NEEDS = {"chunks": ("radials",), "moments": ("gates",)}
 TABLES = ("events", "lineitem", "supplier", "customer", "pages")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def numbered_events(events: DataFrame) -> DataFrame:
+    return scan.numbered(events.withColumn("site_no", F.col("user_id") % 10), "seq", "event_id", by=("site_no",)).drop("site_no")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, **made: DataFrame) -> DataFrame:
+    """The named table; made: tables that it needs and that are at hand."""
     text = TEXTS[name]
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
-    given |= {t: view(spark, sf_dir, t) for t in NEEDS.get(name, ())}
+    if "{seq}" in text:
+        given["events"] = numbered_events(given["events"])
+    given |= {t: made[t] if t in made else view(spark, sf_dir, t) for t in NEEDS.get(name, ())}
     for key, part in SPARK.items():
         text = text.replace(f"{{{key}}}", part)
     return spark.sql(text, **given)

@@ -13,11 +13,13 @@ from .registry import query
 TIMEOUT = "14 hours"  # events lie far apart; tests use 12 minutes
 
 
-def assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(epochs, placed radials) of the events. Both are read several times, so they are written once."""
-    radials = view(spark, sf_dir, "radials").where("kind <> 'S'").drop("kind", "msg5_vcp")
-    epochs = written(assembly.volume_epochs(view(spark, sf_dir, "chunks"), TIMEOUT))
-    return epochs, written(assembly.placed_radials(radials, epochs))
+def assembled(spark: SparkSession, sf_dir: str, read_once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(epochs, placed radials) of the events. What is read several times is written once."""
+    radials = written(view(spark, sf_dir, "radials"))
+    epochs = assembly.volume_epochs(view(spark, sf_dir, "chunks", radials=radials), TIMEOUT)
+    epochs = epochs if read_once else written(epochs)
+    placed = assembly.placed_radials(radials.where("kind <> 'S'").drop("kind", "msg5_vcp"), epochs)
+    return epochs, placed if read_once else written(placed)
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +80,13 @@ def w1_volume_epochs(spark, sf_dir):
 
 @query(SWEEPS + " select site, epoch::bigint as epoch, elevation_number, complete, n_radials, n_late, first_pos, trigger_pos, round(elevation_deg, 6) as elevation_deg, nyquist, unamb_range from sw")
 def w2_close_sweeps(spark, sf_dir):
-    out = assembly.close_sweeps(assembled(spark, sf_dir)[1].withColumn("nyquist", F.coalesce("nyquist", F.lit(-1.0))))
+    out = assembly.close_sweeps(assembled(spark, sf_dir, read_once=True)[1].withColumn("nyquist", F.coalesce("nyquist", F.lit(-1.0))))
     return out.withColumns({"elevation_deg": F.round("elevation_deg", 6), "first_pos": F.col("first_pos").cast("long"), "trigger_pos": F.col("trigger_pos").cast("long")})
 
 
 @query(PLACED + " select site, epoch::bigint as epoch, chunk_no, elevation_number, count(*) as n_late from p where not accepted group by all")
 def w3_late_radials(spark, sf_dir):
-    return assembly.late_radials(assembled(spark, sf_dir)[1])
+    return assembly.late_radials(assembled(spark, sf_dir, read_once=True)[1])
 
 
 @query(VOLUMES + " select site, epoch::bigint as epoch, status, n_accepted, last_chunk from vol")
@@ -219,7 +221,7 @@ def j5_commanded_vs_measured(spark, sf_dir):
 @query(PLACED + """, g as (select site, epoch, elevation_number, coalesce(lead(azimuth_deg) over w, first_value(azimuth_deg) over w + 360) - azimuth_deg as gap from p where accepted window w as (partition by site, epoch, elevation_number order by azimuth_deg))
 select site, epoch::bigint as epoch, elevation_number, count(*) filter (gap > 1.0) as n_gaps, round(coalesce(sum(gap) filter (gap > 1.0), 0), 4) as missing_deg, round(max(gap), 4) as widest_deg from g group by 1, 2, 3""")
 def w16_azimuth_coverage(spark, sf_dir):
-    out = inspect.azimuth_coverage(assembled(spark, sf_dir)[1].where("accepted"), ("site", "epoch", "elevation_number"))
+    out = inspect.azimuth_coverage(assembled(spark, sf_dir, read_once=True)[1].where("accepted"), ("site", "epoch", "elevation_number"))
     return out.withColumns({"missing_deg": F.round("missing_deg", 4), "widest_deg": F.round("widest_deg", 4)})
 
 
@@ -227,7 +229,7 @@ def w16_azimuth_coverage(spark, sf_dir):
 arg_min(nyquist, pos) filter (nyquist <> 0) as nyquist, arg_min(unamb_range, pos) filter (unamb_range <> 0) as unamb_range, arg_min(rvol_vcp, pos) filter (rvol_vcp <> 0) as rvol_vcp,
 round(case when count(*) < 2 then 0 else (max(azimuth_deg) - min(azimuth_deg)) / (count(*) - 1) end, 6) as az_spacing, case when count(*) < 2 then 0 else (max(azimuth_deg) - min(azimuth_deg)) / (count(*) - 1) end < 0.75 as super_res from p where accepted group by 1, 2, 3""")
 def a3_scan_geometry(spark, sf_dir):
-    good = assembled(spark, sf_dir)[1].where("accepted").withColumn("radial_idx", F.col("pos"))
+    good = assembled(spark, sf_dir, read_once=True)[1].where("accepted").withColumn("radial_idx", F.col("pos"))
     out = inspect.scan_geometry(good, ("site", "epoch", "elevation_number"))
     return out.withColumns({"mean_deg": F.round("mean_deg", 6), "az_spacing": F.round("az_spacing", 6)})
 
