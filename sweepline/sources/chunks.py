@@ -54,6 +54,34 @@ def _keyed(files: DataFrame) -> DataFrame:
     return out.select("site", "volume_seq", "chunk_no", "chunk_ts", "kind", "reason", "path", F.col("modificationTime").alias("arrival"), "content")
 
 
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """Write chunks (site, volume_seq, chunk_no, kind, content) as objects below a folder, named as read_chunks() wants them.
+
+    A task writes each object beside its place and moves it there, so that readers see whole ones
+    and a task that runs again writes the same.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for site, volume, number, kind, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = f"{base}/{site}/{volume}"
+                store.create_dir(at)
+                name = f"20200101-000000-{number:03d}-{kind}"
+                with store.open_output_stream(f"{at}/.{name}.part") as f:
+                    f.write(content)
+                store.move(f"{at}/.{name}.part", f"{at}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    spark = chunks.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    rows = chunks.select("site", F.col("volume_seq").cast("long"), F.col("chunk_no").cast("long"), "kind", "content")
+    map_arrow(rows, put, "n long").agg(F.sum("n")).collect()
+
+
 def sniffed_kind(content: Column) -> Column:
     """S, E or I from the first bytes (E before I: both have the same mark, E a negative length);
     null where they are too short or unknown."""
@@ -305,6 +333,46 @@ def decompress_chunks(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return map_arrow(chunks.select("site", F.col("volume_seq").cast("long"), F.col("chunk_no").cast("int"), "kind", "content"), run, f"{KEYS}, content binary, stream binary, error string")
 
 
+#: Numbers of a volume's chunks are below this; with the volume's number they order a site's chunks.
+CHUNKS_OF_A_VOLUME = 1000
+
+
+def assembly_inputs(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row per chunk, as a stream or a table, with what assembly takes: site, chunk_no (in order over
+    volumes), kind, arrival, vcp, radials (headers without moments), error.
+
+    chunks: site, volume_seq, chunk_no, kind, arrival, content. A chunk that cannot be read has its error
+    and nothing else; the last pattern of a chunk counts.
+    """
+    fields = ("elevation_number", "radial_status", "rvol_vcp", "julian_date", "scan_time_ms")
+    ray = pa.struct([("radial_idx", pa.int32()), *((f, pa.int32()) for f in fields[:4]), (fields[4], pa.int64())])
+
+    def read(kind: str, content: bytes | None) -> tuple[int | None, list[dict], str | None]:
+        try:
+            if _sniff(content) != kind:
+                raise ChunkError("KindMismatch")
+            vcp, rays = None, []
+            for _, head, record in walk(decompress(content, kind, limit)):
+                if head[2] == 5:
+                    vcp = decode_vcp(record)["vcp_number"]
+                elif head[2] == 31:
+                    r = decode_radial(record, frozenset())
+                    rays.append({"radial_idx": len(rays), "rvol_vcp": r["site_parameters"] and r["site_parameters"]["vcp_number"], **{f: r[f] for f in fields if f != "rvol_vcp"}})
+            return vcp, rays, None
+        except ChunkError as e:
+            return None, [], str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 50):
+                part = b.slice(start, 50)
+                got = [read(k.as_py(), c.as_py()) for k, c in zip(part.column(2), part.column(4), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(ray)), pa.array([g[2] for g in got], pa.string())], names=["site", "chunk_no", "kind", "arrival", "vcp", "radials", "error"])
+
+    rows = chunks.select("site", (F.col("volume_seq") * CHUNKS_OF_A_VOLUME + F.col("chunk_no")).cast("long").alias("chunk_no"), "kind", F.col("arrival").cast("timestamp").alias("arrival"), "content")
+    return map_arrow(rows, run, "site string, chunk_no long, kind string, arrival timestamp, vcp int, radials array<struct<radial_idx:int,elevation_number:int,radial_status:int,rvol_vcp:int,julian_date:int,scan_time_ms:bigint>>, error string")
+
+
 def messages(decoded: DataFrame) -> DataFrame:
     """Message headers of readable chunks, with msg_ts."""
     out = decoded.where("error is null and msg_type is not null").drop("radial", "vcp", "stream_bytes", "error")

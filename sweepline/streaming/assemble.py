@@ -1,25 +1,28 @@
 """Assembly, current state and feed health as stateful streams, keyed by site.
 
-State holds headers and sets of closed elevations, never gates. Late radials are found by state and
-not by a watermark, which would drop by time. The session needs the RocksDB state store provider.
+State holds headers and the elevations of the volume under way, never gates; rows of a micro-batch
+that have to wait for earlier ones wait in the state store. Late radials are found by state and not
+by a watermark, which would drop by time. The session needs the RocksDB state store provider.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..runtime import prepare
-from . import machine
+from .ordered import Ordered, frames
+from .volume import Volume
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATCHDOG = "12 minutes"
-STATE = "phase int, epoch long, open_elevation int, open_count long, closed array<int>, msg5 int, rvol int, julian_date int, scan_time_ms long"
-EVENTS = "site string, chunk_no long, seq int, event_type string, epoch long, elevation_number int, complete boolean, count long, status string, vcp_number int, julian_date int, scan_time_ms long"
+VOLUME = "epoch long, events long, under_way boolean, arrival long, seen array<int>, is_open boolean, taken long, msg5 int, rvol int, julian_date int, scan_time_ms long"
+EVENTS = "site string, chunk_no long, event_no long, event_type string, epoch long, elevation_number int, complete boolean, count long, status string, vcp_number int, julian_date int, scan_time_ms long"
 
 
 def _names(schema: str) -> list[str]:
@@ -30,142 +33,179 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _frame(site: str, chunk_no: int | None, events: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame([{"site": site, "chunk_no": chunk_no, "seq": i} | e for i, e in enumerate(events)], columns=_names(EVENTS))
-    return out.astype(object).where(out.notna(), None).astype({"seq": "int32"})
+class Assembler(Ordered):
+    order, block_rows = "chunk_no", 16  # a chunk has some hundred radials
 
-
-class Assembler(StatefulProcessor):
     def __init__(self, timeout_ms: int | None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("site", STATE)
+        super().init(handle)
+        self.state = handle.getValueState("volume", VOLUME)
 
-    def _load(self) -> machine.SiteState:
+    def _load(self) -> Volume:
         if not self.state.exists():
-            return machine.SiteState()
-        v = self.state.get()
-        return machine.SiteState(*v[:4], list(v[4]), *v[5:])
+            return Volume()
+        held = list(self.state.get())
+        return Volume(*held[:4], list(held[4]), *held[5:])
+
+    def _save(self, v: Volume) -> None:
+        self.state.update((v.epoch, v.events, v.under_way, v.arrival, v.seen, v.is_open, v.taken, v.msg5, v.rvol, v.julian_date, v.scan_time_ms))
+
+    def plain(self, row: tuple) -> list:
+        chunk_no, kind, vcp, arrival, radials = row
+        fields = ("radial_idx", "elevation_number", "radial_status", "rvol_vcp", "julian_date", "scan_time_ms")
+        known = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in (radials if radials is not None else [])]
+        rays = sorted([-1 if (x := r.get(f)) is None or x != x else int(x) for f in fields] for r in known)
+        return [*super().plain((chunk_no, kind, vcp, arrival)), rays]
+
+    def _rows(self, key, chunk_no: int | None, events: list[dict]) -> Iterator[tuple]:
+        for e in events:
+            yield tuple({"site": key[0], "chunk_no": chunk_no, **e}.get(c) for c in _names(EVENTS))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        batch = pd.concat(list(rows)).sort_values("chunk_no", kind="stable")
-        for chunk_no, kind, vcp, radials in zip(batch["chunk_no"], batch["kind"], batch["vcp"], batch["radials"], strict=True):
-            known = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in (radials if radials is not None else [])]
-            s, events = machine.on_chunk(s, kind, None if pd.isna(vcp) else int(vcp), sorted(known, key=lambda r: r["radial_idx"]))
-            if events:
-                yield _frame(key[0], int(chunk_no), events)
-        self.state.update(s.values())
+        v = self._load()
+
+        def events() -> Iterator[tuple]:
+            for chunk_no, kind, vcp, arrival, rays in self.in_order(x[["chunk_no", "kind", "vcp", "arrival_ms", "radials"]] for x in rows):
+                rays = np.array([r[1:] for r in rays], dtype=np.int64).reshape(len(rays), 5)
+                yield from self._rows(key, int(chunk_no), v.take(kind, None if vcp is None else int(vcp), rays, int(arrival or 0), self.timeout_ms))
+
+        yield from frames(events(), _names(EVENTS))
+        self._save(v)
         if self.timeout_ms is None:
             return
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if s.phase != machine.IDLE:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        if v.under_way:
+            self.handle.registerTimer(v.arrival + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, events = machine.on_silence(self._load())
-        self.state.update(s.values())
-        if events:
-            yield _frame(key[0], None, events)
+        v = self._load()
+        if v.silent(expiredTimerInfo.getExpiryTimeInMs(), self.timeout_ms):
+            out = v.close("TimedOut")
+            self._save(v)
+            yield from frames(self._rows(key, None, out), _names(EVENTS))
 
-    def close(self) -> None:
-        pass
 
-
-def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000) -> DataFrame:
+def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000, delay: str = "1 minute") -> DataFrame:
     """Assembly events as chunks come in; a sweep is reported in the micro-batch that closes it.
 
-    chunks: site, chunk_no, kind (S, I, E or RESET), vcp, radials (array of structs with radial_idx,
-    elevation_number, radial_status, rvol_vcp, julian_date, scan_time_ms). Rows of a site are put
-    in order within a micro-batch. A site that is silent for timeout_ms closes its volume; with None
-    there is no watchdog, as for the replay of an archive, whose silence says nothing of its sites.
+    chunks: site, chunk_no, kind (S, I, E or RESET), vcp, arrival, radials (array of structs with
+    radial_idx, elevation_number, radial_status, rvol_vcp, julian_date, scan_time_ms). Rows of a
+    site are put in order within a micro-batch. event_no numbers a site's events.
+
+    The watchdog goes by event time, so a replay gives what the live stream gave: a volume is
+    closed as TimedOut where the site's next chunk arrived timeout_ms or more after the one before,
+    or once the watermark (the latest arrival of any site less `delay`) has passed that moment.
+    Chunks that come later than that are dropped by Spark. With timeout_ms None there is no
+    watchdog and no watermark, and arrival is not needed.
     """
     prepare(chunks.sparkSession)
-    src = chunks.select("site", F.col("chunk_no").cast("long"), "kind", F.col("vcp").cast("int"), "radials")
-    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=EVENTS, outputMode="Append", timeMode="None" if timeout_ms is None else "ProcessingTime")
+    timed = timeout_ms is not None
+    src = chunks.withColumn("arrival", F.col("arrival").cast("timestamp")).withWatermark("arrival", delay) if timed else chunks
+    arrival = F.unix_millis("arrival") if timed else F.lit(0).cast("long")
+    kept = ["arrival"] * timed
+    src = src.select("site", F.col("chunk_no").cast("long").alias("chunk_no"), "kind", F.col("vcp").cast("int").alias("vcp"), "radials", arrival.alias("arrival_ms"), *kept)
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
-CURRENT = "site string, elevation_number int, volume long, vcp_number int, last_complete long, revision long"
-SITE = "vcp int, last_complete long, revision long, elevations array<int>, volumes array<long>"
+CHANGES = "site string, change string, elevation_number int, volume long, vcp_number int, last_complete long, revision long, since long"
 
 
-class CurrentState(StatefulProcessor):
+class CurrentState(Ordered):
+    order, block_rows = "event_no", 1024
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("current", SITE)
+        super().init(handle)
+        self.site = handle.getValueState("site", "vcp int, last_complete long, revision long, since long")
+        self.sweeps = handle.getMapState("sweeps", "elevation int", "volume long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        vcp, complete, revision, els, vols = self.state.get() if self.state.exists() else (-1, None, 0, [], [])
-        sweeps, out = dict(zip(els, vols, strict=True)), []
-        batch = pd.concat(list(rows)).sort_values("event_no", kind="stable")
-        for kind, el, volume, new_vcp, status in zip(batch["event_type"], batch["elevation_number"], batch["volume"], batch["vcp_number"], batch["status"], strict=True):
-            if kind == "RESET":
-                sweeps, vcp, complete, revision = {}, -1, None, revision + 1
-            elif kind == "SweepClosed":
-                if vcp not in (-1, int(new_vcp)):
-                    sweeps = {}
-                vcp, el = int(new_vcp), int(el)
-                if el in sweeps and volume < sweeps[el]:
+        vcp, complete, revision, since = self.site.get() if self.site.exists() else (-1, None, 0, 0)
+        sweeps = {int(e[0]): int(v[0]) for e, v in self.sweeps.iterator()}  # one entry per elevation of a pattern
+
+        def changes() -> Iterator[tuple]:
+            nonlocal vcp, complete, revision, since
+            for _, kind, el, volume, new_vcp, status in self.in_order(x[["event_no", "event_type", "elevation_number", "volume", "vcp_number", "status"]] for x in rows):
+                at = None
+                if kind == "RESET":
+                    change, vcp, complete = "reset", -1, None
+                    sweeps.clear()
+                    since = revision + 1
+                elif kind == "SweepClosed":
+                    change, at = "sweep", int(el)
+                    if vcp not in (-1, int(new_vcp)):
+                        sweeps.clear()
+                        since = revision + 1
+                    vcp = int(new_vcp)
+                    if volume < sweeps.get(at, volume):
+                        continue
+                    sweeps[at] = int(volume)
+                elif kind == "VolumeClosed" and status == "Complete":
+                    change, complete = "complete", int(volume)
+                else:
                     continue
-                sweeps[el] = int(volume)
                 revision += 1
-                out.append((key[0], el, int(volume), vcp, complete, revision))
-            elif kind == "VolumeClosed" and status == "Complete":
-                complete, revision = int(volume), revision + 1
-                out.append((key[0], None, None, vcp, complete, revision))
-        self.state.update((vcp, complete, revision, list(sweeps), list(sweeps.values())))
-        if out:
-            yield pd.DataFrame(out, columns=_names(CURRENT))
+                yield key[0], change, at, sweeps[at] if at is not None else None, vcp, complete, revision, since
 
-    def close(self) -> None:
-        pass
+        yield from frames(changes(), _names(CHANGES))
+        self.site.update((vcp, complete, revision, since))
+        self.sweeps.clear()
+        for e, v in sweeps.items():
+            self.sweeps.updateValue((e,), (v,))
 
 
 def current_state_stream(events: DataFrame) -> DataFrame:
-    """Changes of the current sweeps and of the last complete volume, with the site's revision.
+    """Changes of the current sweeps, of the last complete volume and resets, with the site's revision.
 
-    events: site, event_no, event_type, elevation_number, volume (long), vcp_number, status.
+    events: site, event_no, event_type, elevation_number, volume (long), vcp_number, status. A
+    site's current sweeps are the latest of each elevation among changes of revision `since` and
+    later, where since is that of the site's last change: a VCP change and a reset move it on.
     """
     prepare(events.sparkSession)
-    return events.groupBy("site").transformWithStateInPandas(statefulProcessor=CurrentState(), outputStructType=CURRENT, outputMode="Append", timeMode="None")
+    src = events.select("site", F.col("event_no").cast("long").alias("event_no"), "event_type", "elevation_number", F.col("volume").cast("long").alias("volume"), "vcp_number", "status")
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=CurrentState(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
 HEALTH = "site string, seq long, attempts long, state string"
 
 
-class FeedHealth(StatefulProcessor):
+class FeedHealth(Ordered):
+    order, block_rows = "seq", 1024
+
     def __init__(self, stalled_after: int):
         self.stalled_after = stalled_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.run = handle.getValueState("run", "attempts long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.run.get()[0] if self.run.exists() else 0
-        out = []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for seq, bad, moved in zip(batch["seq"], batch["is_error"], batch["reanchored"], strict=True):
-            n = n + 1 if bad else 0
-            state = "ReAnchoring" if moved else "Polling" if n == 0 else "Stalled" if n >= self.stalled_after else f"Retrying({n})"
-            out.append((key[0], int(seq), n, state))
-        self.run.update((n,))
-        yield pd.DataFrame(out, columns=_names(HEALTH))
 
-    def close(self) -> None:
-        pass
+        def states() -> Iterator[tuple]:
+            nonlocal n
+            for seq, bad, moved in self.in_order(x[["seq", "is_error", "reanchored"]] for x in rows):
+                n = n + 1 if bad else 0
+                yield key[0], int(seq), n, "ReAnchoring" if moved else "Polling" if n == 0 else "Stalled" if n >= self.stalled_after else f"Retrying({n})"
+
+        yield from frames(states(), _names(HEALTH))
+        self.run.update((n,))
 
 
 def feed_health_stream(polls: DataFrame, stalled_after: int = 5) -> DataFrame:
     """ingest_state() on a stream of polls: site, seq, is_error, reanchored."""
     prepare(polls.sparkSession)
-    src = polls.select("site", F.col("seq").cast("long"), "is_error", "reanchored")
+    src = polls.select("site", F.col("seq").cast("long").alias("seq"), "is_error", "reanchored")
     return src.groupBy("site").transformWithStateInPandas(statefulProcessor=FeedHealth(stalled_after), outputStructType=HEALTH, outputMode="Append", timeMode="None")
 
 
 def activity_windows(chunks: DataFrame, gap: str = WATCHDOG, delay: str = WATCHDOG) -> DataFrame:
-    """Sessions of activity per site (batch or stream): start, end, n_chunks; a session ends with `gap` of silence."""
+    """Sessions of activity per site (batch or stream): start, end, n_chunks; a session ends with `gap` of silence.
+
+    As a stream a session is put out once the watermark has passed its end.
+    """
     timed = chunks.withColumn("arrival", F.col("arrival").cast("timestamp"))
     if timed.isStreaming:
         timed = timed.withWatermark("arrival", delay)

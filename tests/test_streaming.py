@@ -3,13 +3,16 @@ import random
 import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from test_assembly import enact, ray
 
+from sweepline.operators import state
+from sweepline.sources import tables
 from sweepline.streaming import assemble
 
 T0 = dt.datetime(2026, 7, 28, 9, 0)
 RAYS = "array<struct<radial_idx:int,elevation_number:int,radial_status:int,rvol_vcp:int,julian_date:int,scan_time_ms:bigint>>"
-CHUNKS = f"site string, chunk_no long, kind string, vcp int, radials {RAYS}"
+CHUNKS = f"site string, chunk_no long, kind string, vcp int, arrival timestamp, radials {RAYS}"
 
 
 @pytest.fixture(autouse=True)
@@ -18,7 +21,11 @@ def rocksdb(spark):
 
 
 def rows(sequence, site):
-    return [(site, i, kind, vcp, [(j, e, s, v, 20000, 1000 * i + j) for j, (e, s, v) in enumerate(rays)]) for i, (kind, vcp, rays, *_) in enumerate(sequence)]
+    out, at = [], T0
+    for i, (kind, vcp, rays, *gap) in enumerate(sequence):
+        at += dt.timedelta(seconds=gap[0] if gap else 10)
+        out.append((site, i, kind, vcp, at, [(j, e, s, v, 20000, 1000 * i + j) for j, (e, s, v) in enumerate(rays)]))
+    return out
 
 
 def in_files(spark, data, schema, path, n):
@@ -37,51 +44,102 @@ def finish(df, name, path):
         raise q.exception()
 
 
-def run_until_read(df, name, path, n):
-    """For streams with timers, which availableNow would keep going: stop once n rows are read."""
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", path).outputMode("append").trigger(processingTime="1 second").start()
-    for _ in range(240):
-        time.sleep(0.5)
-        if not q.isActive or sum(p["numInputRows"] for p in q.recentProgress) >= n:
-            break
-    q.stop()
-    if q.exception():
-        raise q.exception()
+@pytest.fixture(params=[10_000, 3])
+def arrow_rows(spark, request):
+    """Rows to an Arrow batch: all of a site's, or so few that they wait for one another in the state store."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(request.param))
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_stream_agrees_with_the_machine(spark, tmp_path):
+def test_stream_agrees_with_the_rules(spark, tmp_path, arrow_rows):
     rng = random.Random(8)
-    sequence = [(k, 121 if k == "S" else None, [] if k == "S" else [ray(rng.randrange(1, 4), rng.choice([1, 1, 1, 2, 4]), rng.choice([None, 35])) for _ in range(4)]) for k in (rng.choice("SIIIIE") for _ in range(30))]
+    sequence = [(k, 121 if k == "S" else None, [] if k == "S" else [ray(rng.randrange(1, 4), rng.choice([1, 1, 1, 2, 4]), rng.choice([None, 35])) for _ in range(4)], rng.choice([10, 10, 700])) for k in (rng.choice("SIIIIE") for _ in range(40))]
     data = [r for pair in zip(rows(sequence, "KDOX"), rows(sequence, "KTLH"), strict=True) for r in pair]
-    run_until_read(assemble.assemble_stream(in_files(spark, data, CHUNKS, str(tmp_path / "in"), 3)), "assembled", str(tmp_path / "c"), len(data))
+    half = len(data) // 2
+    data = rng.sample(data[:half], half) + rng.sample(data[half:], len(data) - half)  # in order from file to file only
+    finish(assemble.assemble_stream(in_files(spark, data, CHUNKS, str(tmp_path / "in"), 2), timeout_ms=600_000), "assembled", str(tmp_path / "c"))
     for site in ("KDOX", "KTLH"):
-        got = spark.sql(f"select * from assembled where site = '{site}' order by chunk_no, seq").collect()
+        got = spark.sql(f"select * from assembled where site = '{site}' order by event_no").collect()
         assert [(r.event_type, r.elevation_number, r.complete, r["count"], r.status, r.vcp_number) for r in got] == enact(sequence)
 
 
 def test_watchdog_and_reset(spark, tmp_path):
-    data = rows([("S", None, []), ("I", None, [ray(1)])], "KDOX") + rows([("S", None, []), ("I", None, [ray(1)]), ("RESET", None, [])], "KTLH")
+    """KDOX falls silent and KTLH goes on: the watermark alone ends the volume of KDOX, and nothing else."""
+    data = rows([("S", None, []), ("I", None, [ray(1)])], "KDOX") + rows([("S", None, []), ("I", None, [ray(1)]), ("RESET", None, []), ("S", None, [], 700), ("I", None, [ray(2)], 100)], "KTLH")
     stream = in_files(spark, data, CHUNKS, str(tmp_path / "in"), 1)
-    q = assemble.assemble_stream(stream, timeout_ms=1500).writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
-    got = []
-    for _ in range(60):
-        time.sleep(1)
-        got = [(r.site, r.event_type, r.status) for r in spark.sql("select * from watched order by site, seq").collect()]
-        if ("KDOX", "VolumeClosed", "TimedOut") in got:
-            break
-    q.stop()
-    assert ("KDOX", "VolumeClosed", "TimedOut") in got and ("KTLH", "RESET", None) in got and ("KTLH", "VolumeClosed", "TimedOut") not in got
-
-
-def test_current_state(spark, tmp_path):
-    schema = "site string, event_no long, event_type string, elevation_number int, volume long, vcp_number int, status string"
-    data = [("K", 0, "SweepClosed", 1, 5, 35, None), ("K", 1, "SweepClosed", 1, 4, 35, None), ("K", 2, "VolumeClosed", None, 5, 35, "Complete"), ("K", 3, "SweepClosed", 2, 4, 212, None), ("K", 4, "RESET", None, None, None, None), ("K", 5, "SweepClosed", 1, 1, 35, None)]
-    finish(assemble.current_state_stream(in_files(spark, data, schema, str(tmp_path / "in"), 2)), "current", str(tmp_path / "c"))
-    got = [tuple(r) for r in spark.sql("select elevation_number, volume, vcp_number, last_complete, revision from current order by revision").collect()]
-    assert got == [(1, 5, 35, None, 1), (None, None, 35, 5, 2), (2, 4, 212, 5, 3), (1, 1, 35, None, 5)]
-
-
-def test_feed_health_agrees_with_windows(spark, tmp_path):
+    finish(assemble.assemble_stream(stream, timeout_ms=600_000), "watched", str(tmp_path / "c"))
+    got = [(r.site, r.event_type, r.elevation_number, r.status) for r in spark.sql("select * from watched order by site, event_no").collect()]
+    assert got == [("KDOX", "SweepClosed", 1, None), ("KDOX", "VolumeClosed", None, "TimedOut"), ("KTLH", "RESET", None, None)]
+
+
+STATE_EVENTS = "site string, event_no long, event_type string, elevation_number int, volume long, vcp_number int, status string"
+STATE_ROWS = [("K", 0, "SweepClosed", 1, 5, 35, None), ("K", 1, "SweepClosed", 1, 4, 35, None), ("K", 2, "VolumeClosed", None, 5, 35, "Complete"), ("K", 3, "SweepClosed", 2, 4, 212, None), ("K", 4, "RESET", None, None, None, None), ("K", 5, "SweepClosed", 1, 1, 35, None), ("L", 0, "SweepClosed", 3, 7, 35, None)]
+
+
+def test_current_state(spark, tmp_path, arrow_rows):
+    finish(assemble.current_state_stream(in_files(spark, STATE_ROWS[::-1], STATE_EVENTS, str(tmp_path / "in"), 1)), "current", str(tmp_path / "c"))
+    got = [tuple(r) for r in spark.sql("select change, elevation_number, volume, vcp_number, last_complete, revision, since from current where site = 'K' order by revision").collect()]
+    assert got == [("sweep", 1, 5, 35, None, 1, 0), ("complete", None, None, 35, 5, 2, 0), ("sweep", 2, 4, 212, 5, 3, 3), ("reset", None, None, -1, None, 4, 4), ("sweep", 1, 1, 35, None, 5, 4)]
+
+
+@pytest.mark.parametrize("dies_at", ["before the first table", "between the tables", "after both"])
+def test_killed_stream_keeps_tables_equal_to_batch(spark, tmp_path, monkeypatch, dies_at):
+    """The stream dies in its second micro-batch, at any point, and is started again."""
+    calls, upsert = [], tables.KeyedTable.upsert
+
+    def failing(self, batch, number):
+        calls.append(self.path.rsplit("/", 1)[-1])
+        first = "dead" not in calls and number == 1
+        if first and dies_at == "before the first table":
+            calls.append("dead")
+            raise RuntimeError("killed")
+        done = upsert(self, batch, number)
+        if first and dies_at == ("between the tables" if calls[-1] == "sweeps" else "after both"):
+            calls.append("dead")
+            raise RuntimeError("killed")
+        return done
+
+    monkeypatch.setattr(tables.KeyedTable, "upsert", failing)
+    changes = assemble.current_state_stream(in_files(spark, STATE_ROWS, STATE_EVENTS, str(tmp_path / "in"), 3))
+    for turn in range(2):
+        q = tables.keep_current(changes, str(tmp_path / "t"), str(tmp_path / "c"), {"availableNow": True})
+        try:
+            q.awaitTermination()
+            assert turn == 1
+        except StreamingQueryException:
+            assert turn == 0
+    live, sites = tables.current_tables(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame(STATE_ROWS, STATE_EVENTS)
+    assert sorted((r.site, r.elevation_number, r.volume) for r in live.collect()) == sorted((r.site, r.elevation_number, r.volume) for r in state.current_sweeps(df).collect())
+    want = {r.site: (r.revision, r.last_complete) for r in state.snapshot(df).collect()}
+    assert {r.site: (r.revision, r.last_complete) for r in sites.collect()} == want
+    assert calls.count("dead") == 1
+
+
+def test_replayed_batch_is_not_appended_twice(spark, tmp_path):
+    stream = in_files(spark, [("K", i) for i in range(6)], "site string, n int", str(tmp_path / "in"), 2)
+    for _ in range(2):
+        q = tables.stream_table(stream, str(tmp_path / "t"), str(tmp_path / "c"))
+        q.processAllAvailable()
+        q.stop()
+        for f in (tmp_path / "c" / "commits").glob("*1*"):  # as if it had died before the last commit
+            f.unlink()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(6))
+
+
+def test_keyed_table(spark, tmp_path):
+    schema = "k string, n long, v string"
+    t = tables.KeyedTable(str(tmp_path / "t"), ("k",), "n", buckets=3)
+    assert t.read(spark, schema).count() == 0
+    assert t.upsert(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 5, "z"), ("b", 1, "q")], schema), 0)
+    assert not t.upsert(spark.createDataFrame([("a", 9, "no")], schema), 0)
+    assert t.upsert(spark.createDataFrame([], schema), 1)
+    assert t.upsert(spark.createDataFrame([("a", 1, "old"), ("b", 3, "new")], schema), 2)
+    assert sorted((tuple(r) for r in t.read(spark, schema).collect()), key=repr) == sorted([("a", 2, "y"), (None, 5, "z"), ("b", 3, "new")], key=repr)
+
+
+def test_feed_health_agrees_with_windows(spark, tmp_path, arrow_rows):
     from sweepline.operators.feed import ingest_state
 
     rng = random.Random(2)
