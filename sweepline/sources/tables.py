@@ -110,8 +110,12 @@ def keep_current(changes: DataFrame, path: str, checkpoint: str, trigger: dict |
     sweeps, sites = state_tables(path)
 
     def put(batch: DataFrame, number: int) -> None:
+        # two tables read it; and the stream's state is only committed if all of it is computed, even where both tables have it
+        batch = batch.persist()
+        batch.count()
         sweeps.upsert(batch.where("change = 'sweep'").select("site", "elevation_number", "volume", "vcp_number", "revision"), number)
         sites.upsert(batch.select("site", "vcp_number", "last_complete", "revision", "since"), number)
+        batch.unpersist()
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**trigger or {"processingTime": "5 seconds"}).start()
 
