@@ -25,11 +25,32 @@ from ..runtime import map_arrow
 END = "</w>"
 LONG = 64  # symbols; longer fragments and pieces are merged by a heap, and not remembered
 # Fixed values, which must equal the tokenizer file's: white space, and the pattern of pieces
-# (letters first, which changes nothing: its branches differ in their first character). Letters are
-# those of the regex module's Unicode version; unassigned code points may differ from the library's.
+# (letters first, which changes nothing: its branches differ in their first character).
 SPACES = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"\p{{L}}+|\p{{N}}|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACES}\p{{L}}\p{{N}}]+")
 
+# Where the library's Unicode tables are not those of Python and of the regex module.
+# Code points that it does not take for letters or numbers (they were assigned later):
+LATER = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A"
+    r"\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA"
+    r"\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF"
+    r"\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+# Marks that it does not reorder when it normalises:
+UNORDERED = (
+    r"\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85"
+    r"\U00011070\U0001133B\U0001145E\U00011839-\U0001183A\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1"
+    r"\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
+# Capitals that it lower-cases and Python does not know yet, as (first, last, lower of the first):
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+
+LOWER = {c: to + c - a for a, b, to in CAPITALS for c in range(a, b + 1)}
+RARE = regex.compile(f"[{LATER}{UNORDERED}{''.join(map(chr, LOWER))}]")
+MARKS = regex.compile(f"([{UNORDERED}])")
+RARE_PIECE = regex.compile(rf"(?:(?![{LATER}])\p{{L}})+|(?![{LATER}])\p{{N}}|'s|'t|'re|'ve|'m|'ll|'d|(?:[{LATER}]|[^{SPACES}\p{{L}}\p{{N}}])+")
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself, or the next free one from 256."""
@@ -147,10 +168,15 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str]:
         """Normalise as the vocabulary file says, and split."""
+        pattern = PIECE
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if RARE.search(text):
+                pattern = RARE_PIECE
+                text = "".join(unicodedata.normalize("NFC", x) for x in MARKS.split(text)).translate(LOWER)
+            else:
+                text = unicodedata.normalize("NFC", text)
         # lower case letter by letter: no special rule for a final sigma
-        return PIECE.findall((text.replace("Σ", "σ") if "Σ" in text else text).lower())
+        return pattern.findall((text.replace("Σ", "σ") if "Σ" in text else text).lower())
 
     def words_of(self, text: str | None) -> list[tuple[tuple[int, ...], str, str]]:
         if not text:

@@ -759,3 +759,21 @@ def test_arrays_find_every_hash_and_no_other(tmp_path):
     for foreign in (12345, -77777, 21, -21):
         with pytest.raises(RuntimeError):
             arrays.surprise(7, np.array([h[5], foreign]))
+
+def test_bpe_every_code_point_as_the_library(spark):
+    """Each code point between letters, and behind a letter with marks that normalising may move round it."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    theirs, ours = Tokenizer.from_file(path), bpe.load(path)
+    theirs.no_truncation()
+    theirs.no_padding()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for start in range(0, len(points), 64 * 256):
+        part = points[start : start + 64 * 256]
+        texts = [form.join(["", *part[i : i + 64], ""]) for i in range(0, len(part), 64) for form in ("b a", "̖́ e")]
+        for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+            if ours.encode(t) != e.ids:
+                wrong.append(t)
+    assert not wrong
