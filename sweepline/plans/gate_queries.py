@@ -18,11 +18,11 @@ STATUS_SQL = "case status when 0 then 'StartOfElevation' when 1 then 'Intermedia
 WAVEFORM_SQL = "case waveform when 1 then 'Contiguous Surveillance' when 2 then 'Contiguous Doppler with ambiguity resolution' when 3 then 'Contiguous Doppler' when 4 then 'Batch' when 5 then 'Staggered Pulse Pair' else 'Unknown(' || waveform || ')' end"
 CHANNEL_SQL = "case channel when 0 then 'Constant Phase' when 1 then 'Random Phase' when 2 then 'SZ2 Phase' else 'Unknown(' || channel || ')' end"
 SPACING_SQL = "case spacing when 1 then '0.5 deg' when 2 then '1.0 deg' else 'Unknown(' || spacing || ')' end"
-MESSAGE_SQL = """case {c} when 1 then 'Digital Radar Data (legacy)' when 2 then 'RDA Status Data' when 3 then 'Performance/Maintenance Data' when 5 then 'Volume Coverage Pattern' when 6 then 'RDA Control Commands' when 7 then 'Volume Coverage Pattern (RPG)'
-when 8 then 'Clutter Sensor Zones' when 9 then 'Request for Data' when 10 then 'Console Message' when 11 then 'Loop Back Test (RDA → RPG)' when 12 then 'Loop Back Test (RPG → RDA)' when 13 then 'Clutter Filter Bypass Map' when 15 then 'Clutter Filter Map'
-when 17 then 'RDA Adaptation Data' when 18 then 'RDA Adaptation Data (new)' when 20 then 'Spare' when 29 then 'User Selectable Parameters' when 31 then 'Digital Radar Data Generic Format (Message 31)' when 32 then 'Spare / Unknown' else 'Unknown(' || {c} || ')' end"""
-VCP_SQL = """case vcp when 11 then 'Severe Weather (14 sweeps, ~5 min)' when 12 then 'Severe Weather (14 sweeps, SAILS capable)' when 21 then 'Precipitation/Clear Air (~6 min)' when 31 then 'Clear Air (long PRI, ~10 min)' when 32 then 'Clear Air (short PRI)'
-when 35 then 'SAILS (6 sweeps, ~3.5 min)' when 80 then 'Maintenance/Test' when 112 then 'AVSET Severe Weather' when 121 then 'Precipitation, multiple PRF' when 212 then 'AVSET Precipitation' when 215 then 'AVSET Clear Air' else 'Unknown(' || vcp || ')' end"""
+MESSAGE_SQL = """case {c} when 1 then 'Digital Radar Data' when 2 then 'RDA Status Data' when 3 then 'Performance/Maintenance Data' when 4 then 'Console Message - RDA to RPG' when 5 then 'Volume Coverage Pattern - RDA to RPG' when 6 then 'RDA Control Commands'
+when 7 then 'Volume Coverage Pattern - RPG to RDA' when 8 then 'Clutter Censor Zones' when 9 then 'Request for Data' when 10 then 'Console Message - RPG to RDA' when 11 then 'Loop Back Test - RDA to RPG' when 12 then 'Loop Back Test - RPG to RDA'
+when 13 then 'Clutter Filter Bypass Map' when 14 then 'Spare' when 15 then 'Clutter Filter Map' when 16 then 'Reserved - RDA to RPG' when 17 then 'Reserved - RPG to RDA' when 18 then 'RDA Adaptation Data' when 29 then 'Model Data'
+when 31 then 'Digital Radar Data Generic Format' when 32 then 'RDA PRF Data' when 33 then 'RDA Log Data' else 'Unknown(' || {c} || ')' end"""
+VCP_SQL = "case when vcp in (31, 32, 35) then 'clear air' when vcp in (11, 12, 21, 112, 121, 211, 212, 215, 221) then 'precipitation' when vcp = 80 then 'maintenance' else 'Unknown(' || vcp || ')' end"
 SUPER_RES_SQL = "concat_ws(',', case when mask & 1 <> 0 then 'half_degree' end, case when mask & 2 <> 0 then 'doppler_300km' end, case when mask & 4 <> 0 then 'dual_pol' end, case when mask & 8 <> 0 then 'dual_pol_300km' end)"
 REFLECTIVITY_SQL = """when value >= 75 then '9854C6FF' when value >= 70 then 'F800FDFF' when value >= 65 then 'BC0000FF' when value >= 60 then 'D40000FF' when value >= 55 then 'FD0000FF' when value >= 50 then 'FD9500FF' when value >= 45 then 'E5BC00FF' when value >= 40 then 'FDF802FF'
 when value >= 35 then '008E00FF' when value >= 30 then '01C501FF' when value >= 25 then '02FD02FF' when value >= 20 then '0300F4FF' when value >= 15 then '019FF4FF' when value >= 10 then '04E9E7FF' when value >= 5 then '767676FF'"""
@@ -150,9 +150,15 @@ def s7_allowlist(spark, sf_dir):
     return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
 
 
-@query(HOSTS)
+ALLOWED = ("ththble.example.net", "www.cheap-pills.example.com", "thther.example.org", "blog.tionsh.example.net")
+
+
+@query(HOSTS.replace("host not in (select host from s where regexp_matches(host, '^[a-z.]*\\.example\\.com$'))", f"host not in {ALLOWED}"))
 def s7_allowlist_all_hosts(spark, sf_dir):
-    return s7_allowlist(spark, sf_dir)
+    """The form with a short list of names, which are compared as literals."""
+    urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host")
+    good, bad = rules.split_by_allowlist(urls, "host", ALLOWED)
+    return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
 
 
 @query("with t as (select event_id, props || ' ~*/é' || event_type as s from events) select event_id, replace(replace(url_encode(s), '+', '%20'), '%7E', '~') as query_value, replace(replace(replace(url_encode(s), '+', '%20'), '%7E', '~'), '%2F', '/') as path_value, '/?list-type=2&prefix=' || url_encode(event_type) || case when event_id % 2 = 0 then '&start-after=' || replace(replace(url_encode(s), '+', '%20'), '%7E', '~') else '' end as listing from t join events using (event_id)")
@@ -338,9 +344,17 @@ def g3_ppi_grid(spark, sf_dir):
     return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")
 
 
-@query(PPI)
+def _larger(sql: str) -> str:
+    """PPI's text for velocities on 40 x 40 cells over 6 km."""
+    sql = sql.replace("(x - 8) * 0.5", "(x - 20) * 0.3").replace("(8 - y) * 0.5", "(20 - y) * 0.3").replace("range(16)", "range(40)").replace("r <= 4.0", "r <= 6.0")
+    return sql.replace("m.product = 'DREF'", "m.product = 'DVEL'").replace(REFLECTIVITY_SQL, VELOCITY_SQL)
+
+
+@query(_larger(PPI))
 def g3_ppi_grid_all_sites(spark, sf_dir):
-    return g3_ppi_grid(spark, sf_dir)
+    """Velocities of every sweep of every site, on a finer grid that reaches further."""
+    out = grid.ppi_grid(spark.sql(RADIAL_TABLE, g=view(spark, sf_dir, "gates")), view(spark, sf_dir, "moments"), "DVEL", 6.0, 40, ["site", "elevation_number"])
+    return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")
 
 
 BINNED = GATES + f""", v0 as (select *, round(elevation_deg, 1) as angle, {VALUE} as value, first_gate_m / 1000.0 + gate_idx * gate_width_m / 1000.0 as range_km from gates where product = 'DREF'),
