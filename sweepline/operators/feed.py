@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -37,17 +34,7 @@ def ingest_state(polls: DataFrame, stalled_after: int = STALLED_AFTER) -> DataFr
     attempts: errors in a row up to here. State: ReAnchoring where the poll re-anchored, else
     Polling, Retrying(n), or Stalled from stalled_after errors on.
     """
-    # attempts are the errors so far, less those up to the last success; both come in blocks
-    so_far = scan.upto(scan.inside("seq"))
-    out = scan.cut(polls, "seq").withColumn("_errors", F.sum(F.col("is_error").cast("int")).over(so_far))
-    out = out.withColumn("_forgiven", F.max(F.when(~F.col("is_error"), F.col("_errors"))).over(so_far))
-
-    def carried(blocks: DataFrame, w: WindowSpec) -> DataFrame:
-        out = blocks.withColumn("_errors_before", F.coalesce(F.sum("n").over(scan.earlier(w)), F.lit(0)))
-        return out.withColumn("_forgiven_before", F.coalesce(F.max(F.col("_errors_before") + F.col("forgiven")).over(scan.earlier(w)), F.lit(0)))
-
-    out = scan.carry(out, [F.max("_errors").alias("n"), F.max("_forgiven").alias("forgiven")], carried)
-    out = out.withColumn("attempts", F.col("_errors_before") + F.col("_errors") - F.coalesce(F.col("_errors_before") + F.col("_forgiven"), F.col("_forgiven_before"))).select(*polls.columns, "attempts")
+    out = scan.streak(polls, F.col("is_error"), "seq").drop("missed").withColumnRenamed("streak", "attempts")
     state = F.when(F.col("reanchored"), "ReAnchoring").when(F.col("attempts") == 0, "Polling").when(F.col("attempts") >= stalled_after, "Stalled").otherwise(F.concat(F.lit("Retrying("), F.col("attempts").cast("string"), F.lit(")")))
     return out.withColumn("state", state)
 
@@ -75,36 +62,39 @@ def next_action(df: DataFrame) -> DataFrame:
 def recovery_actions(polls: DataFrame) -> DataFrame:
     """All actions over a site's polls: each one moves the target that later ones start from.
 
-    polls: site (string), seq, n_keys (new keys of the volume polled), newest (nullable), start (the
-    site's first target). One row per poll: site, seq, target, action, new_target, empty_polls (in a
-    row, this one included). A site's polls stream through in order; of those before, only target,
-    empty and seen are held.
+    polls: site, seq, n_keys (new keys of the volume polled; null is none), newest (nullable), start
+    (the site's first target). One row per poll: site, seq, target, action, new_target, empty_polls
+    (in a row since the last decision, this one included).
+
+    When a decision is due follows from the run of empty polls alone: every REANCHOR_AFTER of them,
+    but after STUCK_AFTER first where data was seen before the run. Advancing adds one to the target
+    and re-anchoring takes the greater of two, so the target is the number of advances so far, plus
+    the greatest of what re-anchoring offered, each less the advances before it: a running sum and a
+    running maximum, which come in blocks of a site's history.
     """
-    schema = pa.schema([("site", pa.string()), ("seq", pa.int64()), ("target", pa.int64()), ("action", pa.string()), ("new_target", pa.int64()), ("empty_polls", pa.int64())])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, target, empty, seen = object(), 0, 0, False
-        for b in batches:
-            out = []
-            for site, seq, n_keys, newest, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if site != last:
-                    last, target, empty, seen = site, int(start), 0, False
-                before, action, count = target, "Continue", 0
-                if n_keys is not None and n_keys > 0:
-                    empty, seen = 0, True
-                else:
-                    empty += 1
-                    count = empty
-                    if not seen and empty >= REANCHOR_AFTER:
-                        ahead = max(int(newest) - 1, 0) if newest is not None else target
-                        empty = 0
-                        if ahead > target:
-                            action, target = "ReAnchor", ahead
-                    elif seen and empty >= STUCK_AFTER:
-                        action, target, empty, seen = "Advance", target + 1, 0, False
-                out.append((site, seq, before, action, target, count))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    rows = polls.select("site", "seq", "n_keys", "newest", "start").repartition("site").sortWithinPartitions("site", F.asc_nulls_last("seq"))
-    return rows.mapInArrow(fold, "site string, seq long, target long, action string, new_target long, empty_polls long")
+    empty = F.coalesce(F.col("n_keys"), F.lit(0)) <= 0
+    runs = scan.streak(polls.select("site", "seq", "n_keys", "newest", "start"), empty, "seq")
+    stuck_first = F.when(F.col("missed"), STUCK_AFTER).otherwise(0)
+    beyond = F.col("streak") - stuck_first  # polls of the run in which nothing counts as seen
+    runs = runs.withColumns({
+        "empty_polls": F.when(F.col("streak") == 0, 0).when(beyond > 0, (beyond - 1) % REANCHOR_AFTER + 1).otherwise(F.col("streak")),
+        "_advance": (F.col("missed") & (F.col("streak") == STUCK_AFTER)).cast("int"),
+        "_ahead": F.when((beyond > 0) & (beyond % REANCHOR_AFTER == 0), F.greatest(F.col("newest") - 1, F.lit(0))),
+    })
+    w = scan.inside("seq")
+    runs = scan.cut(runs, "seq").withColumn("_advances", F.sum("_advance").over(scan.upto(w)))
+    offer = F.col("_ahead") - F.col("_advances")
+    runs = runs.withColumns({"_best": F.max(offer).over(scan.upto(w)), "_best_before": F.max(offer).over(scan.earlier(w))})
+
+    def carried(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        out = blocks.withColumn("_earlier", F.coalesce(F.sum("advances").over(scan.earlier(w)), F.lit(0)))
+        return out.withColumn("_best_earlier", F.max(F.col("best") - F.col("_earlier")).over(scan.earlier(w)))
+
+    runs = scan.carry(runs, [F.sum("_advance").alias("advances"), F.max("_best").alias("best")], carried)
+    starts = polls.groupBy(F.col("site").alias("_site")).agg(F.min_by("start", "seq").alias("_start"))
+    runs = runs.join(starts, F.col("site").eqNullSafe(F.col("_site")))
+    total = F.col("_earlier") + F.col("_advances")
+    target = total - F.col("_advance") + F.greatest("_start", "_best_earlier", F.col("_best_before") - F.col("_earlier"))
+    new_target = total + F.greatest("_start", "_best_earlier", F.col("_best") - F.col("_earlier"))
+    action = F.when(F.col("_advance") == 1, "Advance").when(new_target > target, "ReAnchor").otherwise("Continue")
+    return runs.select("site", F.col("seq").cast("long").alias("seq"), target.cast("long").alias("target"), action.alias("action"), new_target.cast("long").alias("new_target"), F.col("empty_polls").cast("long").alias("empty_polls"))

@@ -126,3 +126,12 @@ def azimuth_coverage(radials: DataFrame, keys: tuple[str, ...], gap_deg: float =
     gap = F.coalesce(F.lead("azimuth_deg").over(w), first + 360.0) - F.col("azimuth_deg")
     wide = F.when(F.col("gap") > gap_deg, F.col("gap"))
     return radials.withColumn("gap", gap).groupBy(*keys).agg(F.count(wide).alias("n_gaps"), F.coalesce(F.sum(wide), F.lit(0.0)).alias("missing_deg"), F.max("gap").alias("widest_deg"))
+
+
+def by_azimuth(radials: DataFrame, keys: tuple[str, ...] = ("site", "elevation_number")) -> DataFrame:
+    """Radials in the order of their azimuths round each sweep, with place from 1.
+
+    Equal azimuths keep the radials' order; radials without an azimuth (null or NaN) are left out.
+    """
+    valid = radials.where(F.col("azimuth_deg").isNotNull() & ~F.isnan("azimuth_deg"))
+    return valid.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("azimuth_deg", "radial_idx")))

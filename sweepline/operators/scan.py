@@ -66,3 +66,21 @@ def neighbours(df: DataFrame, value: Column, order: str, by: tuple[str, ...] = (
     summary = [F.min_by(value, order).alias("first_one"), F.max_by(value, order).alias("last_one")]
     rows = carry(rows, summary, lambda b, w: b.withColumns({"block_before": F.lag("last_one").over(w), "block_after": F.lead("first_one").over(w)}), by)
     return rows.withColumns({"before": F.coalesce("before", "block_before"), "after": F.coalesce("after", "block_after")}).drop("block_before", "block_after", "block")
+
+
+def streak(df: DataFrame, hit: Column, order: str, by: tuple[str, ...] = ("site",), block_rows: int | None = None) -> DataFrame:
+    """Add streak, how many rows in a row up to here are hits (0 on a miss), and missed, whether a miss came so far.
+
+    It is the number of hits so far less that at the last miss, and both come in blocks.
+    """
+    so_far = upto(inside(order, by=by))
+    rows = cut(df, order, block_rows).withColumn("_hits", F.sum(hit.cast("int")).over(so_far))
+    rows = rows.withColumn("_at_miss", F.max(F.when(~hit, F.col("_hits"))).over(so_far))
+
+    def carried(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        out = blocks.withColumn("_hits_before", F.coalesce(F.sum("hits").over(earlier(w)), F.lit(0)))
+        return out.withColumn("_at_miss_before", F.max(F.col("_hits_before") + F.col("at_miss")).over(earlier(w)))
+
+    rows = carry(rows, [F.max("_hits").alias("hits"), F.max("_at_miss").alias("at_miss")], carried, by)
+    last = F.coalesce(F.col("_hits_before") + F.col("_at_miss"), F.col("_at_miss_before"))
+    return rows.select(*df.columns, (F.col("_hits_before") + F.col("_hits") - F.coalesce(last, F.lit(0))).alias("streak"), last.isNotNull().alias("missed"))

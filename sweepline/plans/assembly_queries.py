@@ -250,3 +250,12 @@ def t6_activity_windows(spark, sf_dir):
     out = activity_windows(view(spark, sf_dir, "chunks"), "2 hours")
     shape = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.withColumns({"start": F.date_format("start", shape), "end": F.date_format("end", shape)})
+
+
+@query(PLACED + " select site, epoch::bigint as epoch, elevation_number, pos::bigint as pos, row_number() over (partition by site, epoch, elevation_number order by azimuth_deg, pos)::int as place from p where accepted and k % 11 > 0")
+def l1_by_azimuth(spark, sf_dir):
+    """Every eleventh azimuth is missing or no number."""
+    good = assembled(spark, sf_dir, read_once=True)[1].where("accepted").withColumn("radial_idx", F.col("pos"))
+    lost = F.when(F.col("chunk_no") % 2 == 0, F.lit(float("nan")))
+    out = inspect.by_azimuth(good.withColumn("azimuth_deg", F.when(F.col("k") % 11 > 0, F.col("azimuth_deg")).otherwise(lost)), ("site", "epoch", "elevation_number"))
+    return out.select("site", "epoch", "elevation_number", F.col("pos").cast("long").alias("pos"), "place")

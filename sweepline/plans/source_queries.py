@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gates
+from ..operators import gates, inspect, scan
 from ..sources import chunks, encode, listing
 from .adapters import cte, view
 from .registry import query
@@ -37,14 +37,24 @@ def d5_d6_decode_radials(spark, sf_dir):
     return decoded.select("site", F.col("radial.scan_time_ms").alias("scan_time_ms"), F.col("radial.azimuth_deg").cast("double").alias("azimuth_deg"), F.size("radial.moments").alias("n_moments"), "msg_type")
 
 
-@query(cte("gates") + f", c as (select site, floor(floor(radial_idx / {PER_CHUNK}) / 80) as volume_seq, floor(radial_idx / {PER_CHUNK}) % 80 as chunk_no, count(distinct radial_idx) as n from gates group by 1, 2, 3) select site, volume_seq::bigint as volume_seq, chunk_no::int as chunk_no, n as n_radials, null::varchar as error, true as shorter from c")
-def a6_chunk_sizes(spark, sf_dir):
-    from ..operators.inspect import chunk_sizes
+#: Bytes of a radial message: link header and message header, radial header, pointers, moments with a byte a gate; even, then a multiple of four.
+MESSAGE_BYTES = "(28 + (32 + 4 * (3 + n_moments) + 28 * n_moments + n_gates + 1) // 2 * 2 + 3) // 4 * 4"
+
 
+@query(
+    cte("gates")
+    + f""", r as (select site, radial_idx, count(distinct product) as n_moments, count(*) as n_gates from gates group by 1, 2),
+c as (select site, floor(floor(radial_idx / {PER_CHUNK}) / 80) as volume_seq, floor(radial_idx / {PER_CHUNK}) % 80 as chunk_no, count(*) as n, sum({MESSAGE_BYTES}) as b from r group by 1, 2, 3)
+select site, volume_seq::bigint as volume_seq, chunk_no::int as chunk_no, n as n_radials, null::varchar as error, b::bigint as message_bytes, true as raw_is_length from c"""
+)
+def a6_chunk_sizes(spark, sf_dir):
+    """Bytes of the messages follow from the radials; those of the chunk are the content's own length."""
     full = encoded(spark, sf_dir)
     counts = chunks.decode(full).groupBy("site", "volume_seq", "chunk_no").agg(F.count("radial").alias("n_radials"))
-    sizes = chunk_sizes(chunks.decompress_chunks(full)).select("site", "volume_seq", "chunk_no", "error", (F.col("message_bytes") > F.col("raw_bytes") / 4).alias("shorter"))
-    return counts.join(sizes, ["site", "volume_seq", "chunk_no"])
+    keys = ["site", "volume_seq", "chunk_no"]
+    sizes = inspect.chunk_sizes(chunks.decompress_chunks(full)).select(*keys, "error", "message_bytes", "raw_bytes")
+    lengths = full.select("site", F.col("volume_seq").cast("long").alias("volume_seq"), F.col("chunk_no").cast("int").alias("chunk_no"), F.octet_length("content").alias("length"))
+    return counts.join(sizes, keys).join(lengths, keys).select(*keys, "n_radials", "error", "message_bytes", (F.col("raw_bytes") == F.col("length")).alias("raw_is_length"))
 
 
 def volume_bytes(spark, sf_dir) -> DataFrame:
@@ -73,16 +83,16 @@ def d9_decode_vcp(spark, sf_dir):
 
 
 @query("""with s as (select s_suppkey, s_name, case when s_suppkey % 4 = 3 then 'TDWR' else 'NEXRAD' end as kind, s_suppkey % 90 as lat, -(s_suppkey % 180) as lon, s_suppkey * 7 % 9000 as feet from supplier)
-select 'K' || lpad(s_suppkey::varchar, 3, '0') as id, s_name as name, 'ST' as state, lat + 0.25e0 as lat, lon - 0.5e0 as lon, round_even(feet * 0.3048, 0)::int as elevation_m from s where kind = 'NEXRAD' and s_suppkey < 1000""")
+select to_base(s_suppkey, 36, 4) as id, s_name as name, 'ST' as state, lat + 0.25e0 as lat, lon - 0.5e0 as lon, round_even(feet * 0.3048, 0)::int as elevation_m from s where kind = 'NEXRAD'""")
 def s9_station_registry(spark, sf_dir):
     """A station export made of the suppliers, written as text and read back."""
     from ..runtime import shared_path
     from ..sources.registry import PLACES, read_station_registry
 
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 1000")  # ids have four places
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")  # ids have four places, which 36 ** 4 keys fit into
     n = F.col("s_suppkey")
     values = {
-        "icao": F.concat(F.lit("K"), F.lpad(n.cast("string"), 3, "0")), "name": F.col("s_name"), "state": F.lit("ST"), "lat": (n % 90 + 0.25).cast("string"), "lon": (-(n % 180) - 0.5).cast("string"),
+        "icao": F.lpad(F.conv(n.cast("string"), 10, 36), 4, "0"), "name": F.col("s_name"), "state": F.lit("ST"), "lat": (n % 90 + 0.25).cast("string"), "lon": (-(n % 180) - 0.5).cast("string"),
         "elev_ft": (n * 7 % 9000).cast("string"), "stntype": F.when(n % 4 == 3, "TDWR").otherwise("NEXRAD"),
     }
     parts, ruler, at = [], "", 0
@@ -126,14 +136,23 @@ def d4_volume_headers(spark, sf_dir):
     return out.withColumn("volume_unix_ms", F.unix_millis("volume_ts")).drop("volume_ts")
 
 
-LISTED = "select site, volume_seq, key from (select event_id, split_part(key, '/', 1) as site, split_part(key, '/', 2) as volume_seq, concat(key, '&', cast(event_id as string)) as key from {keys})"
+PAGE_KEYS = 1000
+LISTED = "select split_part(key, '/', 1) as site, event_id, concat(key, '&', cast(event_id as string)) as key from {keys}"
 
 
-@query(cte("object_keys") + f", l as ({LISTED.format(keys='object_keys')}) select site, volume_seq = 'error' as is_truncated, volume_seq, key from l")
+@query(cte("object_keys") + f""", l as ({LISTED.format(keys='object_keys')}), n as (select *, row_number() over (partition by site order by event_id) as n, count(*) over (partition by site) as total from l)
+select site, (floor((n - 1) / {PAGE_KEYS}) + 1)::bigint as page_no, n + {PAGE_KEYS} - 1 - (n - 1) % {PAGE_KEYS} < total as is_truncated, key, null::varchar as problem from n""")
 def s4_bucket_listing(spark, sf_dir):
-    rows = spark.sql(LISTED, keys=view(spark, sf_dir, "object_keys"))
+    """Every site's keys as pages of a thousand, each but the last with a token for the next, parsed and put in order."""
+    keys = spark.sql(LISTED, keys=view(spark, sf_dir, "object_keys"))
+    keys = scan.numbered(keys, "n", "event_id").withColumn("page", F.floor((F.col("n") - 1) / PAGE_KEYS))
     item = F.concat(F.lit("<Contents><Key>"), F.replace("key", F.lit("&"), F.lit("&amp;")), F.lit("</Key><Size>1</Size></Contents>"))
-    xml = rows.groupBy("site", "volume_seq").agg(F.array_join(F.collect_list(item), "").alias("items"))
-    head = F.concat(F.lit("<ListBucketResult><Prefix>"), "site", F.lit("/</Prefix><IsTruncated>"), (F.col("volume_seq") == "error").cast("string"), F.lit("</IsTruncated>"))
-    docs = xml.select("site", "volume_seq", F.concat(head, "items", F.lit("</ListBucketResult>")).alias("xml"))
-    return listing.parse_bucket_listing(docs).where("not malformed").select("site", "is_truncated", "volume_seq", F.explode("keys").alias("key"))
+    each = keys.groupBy("site", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    last = keys.groupBy("site").agg(F.max("page").alias("last"))
+    more = F.col("page") < F.col("last")
+    name = lambda n: F.concat(F.lit("token/"), "site", F.lit("/"), n.cast("string"))
+    head = F.concat(F.lit("<ListBucketResult><Prefix>"), "site", F.lit("/</Prefix><IsTruncated>"), more.cast("string"), F.lit("</IsTruncated>"))
+    following = F.when(more, F.concat(F.lit("<NextContinuationToken>"), name(F.col("page") + 1), F.lit("</NextContinuationToken>"))).otherwise("")
+    docs = each.join(last, "site").select("site", F.when(F.col("page") > 0, name(F.col("page"))).alias("token"), F.concat(head, following, "items", F.lit("</ListBucketResult>")).alias("xml"))
+    pages = listing.follow_pages(listing.parse_bucket_listing(docs).drop("xml"), ("site",))
+    return pages.select("site", "page_no", "is_truncated", "problem", F.explode("keys").alias("key"))

@@ -36,10 +36,15 @@ VCP_HEADER = struct.Struct(">HHHHBBBBIHHH")
 CUT_BYTES = 46
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Every chunk object below a folder: site, volume_seq, chunk_no, chunk_ts, kind, reason, path, arrival, content."""
+def read_chunks(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Every chunk object below a folder: site, volume_seq, chunk_no, chunk_ts, kind, reason, path, arrival, content.
+
+    ordered: by site, volume (as a number) and chunk, objects with other names last, by path. It sorts all
+    contents, which nothing else here needs: assembly orders by the keys.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*-[SIE]").option("recursiveFileLookup", "true").load(path)
-    return _keyed(files)
+    out = _keyed(files)
+    return out.orderBy(F.col("reason").isNotNull(), "site", "volume_seq", "chunk_no", "path") if ordered else out
 
 
 def stream_chunks(spark: SparkSession, path: str, max_files: int = 32) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sweepline.functions import codes, rules, values
 from sweepline.operators import feed, grid, inspect
-from sweepline.sources.listing import parse_bucket_listing
+from sweepline.sources.listing import follow_pages, parse_bucket_listing
 from sweepline.sources.registry import PLACES, read_station_registry
 
 
@@ -167,3 +167,28 @@ def test_product_maps(spark):
     df = spark.sql("select map('DREF', 1, 'DSW', 2) as m union all select map() union all select null")
     got = df.select(codes.product_keys(F.col("m")), codes.has_product(F.col("m"), F.lit("sw")), codes.has_product(F.col("m"), F.lit("nope")), codes.product_of(F.col("m"), F.lit("REF")), codes.product_of(F.col("m"), F.lit("VEL"))).collect()
     assert [tuple(r) for r in got] == [(["DREF", "DSW"], True, False, 1, None), ([], False, False, None, None), (None, None, None, None, None)]
+
+
+def test_pages_are_followed_by_their_tokens(spark):
+    """Chains in any order; each way in which one can break; a ring that nothing leads to."""
+    chain = [("long", None if i == 0 else f"t{i}", i < 40, f"t{i + 1}" if i < 40 else "left over", False) for i in range(41)]
+    rows = chain[::-1] + [
+        ("one", None, False, None, False), ("cut", None, True, None, False), ("gap", None, True, "g1", False), ("gap", "g2", False, None, False),
+        ("bad", None, True, "b1", False), ("bad", "b1", False, None, True), ("ring", "r1", True, "r2", False), ("ring", "r2", True, "r1", False), ("same", None, True, "first", False), ("same", "first", False, None, False), (None, None, False, None, False),
+    ]
+    pages = spark.createDataFrame(rows, "listing string, token string, is_truncated boolean, next_token string, malformed boolean")
+    got = {(r.listing, r.token): (r.page_no, r.problem) for r in follow_pages(pages).collect()}
+    assert len(got) == len(rows) and all(got["long", r[1]] == (i + 1, None) for i, r in enumerate(chain))
+    assert got["one", None] == (1, None) and got[None, None] == (1, None) and got["cut", None] == (1, "no_token")
+    assert got["gap", None] == (1, "next_missing") and got["gap", "g2"] == (None, "unreached")
+    assert got["bad", "b1"] == (2, "malformed") and got["ring", "r1"] == got["ring", "r2"] == (None, "unreached")
+    assert got["same", None] == (1, None) and got["same", "first"] == (2, None)
+    assert follow_pages(pages.limit(0)).count() == 0
+
+
+def test_radials_by_azimuth(spark):
+    from sweepline.operators.inspect import by_azimuth
+
+    rows = [("K", 1, 0, 5.0), ("K", 1, 1, 3.0), ("K", 1, 2, float("nan")), ("K", 1, 3, None), ("K", 1, 4, 3.0), ("K", 2, 5, 0.0)]
+    got = by_azimuth(spark.createDataFrame(rows, "site string, elevation_number int, radial_idx int, azimuth_deg double"))
+    assert sorted((r.elevation_number, r.place, r.radial_idx) for r in got.collect()) == [(1, 1, 1), (1, 2, 4), (1, 3, 0), (2, 1, 5)]

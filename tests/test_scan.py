@@ -101,6 +101,33 @@ def test_ingest_state(spark, blocks):
     assert rows_of(got) == sorted(want, key=repr)
 
 
+def test_recovery_actions(spark, blocks):
+    """The native form against the fold that it stands for."""
+    rng, data, want = random.Random(11), [], []
+    for site, start in (("a", 100), ("b", 0), (None, 7)):
+        target, empty, seen = start, 0, False
+        for i in range(260):
+            n = rng.choice([0, None] if rng.random() < 0.985 else [2])
+            newest = rng.choice([None, start + rng.randrange(-30, 60)])
+            data.append((site, i, n, newest, start if i == 0 else -1))
+            before, action, count = target, "Continue", 0
+            if n:
+                empty, seen = 0, True
+            else:
+                empty += 1
+                count = empty
+                if not seen and empty >= 12:
+                    empty = 0
+                    if newest is not None and max(newest - 1, 0) > target:
+                        action, target = "ReAnchor", max(newest - 1, 0)
+                elif seen and empty >= 60:
+                    action, target, empty, seen = "Advance", target + 1, 0, False
+            want.append((site, i, before, action, target, count))
+    got = feed.recovery_actions(spark.createDataFrame(data, "site string, seq long, n_keys int, newest long, start long"))
+    assert rows_of(got) == sorted(want, key=repr)
+    assert {r[3] for r in want} == {"Continue", "ReAnchor", "Advance"}
+
+
 def test_no_window_over_a_whole_site(spark):
     """Raw rows are sorted by site and block; windows by site alone stand over summaries only."""
     df = spark.createDataFrame([("a", 1, "S", T0, None)], CHUNKS)
