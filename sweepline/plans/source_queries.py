@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates, inspect, scan
-from ..sources import chunks, encode, listing
+from ..runtime import shared_path, written
+from ..sources import archive, chunks, encode, listing
 from .adapters import cte, view
 from .registry import query
 
@@ -86,7 +87,6 @@ def d9_decode_vcp(spark, sf_dir):
 select to_base(s_suppkey, 36, 4) as id, s_name as name, 'ST' as state, lat + 0.25e0 as lat, lon - 0.5e0 as lon, round_even(feet * 0.3048, 0)::int as elevation_m from s where kind = 'NEXRAD'""")
 def s9_station_registry(spark, sf_dir):
     """A station export made of the suppliers, written as text and read back."""
-    from ..runtime import shared_path
     from ..sources.registry import PLACES, read_station_registry
 
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")  # ids have four places, which 36 ** 4 keys fit into
@@ -108,7 +108,6 @@ def s9_station_registry(spark, sf_dir):
 
 @query(cte("radials") + " select site, strftime(ts, '%Y-%m-%d') as volume_date, event_id, elevation_number from radials")
 def s10_write_table(spark, sf_dir):
-    from ..runtime import shared_path
     from ..sources.tables import write_table
 
     path = shared_path(spark, "radials")
@@ -156,3 +155,20 @@ def s4_bucket_listing(spark, sf_dir):
     docs = each.join(last, "site").select("site", F.when(F.col("page") > 0, name(F.col("page"))).alias("token"), F.concat(head, following, "items", F.lit("</ListBucketResult>")).alias("xml"))
     pages = listing.follow_pages(listing.parse_bucket_listing(docs).drop("xml"), ("site",))
     return pages.select("site", "page_no", "is_truncated", "problem", F.explode("keys").alias("key"))
+
+
+@query(cte("radials") + """, s as (select distinct site, vol_no from radials where kind = 'S')
+select site, event_id as scan_time_ms, elevation_number, radial_status, rvol_vcp as vcp_number, vol_no % 2 = 1 as plain from radials join s using (site, vol_no)""")
+def s1_archive_volumes(spark, sf_dir):
+    """Volumes of the events' radials as one file each, read in ranges so small that every file has several tasks;
+    of odd volumes the messages are not compressed."""
+    made = written(volume_bytes(spark, sf_dir))
+    begun = made.where("kind = 'S'").select("site", "volume_seq")
+    whole = made.join(begun, ["site", "volume_seq"], "left_semi")
+    out = []
+    for odd in (0, 1):
+        folder = shared_path(spark, "volumes")
+        encode.write_volumes(whole.where(F.col("volume_seq") % 2 == odd), folder, plain=bool(odd))
+        radials = chunks.radials(archive.decode_archives(archive.read_archives(spark, folder, split_bytes=6000)))
+        out.append(radials.select("site_id", "scan_time_ms", "elevation_number", "radial_status", F.col("site_parameters")["vcp_number"].alias("vcp_number"), F.lit(bool(odd)).alias("plain")))
+    return out[0].unionByName(out[1]).select(F.rtrim("site_id").alias("site"), "scan_time_ms", "elevation_number", "radial_status", "vcp_number", "plain")

@@ -156,6 +156,12 @@ def decompress(content: bytes, kind: str, limit: int = LIMIT) -> bytes:
     return b"".join(out)
 
 
+def message_bytes(head: bytes) -> int:
+    """How far the next message is from one with these first bytes."""
+    size, kind = HEADER.unpack_from(head, CTM)[0] * 2, HEADER.unpack_from(head, CTM)[2]
+    return (CTM + size + 3) // 4 * 4 if size and kind == 31 else LEGACY_RECORD
+
+
 def walk(stream: bytes) -> Iterator[tuple[int, tuple, bytes]]:
     """(offset, header, record) of each message; a radial message that is cut off ends in an error."""
     at, n = 0, len(stream)
@@ -257,7 +263,14 @@ def _struct(fields: str) -> str:
 DECODED = f"{KEYS}, offset int, size_bytes int, rda_channel int, msg_type int, seq_num int, msg_date int, msg_ms long, num_segments int, segment_num int, radial {_struct(RADIAL_FIELDS)}, vcp struct<{VCP_FIELDS}>, stream_bytes long, error string"
 
 
-def decode(chunks: DataFrame, limit: int = LIMIT, products: tuple[str, ...] = PRODUCTS) -> DataFrame:
+def unwrap(content: bytes | None, kind: str, limit: int) -> bytes:
+    """The message stream of a chunk of the kind that its name says."""
+    if _sniff(content) != kind:
+        raise ChunkError("KindMismatch")
+    return decompress(content, kind, limit)
+
+
+def decode(chunks: DataFrame, limit: int = LIMIT, products: tuple[str, ...] = PRODUCTS, unwrap=unwrap) -> DataFrame:
     """One row per message of every readable chunk, with its radial or VCP; one error row per bad chunk.
 
     chunks: site, volume_seq, chunk_no, kind, content. products names the moments to keep, so that
@@ -274,10 +287,7 @@ def decode(chunks: DataFrame, limit: int = LIMIT, products: tuple[str, ...] = PR
     def rows_of(key: tuple, content: bytes | None) -> list[tuple]:
         blank = [None] * (len(names) - 5)
         try:
-            kind = _sniff(content)
-            if kind != key[3]:
-                raise ChunkError("KindMismatch")
-            stream = decompress(content, kind, limit)
+            stream = unwrap(content, key[3], limit)
             out = []
             for at, head, record in walk(stream):
                 radial = decode_radial(record, wanted) if head[2] == 31 else None
@@ -327,10 +337,7 @@ def decompress_chunks(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
                 row, stream, error = b.slice(i, 1), None, None
                 content = row.column(4)[0].as_py()
                 try:
-                    kind = _sniff(content)
-                    if kind != row.column(3)[0].as_py():
-                        raise ChunkError("KindMismatch")
-                    stream = decompress(content, kind, limit)
+                    stream = unwrap(content, row.column(3)[0].as_py(), limit)
                 except ChunkError as e:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([*(row.column(j) for j in range(5)), pa.array([stream], pa.binary()), pa.array([error], pa.string())], names=["site", "volume_seq", "chunk_no", "kind", "content", "stream", "error"])
@@ -354,10 +361,8 @@ def assembly_inputs(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     def read(kind: str, content: bytes | None) -> tuple[int | None, list[dict], str | None]:
         try:
-            if _sniff(content) != kind:
-                raise ChunkError("KindMismatch")
             vcp, rays = None, []
-            for _, head, record in walk(decompress(content, kind, limit)):
+            for _, head, record in walk(unwrap(content, kind, limit)):
                 if head[2] == 5:
                     vcp = decode_vcp(record)["vcp_number"]
                 elif head[2] == 31:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
-from .chunks import CUT_BYTES, HEADER, LEGACY_RECORD, MOMENT, RADIAL, RRAD, RVOL, VCP_HEADER
+from .chunks import CUT_BYTES, HEADER, LEGACY_RECORD, LIMIT, MOMENT, RADIAL, RRAD, RVOL, VCP_HEADER, VOLUME_HEADER, unwrap
 
 
 def encode_moment(m: dict) -> bytes:
@@ -101,3 +101,30 @@ def encode_chunks(radials: DataFrame, keys: tuple[str, ...] = ("site", "volume_s
 
     kinds = ", ".join(f"{k} {grouped.schema[k].dataType.simpleString()}" for k in keys)
     return map_arrow(grouped, run, f"{kinds}, kind string, content binary")
+
+
+def write_volumes(chunks: DataFrame, folder: str, plain: bool = False) -> None:
+    """Write chunks (site, volume_seq, chunk_no, kind, content; an S first) as one archive file a volume.
+
+    plain: the messages as they are, without records, as old volumes have them. A volume is some tens of megabytes,
+    which bounds a group.
+    """
+    whole = chunks.groupBy("site", "volume_seq").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "kind", "content"))).alias("c"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for site, volume, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if plain:
+                    data = parts[0]["content"][:VOLUME_HEADER] + b"".join(unwrap(p["content"], p["kind"], LIMIT) for p in parts)
+                else:
+                    data = b"".join(p["content"][:-4] if p["kind"] == "S" else p["content"] for p in parts)
+                with store.open_output_stream(f"{base}/.{site}-{volume}.part") as f:
+                    f.write(data)
+                store.move(f"{base}/.{site}-{volume}.part", f"{base}/{site}-{volume}")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    map_arrow(whole, put, "n long").agg(F.sum("n")).collect()
