@@ -150,11 +150,17 @@ def s7_allowlist(spark, sf_dir):
     return good.withColumn("host_reason", F.lit("listed")).unionByName(bad)
 
 
+@query(HOSTS)
+def s7_allowlist_all_hosts(spark, sf_dir):
+    """The former name of s7_allowlist, which reads all hosts as well."""
+    return s7_allowlist(spark, sf_dir)
+
+
 ALLOWED = ("ththble.example.net", "www.cheap-pills.example.com", "thther.example.org", "blog.tionsh.example.net")
 
 
 @query(HOSTS.replace("host not in (select host from s where regexp_matches(host, '^[a-z.]*\\.example\\.com$'))", f"host not in {ALLOWED}"))
-def s7_allowlist_all_hosts(spark, sf_dir):
+def s7_short_allowlist(spark, sf_dir):
     """The form with a short list of names, which are compared as literals."""
     urls = rules.split_object_url(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host")
     good, bad = rules.split_by_allowlist(urls, "host", ALLOWED)
@@ -344,6 +350,12 @@ def g3_ppi_grid(spark, sf_dir):
     return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")
 
 
+@query(PPI)
+def g3_ppi_grid_all_sites(spark, sf_dir):
+    """The former name of g3_ppi_grid, which grids all sites as well."""
+    return g3_ppi_grid(spark, sf_dir)
+
+
 def _larger(sql: str) -> str:
     """PPI's text for velocities on 40 x 40 cells over 6 km."""
     sql = sql.replace("(x - 8) * 0.5", "(x - 20) * 0.3").replace("(8 - y) * 0.5", "(20 - y) * 0.3").replace("range(16)", "range(40)").replace("r <= 4.0", "r <= 6.0")
@@ -351,7 +363,7 @@ def _larger(sql: str) -> str:
 
 
 @query(_larger(PPI))
-def g3_ppi_grid_all_sites(spark, sf_dir):
+def g3_velocity_grid(spark, sf_dir):
     """Velocities of every sweep of every site, on a finer grid that reaches further."""
     out = grid.ppi_grid(spark.sql(RADIAL_TABLE, g=view(spark, sf_dir, "gates")), view(spark, sf_dir, "moments"), "DVEL", 6.0, 40, ["site", "elevation_number"])
     return out.select("site", "elevation_number", "x", "y", F.round("value", 6).alias("value"), "rgba")

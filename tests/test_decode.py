@@ -109,3 +109,37 @@ def test_write_table(spark, tmp_path):
     write_table(spark.createDataFrame([("A", 1, 5), ("B", 2, 6)], "site string, volume_date int, x int"), str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.where("site = 'A'").first().x == 5 and len(back.inputFiles()) == 2
+
+
+# One radial message field by field as the format's tables lay it out, written by hand: a witness apart from both encoders.
+RECORD = """
+000000000000000000000000
+005B 08 1F 0001 50B6 021EE478 0001 0001
+4B444F58 021EE478 50B6 0001 43624000 00 00 0000 02 03 01 00 3F000000 00 00 0004
+00000030 0000005C 00000068 00000084
+52564F4C 002C 01 00 421B0000 C2970000 000F 0022 C2300000 442F0000 442F0000 3ECCCCCD 42700000 0023 0000
+52454C56 000C FFF4 C2300000
+52524144 001C 123E C2A00000 C2A00000 0345 0000 0000000000000000
+44524546 00000000 0005 084D 00FA 0032 0010 00 08 40000000 42840000 00 01 42 FF 5A
+00
+"""
+PATTERN = "000000000000000000000000 0059 08 05 0002 50B6 021EE478 0001 0001 0022 0002 0023 0001 00 00 00 00 00000000 0000 0000 0000 00E0 00 01 09"
+
+
+def test_records_written_by_hand(spark):
+    radial = bytes.fromhex(RECORD)
+    radial += bytes(-len(radial) % 4)
+    pattern = (bytes.fromhex(PATTERN) + bytes(41)).ljust(2432, b"\0")
+    decoded = c.decode(frame(spark, ("S", e.start_chunk(pattern + radial)))).cache()
+    assert decoded.where("error is not null").count() == 0
+    r = c.radials(decoded).first()
+    assert (r.site_id, r.julian_date, r.scan_time_ms, r.azimuth_deg, r.elevation_deg, r.azimuth_number) == ("KDOX", 20662, 35579000, 226.25, 0.5, 1)
+    assert (r.azimuth_spacing_code, r.radial_status, r.elevation_number, r.unamb_range, r.nyquist) == (2, 3, 1, 583.75, pytest.approx(8.37))
+    p = r.site_parameters
+    assert (p.latitude, p.longitude, p.site_amsl_m, p.feedhorn_agl_m, p.calib_dbz, p.vcp_number, p.phidp0) == (38.75, -75.5, 15, 34, -44.0, 35, 60.0)
+    assert r.atmos_db_km == pytest.approx(-0.012)
+    m = r.moments[0]
+    assert (m.product, m.gate_count, m.first_gate_m, m.gate_width_m, m.word_size, m.scale, m.offset, m.raw) == ("DREF", 5, 2125, 250, 8, 2.0, 66.0, [0, 1, 66, 255, 90])
+    v = c.vcps(decoded).first()
+    assert (v.vcp_number, v.pattern_type, [(x.channel_config, x.waveform, x.super_res) for x in v.cuts]) == (35, 2, [(0, 1, 9)])
+    assert v.cuts[0].elevation_deg == pytest.approx(0xE0 * 360 / 65536)
