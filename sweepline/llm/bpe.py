@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ids_sha256 is of the decimal ids joined by one blank, decoded_sha256 of the decoded text.
     path names a vocabulary file, read once on the driver (a few MB) and broadcast. Null and empty
     texts have no tokens. Repeated rows and null ids each keep their row; other columns are not
-    read. Whole texts are encoded; a task remembers so many words, and as many fragments, at most;
+    read. An empty table gives no rows; of pairs with the lowest rank the leftmost merges first. Whole texts are encoded; a task remembers so many words, and as many fragments, at most;
     that alters its speed and memory, never a result.
     """
     with open(path, encoding="utf-8") as f:

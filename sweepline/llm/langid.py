@@ -145,7 +145,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     Null, empty or letterless texts give ('und', 0.0), as does a model learned from no rows. Ties
     go to the language first by code point. Repeated rows and null ids each keep their row;
-    other columns, whatever their names, are not read. Whole texts are scored.
+    other columns, whatever their names, are not read. Whole texts are scored. An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by fit()'s parameters

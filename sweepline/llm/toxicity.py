@@ -236,7 +236,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, score (0 to 1), hits (lexicon matches left after exceptions).
 
     Null and empty texts have density 0 and the score that the curve gives to it. Repeated rows
-    and null ids each keep their row; other columns are not read. Whole texts are matched.
+    and null ids each keep their row; other columns are not read. Whole texts are matched. A match
+    that lies inside an exception's phrase does not count. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s parameters
 

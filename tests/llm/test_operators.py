@@ -760,6 +760,13 @@ def test_arrays_find_every_hash_and_no_other(tmp_path):
         with pytest.raises(RuntimeError):
             arrays.surprise(7, np.array([h[5], foreign]))
 
+def test_empty_tables_give_no_rows(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert bpe.encode(none, queries.tokenizer_path(), with_digests=True).count() == 0
+    assert toxicity.score(none, toxicity.ToxicityModel()).count() == 0
+    assert langid.predict(none, langid.fit(docs(spark, corpus(20)))).count() == 0
+
+
 def test_bpe_every_code_point_as_the_library(spark):
     """Each code point between letters, and behind a letter with marks that normalising may move round it."""
     from tokenizers import Tokenizer
