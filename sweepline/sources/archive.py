@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +21,25 @@ from . import chunks
 
 SCHEMA = "site string, volume_seq long, chunk_no int, kind string, path string, offset long, content binary, error string"
 BUFFER = 1 << 20
+TASK_BYTES = 64 << 20  # a task reads no more than about that many
 
 
-@dataclass
-class Span(InputPartition):
+class Span(NamedTuple):
     """A part of a file: what begins at start or behind it, and before end."""
 
-    path: str
+    name: str
     start: int
     end: int
     size: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """What one task reads."""
+
+    spans: list[Span]
+
+
 def _open(address: str):
     from pyarrow import fs
 
@@ -40,40 +48,55 @@ def _open(address: str):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.split = options["path"], int(options.get("split_bytes", 4 << 20))
+        self.folder, self.split, self.tasks = options["path"], int(options.get("split_bytes", 4 << 20)), int(options.get("tasks", 64))
+
+    def partitions(self) -> list[Spans]:
+        """Files cut into ranges, which are dealt to the tasks. Only names and sizes are read here.
 
-    def partitions(self) -> list[Span]:
-        """Files cut into ranges. Only names and sizes are read here."""
+        The number of tasks follows the bytes and not the files, as a task costs more than a small file does;
+        ranges of a file go to different tasks.
+        """
         from pyarrow import fs
 
         store, base = _open(self.folder)
         files = [x for x in store.get_file_info(fs.FileSelector(base, recursive=True)) if x.is_file and not x.base_name.startswith((".", "_"))]
-        out = [Span(x.path, a, min(a + self.split, x.size), x.size) for x in sorted(files, key=lambda x: x.path) for a in range(0, max(x.size, 1), self.split)]
-        return out or [Span("", 0, 0, 0)]
-
-    def read(self, part: Span) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        store, _ = _open(self.folder)
-        with store.open_input_file(part.path) as f:
+        spans = [Span(x.path[len(base) :], a, min(a + self.split, x.size), x.size) for x in sorted(files, key=lambda x: x.path) for a in range(0, max(x.size, 1), self.split)]
+        tasks = max(1, min(len(spans), max(self.tasks, sum(x.size for x in files) // TASK_BYTES)))
+        return [Spans(spans[i::tasks]) for i in range(tasks)]
+
+    def read(self, part: Spans) -> Iterator[pa.RecordBatch]:
+        store, base = _open(self.folder)
+        held, size = [], 0
+        for span in part.spans:
+            for row in self._rows(store, f"{base}{span.name}", span):
+                held.append(row)
+                size += len(row[6] or b"")
+                if size >= BUFFER or len(held) >= 1000:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _rows(self, store, path: str, part: Span) -> Iterator[tuple]:
+        with store.open_input_file(path) as f:
             head = f.read_at(min(part.size, 32), 0)
             if len(head) < chunks.VOLUME_HEADER or head[:4] not in (b"AR2V", b"ARCH"):
                 if part.start == 0:
-                    yield _batch([(None, None, 0, None, part.path, 0, None, "TooShort" if len(head) < chunks.VOLUME_HEADER else "UnrecognizedFormat")])
+                    yield None, None, 0, None, path, 0, None, "TooShort" if len(head) < chunks.VOLUME_HEADER else "UnrecognizedFormat"
                 return
             key = head[20:24].decode("latin-1"), int.from_bytes(head[12:16], "big") * 86_400_000 + int.from_bytes(head[16:20], "big")
-            yield from self._records(f, part, key) if head[28:31] == b"BZh" else self._messages(f, part, key)
+            yield from self._records(f, path, part, key) if head[28:31] == b"BZh" else self._messages(f, path, part, key)
 
-    def _records(self, f, part: Span, key: tuple) -> Iterator[pa.RecordBatch]:
+    def _records(self, f, path: str, part: Span, key: tuple) -> Iterator[tuple]:
         at, number = chunks.VOLUME_HEADER, 0
         while at + 4 <= part.size and at < part.end:
             size = abs(int.from_bytes(f.read_at(4, at), "big", signed=True))
             if at >= part.start:
                 content = f.read_at(min(4 + size, part.size - at), at)
-                yield _batch([(*key, number, "R", part.path, at, size.to_bytes(4, "big") + content[4:], None if len(content) == 4 + size else "TooShort")])
+                yield *key, number, "R", path, at, size.to_bytes(4, "big") + content[4:], None if len(content) == 4 + size else "TooShort"
             at, number = at + 4 + size, number + 1
 
-    def _messages(self, f, part: Span, key: tuple) -> Iterator[pa.RecordBatch]:
+    def _messages(self, f, path: str, part: Span, key: tuple) -> Iterator[tuple]:
         """The whole messages that begin in the range, as one record; headers before it are read through a buffer."""
         at, begins, ends = chunks.VOLUME_HEADER, None, part.size
         low, held = 0, b""
@@ -87,7 +110,7 @@ class ArchiveReader(DataSourceReader):
                 low, held = at, f.read_at(min(BUFFER, part.size - at), at)
             at += chunks.message_bytes(held[at - low : at - low + chunks.BODY])
         if begins is not None and begins < part.end:
-            yield _batch([(*key, begins, "P", part.path, begins, f.read_at(ends - begins, begins), None)])
+            yield *key, begins, "P", path, begins, f.read_at(ends - begins, begins), None
 
 
 class ArchiveVolumes(DataSource):
@@ -119,7 +142,7 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 4 << 20)
     """
     prepare(spark)
     spark.dataSource.register(ArchiveVolumes)
-    return spark.read.format("radar_archive").option("split_bytes", split_bytes).load(folder)
+    return spark.read.format("radar_archive").option("split_bytes", split_bytes).option("tasks", max(64, 4 * spark.sparkContext.defaultParallelism)).load(folder)
 
 
 def unwrap(content: bytes | None, kind: str, limit: int) -> bytes:

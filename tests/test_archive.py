@@ -51,3 +51,13 @@ def test_volumes_in_ranges(spark, tmp_path, split):
 
 def test_no_files(spark, tmp_path):
     assert archive.read_archives(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_many_files_need_few_tasks(spark, tmp_path):
+    """The number of tasks does not grow with the number of small files."""
+    for i in range(300):
+        (tmp_path / f"v{i}").write_bytes(HEAD[:-4] + b"K%03d" % i + block(messages(2, i)))
+    records = archive.read_archives(spark, f"file://{tmp_path}", 60)
+    assert records.rdd.getNumPartitions() <= 64
+    assert sorted(r.site for r in records.select("site").collect()) == [f"K{i:03d}" for i in range(300)]
+    assert records.select("path").distinct().count() == 300
