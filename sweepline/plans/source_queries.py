@@ -50,7 +50,7 @@ select site, volume_seq::bigint as volume_seq, chunk_no::int as chunk_no, n as n
 )
 def a6_chunk_sizes(spark, sf_dir):
     """Bytes of the messages follow from the radials; those of the chunk are the content's own length."""
-    full = encoded(spark, sf_dir)
+    full = written(encoded(spark, sf_dir))  # read three times, made once
     counts = chunks.decode(full).groupBy("site", "volume_seq", "chunk_no").agg(F.count("radial").alias("n_radials"))
     keys = ["site", "volume_seq", "chunk_no"]
     sizes = inspect.chunk_sizes(chunks.decompress_chunks(full)).select(*keys, "error", "message_bytes", "raw_bytes")

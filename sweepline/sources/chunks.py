@@ -34,6 +34,8 @@ RELV = struct.Struct(">4sHhf")
 MOMENT = struct.Struct(">4sHHHHHHHBBff")
 VCP_HEADER = struct.Struct(">HHHHBBBBIHHH")
 CUT_BYTES = 46
+SLICE = 200  # chunks that a task looks at together
+STREAM_BYTES = 4 << 20  # decompressed bytes that a task hands on together
 
 
 def read_chunks(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
@@ -187,6 +189,10 @@ def _block(body: bytes, at: int, layout: struct.Struct, mark: bytes) -> tuple |
     return layout.unpack_from(body, at)
 
 
+SITE_NAMES = ("latitude", "longitude", "site_amsl_m", "feedhorn_agl_m", "calib_dbz", "txpower_h", "txpower_v", "sys_zdr", "phidp0", "vcp_number", "processing_status")
+MARKS = {p.encode().ljust(4): p for p in PRODUCTS}
+
+
 def decode_radial(record: bytes, wanted: frozenset[str]) -> dict:
     """A radial as a dict; optional blocks that cannot be read are None."""
     if len(record) < BODY + RADIAL.size:
@@ -202,11 +208,10 @@ def decode_radial(record: bytes, wanted: frozenset[str]) -> dict:
     for p in rest:
         if (m := decode_moment(body, p)) and m["product"] in wanted:
             moments[m["product"]] = m  # the last one of a kind wins
-    names = ("latitude", "longitude", "site_amsl_m", "feedhorn_agl_m", "calib_dbz", "txpower_h", "txpower_v", "sys_zdr", "phidp0", "vcp_number", "processing_status")
     return {
         "site_id": site.decode("latin-1"), "julian_date": date, "scan_time_ms": ms, "azimuth_deg": az, "elevation_deg": el, "azimuth_number": az_no, "azimuth_spacing_code": spacing,
         "radial_status": status, "elevation_number": el_no, "unamb_range": rrad and rrad[2] / 8.0, "nyquist": rrad and rrad[5] / 100.0,
-        "site_parameters": rvol and dict(zip(names, rvol[4:], strict=True)), "atmos_db_km": relv and relv[2] / 1000.0, "moments": [moments[k] for k in PRODUCTS if k in moments],
+        "site_parameters": rvol and dict(zip(SITE_NAMES, rvol[4:], strict=True)), "atmos_db_km": relv and relv[2] / 1000.0, "moments": [moments[k] for k in PRODUCTS if k in moments],
     }
 
 
@@ -214,10 +219,9 @@ def decode_moment(body: bytes, at: int) -> dict | None:
     if at == 0 or at + MOMENT.size > len(body):
         return None
     mark, _, _, count, first, width, _, _, _, word, scale, offset = MOMENT.unpack_from(body, at)
-    product = mark.decode("latin-1").rstrip(" ")
     size = count * word // 8
-    # the mark of DSW has a trailing blank, others have none
-    if word not in (8, 16) or product not in PRODUCTS or len(mark.rstrip(b" ")) != len(product) or at + MOMENT.size + size > len(body):
+    product = MARKS.get(mark)  # the mark of DSW has a trailing blank, others have none
+    if word not in (8, 16) or product is None or at + MOMENT.size + size > len(body):
         return None
     raw = np.frombuffer(body, dtype=">u2" if word == 16 else "u1", count=count, offset=at + MOMENT.size).astype(np.int32)
     return {"product": product, "gate_count": count, "first_gate_m": first, "gate_width_m": width, "word_size": word, "scale": scale, "offset": offset, "raw": raw}
@@ -298,16 +302,18 @@ def decode(chunks: DataFrame, limit: int = LIMIT, products: tuple[str, ...] = PR
             return [(*key, *blank, str(e))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
-            held: list[tuple] = []
-            for key, content in zip(keys, b.column(4), strict=True):
-                held += rows_of(key, content.as_py())
-                if len(held) >= 500:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+                held: list[tuple] = []
+                for key, content in zip(keys, b.column(4), strict=True):
+                    held += rows_of(key, content.as_py())
+                    if len(held) >= 500:
+                        yield _batch(held, arrow)
+                        held = []
+                if held:
                     yield _batch(held, arrow)
-                    held = []
-            if held:
-                yield _batch(held, arrow)
 
     return map_arrow(chunks.select("site", F.col("volume_seq").cast("long"), F.col("chunk_no").cast("int"), "kind", "content"), run, schema)
 
@@ -333,14 +339,17 @@ def decompress_chunks(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row, stream, error = b.slice(i, 1), None, None
-                content = row.column(4)[0].as_py()
+            kinds, start, size, got = b.column(3).to_pylist(), 0, 0, []
+            for i, content in enumerate(b.column(4)):
                 try:
-                    stream = unwrap(content, row.column(3)[0].as_py(), limit)
+                    got.append((unwrap(content.as_py(), kinds[i], limit), None))
+                    size += len(got[-1][0])
                 except ChunkError as e:
-                    error = str(e)
-                yield pa.RecordBatch.from_arrays([*(row.column(j) for j in range(5)), pa.array([stream], pa.binary()), pa.array([error], pa.string())], names=["site", "volume_seq", "chunk_no", "kind", "content", "stream", "error"])
+                    got.append((None, str(e)))
+                if size >= STREAM_BYTES or len(got) == 10 * SLICE or i + 1 == b.num_rows:
+                    part = b.slice(start, len(got))
+                    yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(5)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=["site", "volume_seq", "chunk_no", "kind", "content", "stream", "error"])
+                    start, size, got = i + 1, 0, []
 
     return map_arrow(chunks.select("site", F.col("volume_seq").cast("long"), F.col("chunk_no").cast("int"), "kind", "content"), run, f"{KEYS}, content binary, stream binary, error string")
 

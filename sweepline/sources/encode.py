@@ -5,9 +5,11 @@ from __future__ import annotations
 import bz2
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,31 @@ def encode_chunk(kind: str, radials: list[dict], vcp: dict | None) -> bytes:
     return b"AR2V0006.001" + struct.pack(">II", r["julian_date"], r["scan_time_ms"]) + r["site_id"].encode().ljust(4)[:4] + (struct.pack(">I", len(p)) + p if p else b"") + out + b"\xff" * 4
 
 
+SLICE = 200  # chunks that are turned into Python's objects at a time
+
+
+def groups(lists: pa.ListArray) -> Iterator[list[dict] | None]:
+    """to_pylist() of a list of structs, column by column: raw, which may be long, as views of one array."""
+    flat = lists.flatten()
+    names = [f.name for f in flat.type]
+    columns = []
+    for name, c in zip(names, flat.flatten(), strict=True):
+        if pa.types.is_list(c.type) and pa.types.is_struct(c.type.value_type):
+            columns.append(groups(c))
+        elif pa.types.is_list(c.type):
+            values, at = c.flatten().to_numpy(zero_copy_only=False), 0
+            parts = []
+            for k in pc.list_value_length(c).fill_null(0).to_pylist():
+                parts.append(values[at : at + k])
+                at += k
+            columns.append(parts)
+        else:
+            columns.append(c.to_pylist())
+    rows = (dict(zip(names, r, strict=True)) for r in zip(*columns, strict=True))
+    for k in pc.list_value_length(lists).to_pylist():
+        yield None if k is None else list(islice(rows, k))
+
+
 OPTIONAL = ("rvol_vcp", "latitude", "longitude", "site_amsl_m", "unamb_range", "nyquist")
 
 
@@ -95,9 +122,11 @@ def encode_chunks(radials: DataFrame, keys: tuple[str, ...] = ("site", "volume_s
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [encode_chunk(k.as_py(), rs.as_py(), v.as_py()) for k, rs, v in zip(b.column(n), b.column(n + 1), b.column(n + 2), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n + 1)), pa.array(out, pa.binary())], names=[*keys, "kind", "content"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                out = [encode_chunk(k, rs, v) for k, rs, v in zip(b.column(n).to_pylist(), groups(b.column(n + 1)), b.column(n + 2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n + 1)), pa.array(out, pa.binary())], names=[*keys, "kind", "content"])
 
     kinds = ", ".join(f"{k} {grouped.schema[k].dataType.simpleString()}" for k in keys)
     return map_arrow(grouped, run, f"{kinds}, kind string, content binary")

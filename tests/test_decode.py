@@ -143,3 +143,45 @@ def test_records_written_by_hand(spark):
     v = c.vcps(decoded).first()
     assert (v.vcp_number, v.pattern_type, [(x.channel_config, x.waveform, x.super_res) for x in v.cuts]) == (35, 2, [(0, 1, 9)])
     assert v.cuts[0].elevation_deg == pytest.approx(0xE0 * 360 / 65536)
+
+
+def test_groups_as_to_pylist():
+    """Lists of structs read column by column are what Arrow's own conversion gives, slices, nulls and empty lists too."""
+    import pyarrow as pa
+
+    from sweepline.sources.encode import groups
+
+    moment = lambda i: {"product": "DREF", "scale": 2.0, "raw": list(range(i))}
+    rows = [[{"a": i, "b": None if i % 2 else "x", "moments": None if i == 3 else [moment(j) for j in range(i)]} for i in range(n)] for n in (3, 0, 5, 1)]
+    rows.insert(1, None)
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.string()), ("moments", pa.list_(pa.struct([("product", pa.string()), ("scale", pa.float64()), ("raw", pa.list_(pa.int32()))])))]))
+    plain = lambda g: g and [{**r, "moments": r["moments"] and [{**m, "raw": list(m["raw"])} for m in r["moments"]]} for r in g]
+    for a in (pa.array(rows, kind), pa.array([*rows, *rows], kind).slice(2, 5)):
+        assert [plain(g) for g in groups(a)] == a.to_pylist()
+
+
+def test_large_batches_of_chunks(spark):
+    """More chunks in a batch than are looked at together: none lost or exchanged, by decode() and by decompress_chunks()."""
+    from pyspark.sql import functions as F
+
+    from sweepline.sources import chunks, encode
+
+    n = 12 * chunks.SLICE + 7
+    r = spark.range(2 * n, numPartitions=1).selectExpr("'S' as site", "id div 2 as volume_seq", "1 as chunk_no", "'KDOX' as site_id", "20000 as julian_date", "id as scan_time_ms", "1e0 as azimuth_deg", "1e0 as elevation_deg", "1 as azimuth_number", "2 as azimuth_spacing_code", "1 as radial_status", "1 as elevation_number", "cast(null as array<struct<product:string>>) as moments")
+    made = encode.encode_chunks(r).coalesce(1).withColumn("content", F.when(F.col("volume_seq") % 50 == 7, F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))).cache()
+    bad = {v for v in range(n) if v % 50 == 7}
+    got = chunks.decode(made)
+    assert sorted((x.volume_seq, x.scan_time_ms) for x in chunks.radials(got).collect()) == [(i // 2, i) for i in range(2 * n) if i // 2 not in bad]
+    assert {x.volume_seq for x in got.where("error = 'TooShort'").collect()} == bad
+    streams = {x.volume_seq: (x.error, x.length) for x in chunks.decompress_chunks(made).selectExpr("volume_seq", "error", "octet_length(stream) as length").collect()}
+    sizes = {(e, s) for v, (e, s) in streams.items() if v not in bad}
+    assert set(streams) == set(range(n)) and {v for v, (e, _) in streams.items() if e == "TooShort"} == bad and len(sizes) == 1 and sizes != {(None, None)}
+    made.unpersist()
+
+
+def test_sizes_are_encoded_once(spark):
+    """a6_chunk_sizes makes its chunks once and reads what it has written."""
+    from sweepline.plans.source_queries import a6_chunk_sizes
+
+    plan = a6_chunk_sizes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and plan.count("MapInArrow") == 2
