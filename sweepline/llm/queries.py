@@ -48,7 +48,9 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     twin = F.transform("embedding", lambda x, i: x + 0.15 * F.sqrt(square / F.size("embedding")) * ((F.col("vec_id") * 31 + (i + 1) * 17) % 7 - 3))
-    return v.unionByName(v.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), twin.alias("embedding"), "label"))
+    # the twin before its id: beside it in one select, the lambda would take the new vec_id for the old
+    twins = v.where("vec_id % 3 = 0").select("vec_id", twin.alias("embedding"), "label")
+    return v.unionByName(twins.withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
 
 
 def embedding_planted_links(spark: SparkSession, sf_dir: str) -> DataFrame:

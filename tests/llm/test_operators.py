@@ -784,3 +784,16 @@ def test_bpe_every_code_point_as_the_library(spark):
             if ours.encode(t) != e.ids:
                 wrong.append(t)
     assert not wrong
+
+
+def test_planted_twins_follow_their_own_id(spark):
+    """A twin goes by the id of its vector, as the query's SQL has it, and not by its own."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = {r.vec_id: np.array(r.embedding) for r in queries.planted(spark, sf_dir).collect()}
+    twins = [i for i in rows if i >= 1_000_000_000]
+    assert len(twins) == sum(i % 3 == 0 for i in rows if i < 1_000_000_000) > 10
+    for t in twins:
+        i = t - 1_000_000_000
+        e = rows[i]
+        want = e + 0.15 * np.sqrt((e * e).sum() / len(e)) * ((i * 31 + np.arange(1, len(e) + 1) * 17) % 7 - 3)
+        assert np.allclose(rows[t], want, rtol=0, atol=1e-12)
