@@ -72,10 +72,11 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
+        at = None
         for b in batches:
             for site, volume, number, kind, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = f"{base}/{site}/{volume}"
-                store.create_dir(at)
+                if at != (at := f"{base}/{site}/{volume}"):
+                    store.create_dir(at)
                 name = f"20200101-000000-{number:03d}-{kind}"
                 with store.open_output_stream(f"{at}/.{name}.part") as f:
                     f.write(content)

@@ -153,3 +153,17 @@ def test_feed_health_agrees_with_windows(spark, tmp_path, arrow_rows):
 def test_activity_windows(spark):
     df = spark.createDataFrame([("K", T0), ("K", T0 + dt.timedelta(minutes=11)), ("K", T0 + dt.timedelta(minutes=40))], "site string, arrival timestamp")
     assert [(r.n_chunks, r.end - r.start) for r in assemble.activity_windows(df).orderBy("start").collect()] == [(2, dt.timedelta(minutes=23)), (1, dt.timedelta(minutes=12))]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """The stream's session lists many folders and opens many small files in few tasks."""
+    from sweepline.plans.stream_queries import stream_session
+    from sweepline.sources import chunks
+
+    rows = spark.range(400).selectExpr("concat('S', id % 4) as site", "id div 4 + 1 as volume_seq", "1 as chunk_no", "'I' as kind", "encode('xxxxyyyyzzzz', 'UTF-8') as content")
+    folder = f"file://{tmp_path}/objects"
+    chunks.write_chunks(rows, folder)
+    other = stream_session(spark)
+    got = chunks.read_chunks(other, folder)
+    assert got.count() == 400 and got.select("path").distinct().count() == 400
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < chunks.read_chunks(spark, folder).rdd.getNumPartitions()
