@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..runtime import prepare
-from .ordered import Ordered, frames
+from .ordered import HELD, Ordered, frames
 from .volume import Volume
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,14 +29,27 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+OF_EVENT = _names(EVENTS)[2:]
+#: What placing a radial needs, in its order.
+RAY = ("elevation_number", "radial_status", "rvol_vcp", "julian_date", "scan_time_ms")
+
+
+def _rays(radials: Column) -> Column:
+    """Radials in order as one array of whole numbers, those of RAY for each; null: -1."""
+    numbers = F.transform(radials, lambda r: F.array(*[F.coalesce(r[f].cast("long"), F.lit(-1).cast("long")) for f in ("radial_idx", *RAY)]))
+    return F.flatten(F.transform(F.array_sort(numbers), lambda r: F.slice(r, 2, len(RAY))))
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 class Assembler(Ordered):
-    order, block_rows = "chunk_no", 16  # a chunk has some hundred radials
+    order, block_rows = "chunk_no", 512  # a chunk has some hundred radials
+    columns = ("chunk_no", "kind", "vcp", "arrival_ms", "rays")
 
-    def __init__(self, timeout_ms: int | None):
+    def __init__(self, timeout_ms: int | None, held: int = HELD):
+        super().__init__(held)
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -52,23 +65,16 @@ class Assembler(Ordered):
     def _save(self, v: Volume) -> None:
         self.state.update((v.epoch, v.events, v.under_way, v.arrival, v.seen, v.is_open, v.taken, v.msg5, v.rvol, v.julian_date, v.scan_time_ms))
 
-    def plain(self, row: tuple) -> list:
-        chunk_no, kind, vcp, arrival, radials = row
-        fields = ("radial_idx", "elevation_number", "radial_status", "rvol_vcp", "julian_date", "scan_time_ms")
-        known = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in (radials if radials is not None else [])]
-        rays = sorted([-1 if (x := r.get(f)) is None or x != x else int(x) for f in fields] for r in known)
-        return [*super().plain((chunk_no, kind, vcp, arrival)), rays]
-
     def _rows(self, key, chunk_no: int | None, events: list[dict]) -> Iterator[tuple]:
         for e in events:
-            yield tuple({"site": key[0], "chunk_no": chunk_no, **e}.get(c) for c in _names(EVENTS))
+            yield (key[0], chunk_no, *[e.get(c) for c in OF_EVENT])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         v = self._load()
 
         def events() -> Iterator[tuple]:
-            for chunk_no, kind, vcp, arrival, rays in self.in_order(x[["chunk_no", "kind", "vcp", "arrival_ms", "radials"]] for x in rows):
-                rays = np.array([r[1:] for r in rays], dtype=np.int64).reshape(len(rays), 5)
+            for chunk_no, kind, vcp, arrival, rays in self.in_order(rows):
+                rays = np.asarray([] if rays is None else rays, dtype=np.int64).reshape(-1, len(RAY))
                 yield from self._rows(key, int(chunk_no), v.take(kind, None if vcp is None else int(vcp), rays, int(arrival or 0), self.timeout_ms))
 
         yield from frames(events(), _names(EVENTS))
@@ -88,7 +94,7 @@ class Assembler(Ordered):
             yield from frames(self._rows(key, None, out), _names(EVENTS))
 
 
-def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000, delay: str = "1 minute") -> DataFrame:
+def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000, delay: str = "1 minute", held: int = HELD) -> DataFrame:
     """Assembly events as chunks come in; a sweep is reported in the micro-batch that closes it.
 
     chunks: site, chunk_no, kind (S, I, E or RESET), vcp, arrival, radials (array of structs with
@@ -99,22 +105,24 @@ def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000,
     closed as TimedOut where the site's next chunk arrived timeout_ms or more after the one before,
     or once the watermark (the latest arrival of any site less `delay`) has passed that moment.
     Chunks that come later than that are dropped by Spark. With timeout_ms None there is no
-    watchdog and no watermark, and arrival is not needed.
+    watchdog and no watermark, and arrival is not needed. held: bytes of a site's rows of a
+    micro-batch that a task holds before they wait in the state store; it alters no result.
     """
     prepare(chunks.sparkSession)
     timed = timeout_ms is not None
     src = chunks.withColumn("arrival", F.col("arrival").cast("timestamp")).withWatermark("arrival", delay) if timed else chunks
     arrival = F.unix_millis("arrival") if timed else F.lit(0).cast("long")
     kept = ["arrival"] * timed
-    src = src.select("site", F.col("chunk_no").cast("long").alias("chunk_no"), "kind", F.col("vcp").cast("int").alias("vcp"), "radials", arrival.alias("arrival_ms"), *kept)
-    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime" if timed else "None")
+    src = src.select("site", F.col("chunk_no").cast("long").alias("chunk_no"), "kind", F.col("vcp").cast("int").alias("vcp"), _rays(F.col("radials")).alias("rays"), arrival.alias("arrival_ms"), *kept)
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms, held), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
 CHANGES = "site string, change string, elevation_number int, volume long, vcp_number int, last_complete long, revision long, since long"
 
 
 class CurrentState(Ordered):
-    order, block_rows = "event_no", 1024
+    order, block_rows = "event_no", 16384
+    columns = ("event_no", "event_type", "elevation_number", "volume", "vcp_number", "status")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -127,7 +135,7 @@ class CurrentState(Ordered):
 
         def changes() -> Iterator[tuple]:
             nonlocal vcp, complete, revision, since
-            for _, kind, el, volume, new_vcp, status in self.in_order(x[["event_no", "event_type", "elevation_number", "volume", "vcp_number", "status"]] for x in rows):
+            for _, kind, el, volume, new_vcp, status in self.in_order(rows):
                 at = None
                 if kind == "RESET":
                     change, vcp, complete = "reset", -1, None
@@ -156,7 +164,7 @@ class CurrentState(Ordered):
             self.sweeps.updateValue((e,), (v,))
 
 
-def current_state_stream(events: DataFrame) -> DataFrame:
+def current_state_stream(events: DataFrame, held: int = HELD) -> DataFrame:
     """Changes of the current sweeps, of the last complete volume and resets, with the site's revision.
 
     events: site, event_no, event_type, elevation_number, volume (long), vcp_number, status. A
@@ -165,16 +173,18 @@ def current_state_stream(events: DataFrame) -> DataFrame:
     """
     prepare(events.sparkSession)
     src = events.select("site", F.col("event_no").cast("long").alias("event_no"), "event_type", "elevation_number", F.col("volume").cast("long").alias("volume"), "vcp_number", "status")
-    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=CurrentState(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=CurrentState(held), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
 HEALTH = "site string, seq long, attempts long, state string"
 
 
 class FeedHealth(Ordered):
-    order, block_rows = "seq", 1024
+    order, block_rows = "seq", 16384
+    columns = ("seq", "is_error", "reanchored")
 
-    def __init__(self, stalled_after: int):
+    def __init__(self, stalled_after: int, held: int = HELD):
+        super().__init__(held)
         self.stalled_after = stalled_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -186,7 +196,7 @@ class FeedHealth(Ordered):
 
         def states() -> Iterator[tuple]:
             nonlocal n
-            for seq, bad, moved in self.in_order(x[["seq", "is_error", "reanchored"]] for x in rows):
+            for seq, bad, moved in self.in_order(rows):
                 n = n + 1 if bad else 0
                 yield key[0], int(seq), n, "ReAnchoring" if moved else "Polling" if n == 0 else "Stalled" if n >= self.stalled_after else f"Retrying({n})"
 
@@ -194,11 +204,11 @@ class FeedHealth(Ordered):
         self.run.update((n,))
 
 
-def feed_health_stream(polls: DataFrame, stalled_after: int = 5) -> DataFrame:
+def feed_health_stream(polls: DataFrame, stalled_after: int = 5, held: int = HELD) -> DataFrame:
     """ingest_state() on a stream of polls: site, seq, is_error, reanchored."""
     prepare(polls.sparkSession)
     src = polls.select("site", F.col("seq").cast("long").alias("seq"), "is_error", "reanchored")
-    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=FeedHealth(stalled_after), outputStructType=HEALTH, outputMode="Append", timeMode="None")
+    return src.groupBy("site").transformWithStateInPandas(statefulProcessor=FeedHealth(stalled_after, held), outputStructType=HEALTH, outputMode="Append", timeMode="None")
 
 
 def activity_windows(chunks: DataFrame, gap: str = WATCHDOG, delay: str = WATCHDOG) -> DataFrame:

@@ -81,32 +81,25 @@ class Volume:
         return out + self.close("Complete") if kind == "E" else out
 
     def _place(self, rays: np.ndarray) -> list[dict]:
-        elevation, status, rvol = rays[:, 0], rays[:, 1], rays[:, 2]
-        new, first = np.unique(elevation, return_index=True)
-        begins = sorted((int(i), int(e)) for e, i in zip(new, first, strict=True) if int(e) not in self.seen)
-        spans = [(0, e, self.taken) for e in self.seen[-1:] if self.is_open] + [(i, e, 0) for i, e in begins]
-        accepted, closed = np.zeros(len(rays), dtype=bool), []
-        for (begin, e, before), after in zip(spans, [*(s[0] for s in spans[1:]), None], strict=False):
-            own = np.flatnonzero(elevation[begin:after] == e) + begin
-            ends = own[np.isin(status[own], CLOSING)]
-            own = own[own <= ends[0]] if len(ends) else own
-            accepted[own] = True
-            trigger = int(ends[0]) if len(ends) else after
-            closed.append((e, bool(len(ends)), before + len(own), trigger))
-        if accepted.any() and self.julian_date is None:
-            at = int(accepted.argmax())
-            self.julian_date, self.scan_time_ms = int(rays[at, 3]), int(rays[at, 4])
-        told = np.flatnonzero(accepted & (rvol >= 0))
-        out, earlier = [], self.rvol
-        for e, complete, count, trigger in closed:
-            if trigger is not None:
-                # the radial that closes a sweep counts, even if it is the next one's first
-                upto = told[told <= trigger]
-                self.rvol = int(rvol[upto[-1]]) if len(upto) else earlier
-                out.append(self._swept(e, complete, count, self.vcp))
-        self.rvol = int(rvol[told[-1]]) if len(told) else earlier
-        self.seen += [e for _, e in begins]
-        if closed:
-            self.is_open, self.taken = closed[-1][3] is None, closed[-1][2]
-        late, counts = np.unique(elevation[~accepted], return_counts=True)
-        return out + [self._event("LateRadialsDiscarded", elevation_number=int(e), count=int(n)) for e, n in zip(late, counts, strict=True)]
+        """One pass; a chunk has some ten to some hundred radials, too few for work by columns to pay."""
+        out, late = [], {}
+        for elevation, status, rvol, julian_date, scan_time_ms in rays.tolist():
+            new = elevation not in self.seen
+            if not new and not (self.is_open and elevation == self.seen[-1]):
+                late[elevation] = late.get(elevation, 0) + 1
+                continue
+            if self.julian_date is None:
+                self.julian_date, self.scan_time_ms = julian_date, scan_time_ms
+            # the radial that closes a sweep counts, even if it is the next one's first
+            if rvol >= 0:
+                self.rvol = rvol
+            if new:
+                if self.is_open:
+                    out.append(self._swept(self.seen[-1], False, self.taken, self.vcp))
+                self.seen.append(elevation)
+                self.is_open, self.taken = True, 0
+            self.taken += 1
+            if status in CLOSING:
+                out.append(self._swept(elevation, True, self.taken, self.vcp))
+                self.is_open = False
+        return out + [self._event("LateRadialsDiscarded", elevation_number=e, count=n) for e, n in sorted(late.items())]

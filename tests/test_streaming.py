@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from test_assembly import enact, ray
@@ -167,3 +168,51 @@ def test_small_files_share_tasks(spark, tmp_path):
     got = chunks.read_chunks(other, folder)
     assert got.count() == 400 and got.select("path").distinct().count() == 400
     assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < chunks.read_chunks(spark, folder).rdd.getNumPartitions()
+
+
+class Counted(dict):
+    """A map state in memory that counts what is asked of it."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+@pytest.mark.parametrize("held", [None, 40_000])
+def test_waiting_rows_need_few_calls_of_the_state_store(held):
+    """Rows of a site in no order: they are held, or wait by large blocks, and never one by one."""
+    states = Counted()
+    handle = type("Handle", (), {"getMapState": lambda *a: states, "getValueState": lambda *a: None})()
+    p = assemble.FeedHealth(5) if held is None else assemble.FeedHealth(5, held)
+    p.init(handle)
+    order = random.Random(3).sample(range(40_000), 5_000)
+    batches = [pd.DataFrame({"seq": order[i : i + 50], "is_error": [x % 3 == 0 for x in order[i : i + 50]], "reanchored": False}) for i in range(0, 5_000, 50)]
+    assert [tuple(r) for r in p.in_order(iter(batches))] == [(x, x % 3 == 0, False) for x in sorted(order)]
+    assert not states
+    assert states.calls == 0 if held is None else 0 < states.calls < 1_000
+
+
+def test_held_rows_and_waiting_rows_give_the_same(spark, tmp_path):
+    rng = random.Random(5)
+    sequence = [(k, 121 if k == "S" else None, [] if k == "S" else [ray(rng.randrange(1, 4), rng.choice([1, 1, 2, 4]), rng.choice([None, 35])) for _ in range(4)]) for k in (rng.choice("SIIIIERN").replace("R", "RESET").replace("N", "I") for _ in range(40))]
+    data = rows(sequence, "KDOX")
+    data[7] = (*data[7][:5], None)  # no radials at all
+    stream = in_files(spark, rng.sample(data, len(data)), CHUNKS, str(tmp_path / "in"), 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for name, held in (("held", 1 << 20), ("waiting", 1)):
+            finish(assemble.assemble_stream(stream, timeout_ms=None, held=held), name, str(tmp_path / name))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [[tuple(r) for r in spark.sql(f"select * from {name} order by event_no").collect()] for name in ("held", "waiting")]
+    assert got[0] == got[1] and len(got[0]) > 20
