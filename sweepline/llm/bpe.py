@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from ..runtime import map_arrow
 
 END = "</w>"
+BITS = 32  # of a symbol in the number of a pair
 LONG = 64  # symbols; longer fragments and pieces are merged by a heap, and not remembered
 # Fixed values, which must equal the tokenizer file's: white space, and the pattern of pieces
 # (letters first, which changes nothing: its branches differ in their first character).
@@ -47,7 +49,13 @@ UNORDERED = (
 CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 
 LOWER = {c: to + c - a for a, b, to in CAPITALS for c in range(a, b + 1)}
-RARE = regex.compile(f"[{LATER}{UNORDERED}{''.join(map(chr, LOWER))}]")
+def _expanded(ranges: str) -> list[str]:
+    """The characters of a text of escaped code points and ranges."""
+    return [chr(c) for a, b in regex.findall("(.)(?:-(.))?", ranges.encode().decode("unicode_escape")) for c in range(ord(a), ord(b or a) + 1)]
+
+
+#: A set: every text that is not ASCII is looked through, and a pattern of so many ranges tries them one by one.
+RARE = frozenset(_expanded(LATER + UNORDERED)) | frozenset(map(chr, LOWER))
 MARKS = regex.compile(f"([{UNORDERED}])")
 RARE_PIECE = regex.compile(rf"(?:(?![{LATER}])\p{{L}})+|(?![{LATER}])\p{{N}}|'s|'t|'re|'ve|'m|'ll|'d|(?:[{LATER}]|[^{SPACES}\p{{L}}\p{{N}}])+")
 
@@ -60,7 +68,11 @@ def byte_symbols() -> list[str]:
 
 
 class Bpe:
-    """A vocabulary, its merge ranks, and the symbol pairs that some token holds."""
+    """A vocabulary, its merge ranks, and the symbol pairs that some token holds.
+
+    Symbols are numbers: the id of those that are tokens, numbers above all ids for others. A pair
+    is one number as well.
+    """
 
     def __init__(self, spec: dict, remembered: int = 300_000):
         model = spec["model"]
@@ -69,56 +81,63 @@ class Bpe:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.rank = {p: i for i, p in enumerate(pairs)}
-        self.never = len(self.rank)
-        self.inside: set[tuple[str, str]] = set()
+        self.beyond = max(self.ids.values(), default=-1) + 1
+        self.number: dict[str, int] = dict(self.ids)
+        byte = byte_symbols()
+        self.byte = [self._number(b) for b in byte]
+        self.last_byte = [self._number(b + END) for b in byte]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.rank = {self._number(a) << BITS | self._number(b): i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self._number(a + b) for a, b in pairs]
+        self.never = len(pairs)
+        self.inside: set[int] = set()
         for token in self.ids:
             s = self._symbols(token)
-            self.inside.update(zip(s, s[1:], strict=False))
-        self.byte = byte_symbols()
+            self.inside.update(a << BITS | b for a, b in zip(s, s[1:], strict=False))
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.most = remembered
         self.words: dict[str, tuple] = {}
         self.parts: dict[tuple, tuple[int, ...]] = {}
 
-    @staticmethod
-    def _symbols(token: str) -> list[str]:
+    def _number(self, symbol: str) -> int:
+        return self.number.setdefault(symbol, self.beyond + len(self.number))
+
+    def _symbols(self, token: str) -> list[int]:
         """The one-byte symbols of a token, the last one with its word end."""
         if token.endswith(END) and len(token) > len(END):
-            return [*token[: -len(END) - 1], token[-len(END) - 1 :]]
-        return list(token)
+            return [self._number(c) for c in (*token[: -len(END) - 1], token[-len(END) - 1 :])]
+        return [self._number(c) for c in token]
 
-    def fragments(self, symbols: list[str]) -> list[tuple[str, ...]]:
+    def fragments(self, symbols: list[int]) -> list[tuple[int, ...]]:
         """Cut where two neighbours never stand inside one token."""
         inside = self.inside
-        cuts = [i for i, p in enumerate(zip(symbols, symbols[1:], strict=False), 1) if p not in inside]
+        cuts = [i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False), 1) if a << BITS | b not in inside]
         if not cuts:
             return [tuple(symbols)]
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)]
 
-    def encode_fragment(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+    def encode_fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
         """Merge the leftmost pair of the lowest rank until no pair has one."""
         if len(fragment) > LONG:
             return self._encode_long(fragment)
-        word, rank, never = list(fragment), self.rank.get, self.never
-        ranks = [rank(p, never) for p in zip(word, word[1:], strict=False)]
+        word, rank, never, merged = list(fragment), self.rank.get, self.never, self.merged
+        ranks = [rank(a << BITS | b, never) for a, b in zip(word, word[1:], strict=False)]
         while ranks and (low := min(ranks)) < never:
             i = ranks.index(low)
-            word[i : i + 2] = [word[i] + word[i + 1]]
-            del ranks[i]
+            word[i] = new = merged[low]
+            del word[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((word[i - 1], word[i]), never)
+                ranks[i - 1] = rank(word[i - 1] << BITS | new, never)
             if i < len(ranks):
-                ranks[i] = rank((word[i], word[i + 1]), never)
-        return tuple([self.ids[w] for w in word if w in self.ids])
+                ranks[i] = rank(new << BITS | word[i + 1], never)
+        return tuple([w for w in word if w < self.beyond])
 
-    def _encode_long(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+    def _encode_long(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
         """The same in n log n steps: a heap of (rank, position) over a linked list of symbols."""
         n, rank, never = len(fragment), self.rank.get, self.never
-        word: list[str | None] = list(fragment)
+        word: list[int | None] = list(fragment)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        now = [rank(p, never) for p in zip(word, word[1:], strict=False)] + [never]  # of each position the rank of its pair
+        now = [rank(a << BITS | b, never) for a, b in zip(word, word[1:], strict=False)] + [never]  # of each position the rank of its pair
         heap = [r * n + i for i, r in enumerate(now) if r < never]
         heapq.heapify(heap)
         while heap:
@@ -126,24 +145,24 @@ class Bpe:
             if now[i] != r:
                 continue
             j = after[i]
-            word[i] += word[j]
+            word[i] = self.merged[r]
             word[j], now[j] = None, never
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            now[i] = rank((word[i], word[k]), never) if k < n else never
+            now[i] = rank(word[i] << BITS | word[k], never) if k < n else never
             if now[i] < never:
                 heapq.heappush(heap, now[i] * n + i)
             if (h := before[i]) >= 0:
-                now[h] = rank((word[h], word[i]), never)
+                now[h] = rank(word[h] << BITS | word[i], never)
                 if now[h] < never:
                     heapq.heappush(heap, now[h] * n + h)
-        return tuple([self.ids[w] for w in word if w in self.ids])
+        return tuple([w for w in word if w is not None and w < self.beyond])
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        byte = self.byte
-        symbols = [byte[b] for b in piece.encode()]
-        symbols[-1] += END
+        raw = piece.encode()
+        symbols = [*map(self.byte.__getitem__, raw)]
+        symbols[-1] = self.last_byte[raw[-1]]
         ids: list[int] = []
         for f in self.fragments(symbols):
             if (got := self.parts.get(f)) is None:
@@ -170,7 +189,7 @@ class Bpe:
         """Normalise as the vocabulary file says, and split."""
         pattern = PIECE
         if not text.isascii():
-            if RARE.search(text):
+            if not RARE.isdisjoint(text):
                 pattern = RARE_PIECE
                 text = "".join(unicodedata.normalize("NFC", x) for x in MARKS.split(text)).translate(LOWER)
             else:
@@ -182,8 +201,9 @@ class Bpe:
         if not text:
             return []
         if self.split_special is None or "<|" not in text:
-            known = self.words.get
-            return [known(p) or self.word(p) for p in self.pieces(text)]
+            pieces = self.pieces(text)
+            found = list(map(self.words.get, pieces))
+            return found if None not in found else [w or self.word(p) for w, p in zip(found, pieces, strict=True)]
         out, at = [], 0
         for m in self.split_special.finditer(text):
             out += [self.word(p) for p in self.pieces(text[at : m.start()])]
@@ -198,7 +218,7 @@ class Bpe:
     def decode(self, ids) -> str:
         """The tokens joined by blanks, which is what a vocabulary without decoder asks for."""
         tokens = self.tokens
-        return " ".join(tokens[i] for i in ids if i in tokens)
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 def load(path: str, **options) -> Bpe:
@@ -229,13 +249,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 b = whole.slice(at, 500)
                 counts, ids, a, d = [], [], [], []
                 for t in b.column(1):
-                    words = bpe.words_of(t.as_py())
-                    counts.append(sum(len(w[0]) for w in words))
+                    own, decimals, decoded = zip(*words, strict=True) if (words := bpe.words_of(t.as_py())) else ((), (), ())
+                    counts.append(sum(map(len, own)))
                     if with_ids:
-                        ids.append([i for w in words for i in w[0]])
+                        ids.append([*chain.from_iterable(own)])
                     if with_digests:
-                        a.append(sha(" ".join([w[1] for w in words])))
-                        d.append(sha(" ".join([w[2] for w in words])))
+                        a.append(sha(" ".join(decimals)))
+                        d.append(sha(" ".join(decoded)))
                 cols = [b.column(0), pa.array(counts, pa.int64())]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))

@@ -197,6 +197,29 @@ def test_bpe_cuts_are_certain():
         assert len(b.fragments(b._symbols(token))) == 1
 
 
+def test_bpe_pairs_are_numbers_and_merge_as_strings_do():
+    """No pair of strings is made or hashed for a word; rare characters are found in a set, not by a pattern."""
+    import json
+    import random
+
+    path = queries.tokenizer_path()
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    own, rng = bpe.load(path), random.Random(4)
+    assert all(type(k) is int for k in (*own.rank, *own.inside)) and len(own.rank) == len(model["merges"])
+    rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+    byte = bpe.byte_symbols()
+    for _ in range(500):
+        piece = "".join(rng.choice("abcdeghilmnorstuéß") for _ in range(rng.randrange(1, 90)))
+        word = [byte[b] for b in piece.encode()]
+        word[-1] += bpe.END
+        while met := [p for p in zip(word, word[1:], strict=False) if p in rank]:
+            i = list(zip(word, word[1:], strict=False)).index(min(met, key=rank.get))
+            word[i : i + 2] = [word[i] + word[i + 1]]
+        assert own.encode_piece(piece) == tuple(model["vocab"][w] for w in word)
+    assert isinstance(bpe.RARE, frozenset) and {"\u0558", "\u058c", "\U000107bf", "\u07fd", "\u1c89"} <= bpe.RARE and not {"é", "\u0301", "Ж", "a", "-"} & bpe.RARE
+
+
 def test_bpe_long_pieces(spark):
     """The heap gives what the plain way and the library give, in about linear time."""
     from tokenizers import Tokenizer
