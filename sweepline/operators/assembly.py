@@ -95,13 +95,21 @@ def close_volumes(epochs: DataFrame, placed: DataFrame) -> DataFrame:
     ends = epochs.withColumn("last_no", F.max("chunk_no").over(last)).where("chunk_no = last_no")
     seen = placed.groupBy("site", "epoch").agg(F.count_if("accepted").alias("n_accepted"))
     out = ends.join(seen, ["site", "epoch"], "left").withColumn("n_accepted", F.coalesce("n_accepted", F.lit(0)))
-    status = F.when(F.col("kind") == "E", "Complete").when(F.col("next_silent"), "TimedOut").when(F.col("next_kind") == "S", F.when(F.col("n_accepted") > 0, "Superseded").otherwise("Silent")).otherwise("InProgress")
-    return out.select("site", "epoch", status.alias("status"), "n_accepted", F.col("chunk_no").alias("last_chunk"))
+    return out.select("site", "epoch", _status(F.col("kind"), F.col("next_silent"), F.col("next_kind"), F.col("n_accepted")).alias("status"), "n_accepted", F.col("chunk_no").alias("last_chunk"))
+
+
+def _status(kind: Column, next_silent: Column, next_kind: Column, n_accepted: Column) -> Column:
+    """The status of an epoch by its last chunk."""
+    return F.when(kind == "E", "Complete").when(next_silent, "TimedOut").when(next_kind == "S", F.when(n_accepted > 0, "Superseded").otherwise("Silent")).otherwise("InProgress")
+
+
+def _msg5() -> Column:
+    return F.max_by(F.when(F.col("kind") == "S", F.col("vcp")), F.when((F.col("kind") == "S") & F.col("vcp").isNotNull(), F.col("chunk_no"))).alias("msg5")
 
 
 def message5_vcp(epochs: DataFrame) -> DataFrame:
     """(site, epoch, msg5): the VCP that the epoch's S chunk announced, null if it had none."""
-    return epochs.groupBy("site", "epoch").agg(F.max_by(F.when(F.col("kind") == "S", F.col("vcp")), F.when((F.col("kind") == "S") & F.col("vcp").isNotNull(), F.col("chunk_no"))).alias("msg5"))
+    return epochs.groupBy("site", "epoch").agg(_msg5())
 
 
 def volume_context(placed: DataFrame, epochs: DataFrame) -> DataFrame:
@@ -146,18 +154,56 @@ def assembly_events(epochs: DataFrame, placed: DataFrame) -> DataFrame:
     chunk leaves open, the volume. A sweep or volume that a later S or silence ends is reported at
     the epoch's last chunk, after everything else.
     """
-    sweeps, volumes = close_sweeps(placed), close_volumes(epochs, placed)
-    vcps = sweep_vcp(placed, sweeps, epochs)
-    at = placed.select("site", "epoch", F.col("pos").alias("emit_pos"), "chunk_no")
-    closed = vcps.join(at, ["site", "epoch", "emit_pos"]).join(volumes.select("site", "epoch", "status", "last_chunk"), ["site", "epoch"])
-    open_end = F.col("trigger_pos").isNull()
-    closed = closed.where(~(open_end & F.col("status").isin("InProgress")))
-    closed = closed.select("site", F.when(open_end, F.col("last_chunk")).otherwise(F.col("chunk_no")).alias("chunk_no"), "epoch", F.lit("SweepClosed").alias("event_type"), F.when(open_end, 4).otherwise(2).alias("phase"), F.col("emit_pos").alias("place"), "elevation_number", "complete", F.col("n_radials").alias("count"), "vcp_number")
-    lost = missing_start(epochs).select("site", "chunk_no", "epoch", F.lit("MissingStart").alias("event_type"), F.lit(1).alias("phase"), F.lit(0).alias("place"))
-    late = late_radials(placed).select("site", "chunk_no", "epoch", F.lit("LateRadialsDiscarded").alias("event_type"), F.lit(3).alias("phase"), F.col("elevation_number").cast("int").alias("place"), "elevation_number", F.col("n_late").alias("count"))
-    done = volumes.where("status in ('Complete', 'TimedOut', 'Superseded')").join(volume_context(placed, epochs).select("site", "epoch", "vcp_number"), ["site", "epoch"], "left")
-    done = done.join(message5_vcp(epochs), ["site", "epoch"])
-    done = done.select("site", F.col("last_chunk").alias("chunk_no"), "epoch", F.lit("VolumeClosed").alias("event_type"), F.lit(5).alias("phase"), F.lit(0).alias("place"), "status", F.coalesce("vcp_number", "msg5", F.lit(0)).alias("vcp_number"))
-    out = lost.unionByName(closed, allowMissingColumns=True).unionByName(late, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
-    return scan.numbered(out, "event_no", "chunk_no", "phase", "place", "complete", "elevation_number").drop("phase", "place")
+    return numbered_events(event_rows(epochs, placed))
+
+
+def numbered_events(rows: DataFrame) -> DataFrame:
+    """Events of event_rows() with event_no. Rows are read twice: on large tables, write them first."""
+    return scan.numbered(rows, "event_no", "chunk_no", "phase", "place", "complete", "elevation_number").drop("phase", "place")
 
+
+#: What placed radials need for events.
+OF_RADIAL = ("site", "chunk_no", "radial_idx", "elevation_number", "radial_status", "rvol_vcp")
+
+
+def event_rows(epochs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Events without their number; phase and place order those of a chunk.
+
+    Radials are shuffled once, by epoch. What a sweep's event says is known at the radial that ends it: its own closing one, the
+    first of the next elevation, or the last accepted one of the epoch. Sweeps then meet their epoch's chunks in one join.
+    """
+    epoch, good, pos = Window.partitionBy("site", "epoch"), F.col("accepted"), F.col("pos")
+    so_far = F.last(F.when(good, F.col("rvol_vcp")), ignorenulls=True).over(epoch.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    seen = placed.select("site", "epoch", "elevation_number", "pos", "accepted", "complete", "first_pos", "close_at", "next_first", F.struct("chunk_no", so_far.alias("rvol")).alias("here"))
+    sweeps = seen.groupBy("site", "epoch", "elevation_number").agg(
+        *[F.first(c).alias(c) for c in ("complete", "first_pos", "close_at", "next_first")], F.count_if(good).alias("n_radials"), F.max(F.when(good, pos)).alias("last_pos"),
+        *[F.max_by("here", F.when(at, pos)).alias(name) for name, at in (("opening", pos == F.col("first_pos")), ("closing", pos == F.col("close_at")), ("last_good", good))],
+    )
+    sweeps = sweeps.withColumns({
+        "opens_epoch": F.lag("first_pos").over(epoch.orderBy("first_pos")).isNull(), "next_opening": F.lead("opening").over(epoch.orderBy("first_pos")),
+        "n_accepted": F.sum("n_radials").over(epoch), "end_pos": F.max("last_pos").over(epoch), "end": F.max_by("last_good", "last_pos").over(epoch),
+    })
+    trigger = F.when(F.col("complete"), F.col("close_at")).otherwise(F.col("next_first"))
+    sweeps = sweeps.withColumns({"trigger_pos": trigger, "emit": F.when(F.col("complete"), F.col("closing")).when(F.col("next_first").isNotNull(), F.col("next_opening")).otherwise(F.col("end"))})
+
+    mine = epochs.groupBy("site", "epoch").agg(F.max_by(F.struct("kind", "next_silent", "next_kind"), "chunk_no").alias("z"), F.max("chunk_no").alias("last_chunk"), F.min("chunk_no").alias("first_chunk"), F.min_by("kind", "chunk_no").alias("first_kind"), _msg5())
+    out = mine.join(sweeps, ["site", "epoch"], "left").withColumn("n_accepted", F.coalesce("n_accepted", F.lit(0)))
+    out = out.withColumn("volume_status", _status(F.col("z.kind"), F.col("z.next_silent"), F.col("z.next_kind"), F.col("n_accepted")))
+
+    def event(when: Column, kind: str, phase: Column | int, chunk_no: Column, **more: Column) -> Column:
+        given = {"place": F.lit(0)} | more
+        of = {"chunk_no": "long", "event_type": "string", "phase": "int", "place": "int", "elevation_number": "int", "complete": "boolean", "count": "long", "vcp_number": "int", "status": "string"}
+        given |= {"chunk_no": chunk_no, "event_type": F.lit(kind), "phase": phase if isinstance(phase, Column) else F.lit(phase)}
+        return F.when(when, F.struct(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in of.items()]))
+
+    once, open_end, last = F.coalesce("opens_epoch", F.lit(True)), F.col("trigger_pos").isNull(), F.col("last_chunk")
+    status, of_site = F.col("volume_status"), F.col("site").isNotNull()
+    vcp = lambda here: F.coalesce("msg5", F.col(here)["rvol"], F.lit(0))
+    made = [
+        event(once & (F.col("first_kind") != "S"), "MissingStart", 1, F.col("first_chunk")),
+        event(F.col("first_pos").isNotNull() & ~(open_end & (status == "InProgress")), "SweepClosed", F.when(open_end, 4).otherwise(2), F.when(open_end, last).otherwise(F.col("emit")["chunk_no"]), place=F.coalesce("trigger_pos", "end_pos"), elevation_number=F.col("elevation_number"), complete=F.col("complete"), count=F.col("n_radials"), vcp_number=vcp("emit")),
+        event(once & of_site & status.isin("Complete", "TimedOut", "Superseded"), "VolumeClosed", 5, last, vcp_number=vcp("end"), status=status),
+    ]
+    out = out.select("site", "epoch", F.inline(F.array_compact(F.array(*made))))
+    late = late_radials(placed).select("site", "chunk_no", "epoch", F.lit("LateRadialsDiscarded").alias("event_type"), F.lit(3).alias("phase"), F.col("elevation_number").cast("int").alias("place"), "elevation_number", F.col("n_late").alias("count"))
+    return out.select("site", "chunk_no", "epoch", "event_type", "phase", "place", "elevation_number", "complete", "count", "vcp_number", "status").unionByName(late, allowMissingColumns=True)

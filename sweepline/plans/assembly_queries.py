@@ -13,20 +13,24 @@ from .registry import query
 TIMEOUT = "14 hours"  # events lie far apart; tests use 12 minutes
 
 
-def assembled(spark: SparkSession, sf_dir: str, read_once: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(epochs, placed radials) of the events. What is read several times is written once."""
-    radials = written(view(spark, sf_dir, "radials"))
+def assembled(spark: SparkSession, sf_dir: str, read_once: bool = False, needed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(epochs, placed radials) of the events. What is read several times is written once, with all columns or the needed ones of the radials."""
+    radials = view(spark, sf_dir, "radials")
+    radials = written(radials.select(*needed, "kind", "ts", "msg5_vcp") if needed else radials)
     epochs = assembly.volume_epochs(view(spark, sf_dir, "chunks", radials=radials), TIMEOUT)
     epochs = epochs if read_once else written(epochs)
     placed = assembly.placed_radials(radials.where("kind <> 'S'").drop("kind", "msg5_vcp"), epochs)
     return epochs, placed if read_once else written(placed)
 
 
+def assembly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the radials, without the columns that no event has; they are written before they are numbered."""
+    return assembly.numbered_events(written(assembly.event_rows(*assembled(spark, sf_dir, needed=assembly.OF_RADIAL))))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembly events for the state operators; a volume is its epoch, made late now and then."""
-    epochs, placed = assembled(spark, sf_dir)
-    events = assembly.assembly_events(epochs, placed)
-    return written(events).withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0))
+    return written(assembly_events(spark, sf_dir)).withColumn("volume", F.col("epoch") - F.when(F.col("event_no") % 9 == 0, 2).otherwise(0))
 
 
 EPOCHS = cte("chunks") + f""",
@@ -114,7 +118,7 @@ def w6_missing_start(spark, sf_dir):
 
 @query(EVENTS + " select site, chunk_no, epoch::bigint as epoch, event_type, elevation_number, complete, count, vcp_number, status, event_no::int as event_no from ev")
 def w7_assembly_events(spark, sf_dir):
-    return assembly.assembly_events(*assembled(spark, sf_dir))
+    return assembly_events(spark, sf_dir)
 
 
 @query(CURRENT + " select site, elevation_number, s.event_no::int as event_no, s.volume::bigint as volume, s.vcp_number as vcp_number from cur")

@@ -91,6 +91,18 @@ def test_windows_agree_with_the_stream(spark):
         assert got == enact(sequence)
 
 
+def test_events_take_few_passes(spark):
+    """Numbering reads what it numbers twice; in each go radials are read for sweeps and for late ones, chunks once."""
+    epochs, placed = tables(spark, [("S", 35, []), ("I", None, [ray(1, 1, 212), ray(1, 2), ray(1), ray(2)]), ("I", None, [ray(3)]), ("S", None, []), ("E", None, [ray(1, 4)])])
+    out = assembly.assembly_events(epochs, placed)
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6
+    got = [tuple(r)[1:] for r in out.orderBy("event_no").collect()]
+    assert got == [
+        (1, 1, "SweepClosed", 1, True, 2, 35, None, 1), (1, 1, "LateRadialsDiscarded", 1, None, 1, None, None, 2), (2, 1, "SweepClosed", 2, False, 1, 35, None, 3), (2, 1, "SweepClosed", 3, False, 1, 35, None, 4),
+        (2, 1, "VolumeClosed", None, None, None, 35, "Superseded", 5), (4, 2, "SweepClosed", 1, True, 1, 0, None, 6), (4, 2, "VolumeClosed", None, None, None, 0, "Complete", 7),
+    ]
+
+
 EVENTS = "site string, event_no int, event_type string, elevation_number int, volume long, vcp_number int, status string"
 
 
