@@ -86,13 +86,15 @@ def join_keyed(big: DataFrame, small: DataFrame, key: str, n: str, total: int, h
     """big joined with small on key, where small holds every key of big at most once, and in column n how often.
 
     Keys with more than a hot_share-th of all `total` rows number less than hot_share, whatever the
-    input: they are broadcast, so that no task gets all rows of one. The others meet by a shuffle.
+    input: they are broadcast, so that no task gets all rows of one. The others meet by a shuffle,
+    which is asked for: Spark takes what explode() or a Python pass makes for hardly larger than
+    what it was made of, and would send it whole through the driver.
     """
     hot = F.col(n) > total / hot_share
     if total <= hot_share:
         return big.join(small.drop(n), key)
     few = F.broadcast(small.where(hot).drop(n))
-    rest = big.join(few.select(key), key, "left_anti").join(small.where(~hot).drop(n), key)
+    rest = big.join(few.select(key), key, "left_anti").join(small.where(~hot).drop(n).hint("merge"), key)
     return big.join(few, key).unionByName(rest)
 
 

@@ -171,15 +171,16 @@ def variant_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     words = written(observed(docs, id_col, text_col, least_length, misspelt).where(F.col("n") >= least_count))
     near = one_edit_neighbours(words, least_length).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), F.col("other").alias("other"))).alias("best"))
-    joined = words.join(near, "word", "left").withColumn("best_n", -F.col("best")["minus"])
+    # tables of words grow with the input: none of them is broadcast
+    joined = words.join(near.hint("merge"), "word", "left").withColumn("best_n", -F.col("best")["minus"])
     has = F.col("best_n") >= F.col("n") * factor
     rows = written(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best")["other"]).alias("form"), F.when(has, F.col("best_n")).alias("form_n")))
     # counts grow along forms, so chains end; each round doubles what a word has followed
     roots = written(rows.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = roots.select(F.col("word").alias("w2"), F.col("root").alias("r2"))
-        longer = written(roots.join(on, F.col("root") == F.col("w2"), "left").select("word", F.coalesce("r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")))
+        longer = written(roots.join(on.hint("merge"), F.col("root") == F.col("w2"), "left").select("word", F.coalesce("r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")))
         roots = longer.select("word", "root")
         if longer.where("moved").isEmpty():
             break
-    return rows.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

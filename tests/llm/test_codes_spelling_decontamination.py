@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sweepline import runtime
 from sweepline.llm import decontaminate, spelling, vector_codes
+from sweepline.llm.common import join_keyed
 
 from test_operators import DOCS, ODD, docs
 
@@ -137,6 +138,19 @@ def _brute_variants(rows):
     return {w: (*v, roots[w]) for w, v in out.items()}
 
 
+def test_only_counted_tables_are_broadcast(spark):
+    """Spark sizes what explode() makes by what goes in; here a hot key's rows are broadcast, and nothing else."""
+    big = spark.range(3000).select(F.explode(F.array_repeat(F.col("id") % 50, 10)).alias("key"), "id")
+    small = spark.createDataFrame([(k, 29_000 if k == 7 else 1, f"v{k}") for k in range(50)], "key long, n long, v string")
+    out = join_keyed(big, small, "key", "n", 29_049)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan  # the hot keys: taken, and left out of the rest
+    assert sorted(map(tuple, out.collect())) == sorted((i % 50, i, f"v{i % 50}") for i in range(3000) for _ in range(10))
+    words = docs(spark, [(1, "handler " * 50 + "handlerr " * 5 + "handlerrs " * 25, "en", "s")])
+    plan = spelling.variant_groups(words, misspelt=1 << 40)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_variant_groups(spark):
     rng = random.Random(8)
     stems = ["colour", "Ürsprung", "réalité", "handler", "ANGSTROM"]
