@@ -24,7 +24,8 @@ from .source_queries import volume_bytes
 SLICES = 3
 #: State of the streams: a few values for each of some hundred sites need few partitions. Arrow batches are small, so that sites have several.
 #: Files are many and small, in a folder for each volume: folders are listed and files opened by the hundred in a task.
-FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "32", "spark.sql.files.openCostInBytes": "65536"}
+#: No listing is looked up again, so the driver keeps none (250 MB of them otherwise, weighed object by object).
+FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "32", "spark.sql.files.openCostInBytes": "65536", "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
 SETTINGS = FILES | {"spark.sql.streaming.stateStore.providerClass": assemble.ROCKSDB, "spark.sql.shuffle.partitions": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
@@ -196,12 +197,12 @@ def t8_files_to_state(spark, sf_dir):
     events = assemble.assemble_stream(whole.where("error is null"), timeout_ms=None)
     changes = assemble.current_state_stream(events.withColumn("volume", F.col("epoch")))
     bad_ones = whole.where("error is not null").select("site", F.col("error").alias("kind"), F.col("chunk_no").alias("volume"))
+    out = changes.select("site", F.lit("state").alias("kind"), "elevation_number", "volume", "vcp_number", "last_complete", "revision").unionByName(bad_ones, allowMissingColumns=True)
     for part in parts:
         chunk_files.write_chunks(part, folder)
-        for n, out in enumerate((changes.select("site", F.lit("state").alias("kind"), "elevation_number", "volume", "vcp_number", "last_complete", "revision"), bad_ones)):
-            out.writeStream.format("parquet").option("path", f"{taken}/{n}").option("checkpointLocation", f"{marks}/{n}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("site string, kind string, elevation_number int, volume long, vcp_number int, last_complete long, revision long").parquet(f"{taken}/0")
-    return got.unionByName(spark.read.schema("site string, kind string, volume long").parquet(f"{taken}/1"), allowMissingColumns=True)
+        # one query for both: the files are listed and entered in its log once
+        out.writeStream.format("parquet").option("path", taken).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(taken)
 
 
 @query(SQL["t6_activity_windows"] + f""" having max(arrival) + interval 2 hours <= (select max(arrival) from chunks) - interval {DELAY}""")

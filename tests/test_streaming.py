@@ -8,6 +8,8 @@ from pyspark.errors import StreamingQueryException
 from test_assembly import enact, ray
 
 from sweepline.operators import state
+from sweepline.plans import stream_queries
+from sweepline.plans.adapters import view
 from sweepline.sources import tables
 from sweepline.streaming import assemble
 
@@ -216,3 +218,17 @@ def test_held_rows_and_waiting_rows_give_the_same(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = [[tuple(r) for r in spark.sql(f"select * from {name} order by event_no").collect()] for name in ("held", "waiting")]
     assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_files_are_listed_by_one_query(spark, monkeypatch):
+    """Files to state: each wave is one query, which puts out changes and unreadable chunks, and lists the files once."""
+    from pyspark.sql.streaming import DataStreamWriter
+
+    started, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **b: started.append(q := start(self, *a, **b)) or q)
+    monkeypatch.setattr(stream_queries, "SLICES", 2)
+    got = stream_queries.t8_files_to_state(spark, "/root/testdata/sf0.001")
+    assert len(started) == 2 and all(len(p.sources) == 1 for q in started for p in q.recentProgress)
+    kinds = {r.kind: r["count"] for r in got.groupBy("kind").count().collect()}
+    bad = view(spark, "/root/testdata/sf0.001", "radials").where(f"chunk_no % {stream_queries.BAD} = 5").select("site", "chunk_no").distinct().count()
+    assert kinds["TooShort"] == bad > 0 and kinds["state"] > 0 and len(kinds) == 2
