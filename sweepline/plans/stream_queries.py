@@ -163,7 +163,7 @@ def t4_state_tables(spark, sf_dir):
     path = shared_path(spark, "state")
 
     def sink(changes: DataFrame, marks: str):
-        return tables.keep_current(changes, path, marks, {"availableNow": True})
+        return tables.keep_current_twice(changes, path, marks, {"availableNow": True})
 
     streamed(assembly_queries.arrivals(spark, sf_dir), "event_no", assemble.current_state_stream, sink=sink)
     live, sites = tables.current_tables(spark, path)

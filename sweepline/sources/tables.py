@@ -120,6 +120,25 @@ def keep_current(changes: DataFrame, path: str, checkpoint: str, trigger: dict |
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**trigger or {"processingTime": "5 seconds"}).start()
 
 
+def take_back(spark: SparkSession, checkpoint: str) -> None:
+    """Take the mark of a stopped query's last micro-batch back, as if it had died just before: started again, it runs that batch once more."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    commits = jvm.Path(f"{checkpoint}/commits")
+    fs = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(commits) and (done := [n for x in fs.listStatus(commits) if (n := x.getPath().getName()).isdigit()]):
+        fs.delete(jvm.Path(commits, max(done, key=int)), False)
+
+
+def keep_current_twice(changes: DataFrame, path: str, checkpoint: str, trigger: dict):
+    """keep_current() until its trigger has taken what there is, then started again with its last micro-batch to be applied a second time.
+
+    The batch is computed anew from the state before it and reaches both tables, whose ledgers have it.
+    """
+    keep_current(changes, path, checkpoint, trigger).awaitTermination()
+    take_back(changes.sparkSession, checkpoint)
+    return keep_current(changes, path, checkpoint, trigger)
+
+
 SWEEPS = "site string, elevation_number int, volume long, vcp_number int, revision long"
 SITES = "site string, vcp_number int, last_complete long, revision long, since long"
 

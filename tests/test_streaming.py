@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from test_assembly import enact, ray
 
 from sweepline.operators import state
-from sweepline.plans import stream_queries
+from sweepline.plans import assembly_queries, stream_queries
 from sweepline.plans.adapters import view
 from sweepline.sources import tables
 from sweepline.streaming import assemble
@@ -232,3 +232,34 @@ def test_files_are_listed_by_one_query(spark, monkeypatch):
     kinds = {r.kind: r["count"] for r in got.groupBy("kind").count().collect()}
     bad = view(spark, "/root/testdata/sf0.001", "radials").where(f"chunk_no % {stream_queries.BAD} = 5").select("site", "chunk_no").distinct().count()
     assert kinds["TooShort"] == bad > 0 and kinds["state"] > 0 and len(kinds) == 2
+
+
+def test_state_tables_take_each_slice_s_last_batch_twice(spark, monkeypatch):
+    calls, upsert = [], tables.KeyedTable.upsert
+
+    def noted(self, batch, number):
+        done = upsert(self, batch, number)
+        calls.append((self.path.rsplit("/", 1)[-1], number, done, batch.count()))
+        return done
+
+    monkeypatch.setattr(tables.KeyedTable, "upsert", noted)
+    got = stream_queries.t4_state_tables(spark, "/root/testdata/sf0.001")
+    for n in range(stream_queries.SLICES):
+        for name in ("sweeps", "sites"):
+            first, second = [c[2:] for c in calls if c[:2] == (name, n)]
+            assert first[0] and not second[0] and first[1] == second[1] > 0
+    events = assembly_queries.arrivals(spark, "/root/testdata/sf0.001")
+    want = {(r.site, r.elevation_number): r.volume for r in state.current_sweeps(events).collect()}
+    assert {(r.site, r.elevation_number): r.volume for r in got.collect()} == want and want
+    revisions = {r.site: r.revision for r in state.snapshot(events).collect()}
+    assert {(r.site, r.site_revision) for r in got.collect()} == {(s, revisions[s]) for s, _ in want}
+
+
+def test_nothing_is_taken_back_from_an_empty_checkpoint(spark, tmp_path):
+    tables.take_back(spark, str(tmp_path / "none"))
+    (tmp_path / "c" / "commits").mkdir(parents=True)
+    tables.take_back(spark, str(tmp_path / "c"))
+    for n in (9, 10):
+        (tmp_path / "c" / "commits" / str(n)).write_text("v1")
+    tables.take_back(spark, str(tmp_path / "c"))
+    assert [p.name for p in (tmp_path / "c" / "commits").iterdir()] == ["9"]
