@@ -183,7 +183,7 @@ def t8_files_to_state(spark, sf_dir):
     """Chunk files, decoded, assembled and applied in one stream: two stateful operators behind the file source.
 
     A micro-batch takes at most as many files as the largest wave has, so waves are not cut apart; chunks that
-    cannot be read come out as errors and change nothing.
+    cannot be read pass through both operators, come out as errors and change nothing.
     """
     bad = F.col("chunk_no") % BAD == 5
     made = written(volume_bytes(spark, sf_dir).withColumn("content", F.when(bad, F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))))
@@ -194,13 +194,13 @@ def t8_files_to_state(spark, sf_dir):
     chunk_files.write_chunks(parts[0].limit(0), folder)
     files = chunk_files.stream_chunks(other, folder, max_files=max(1, most))
     whole = chunk_files.assembly_inputs(files.where("reason is null"))
-    events = assemble.assemble_stream(whole.where("error is null"), timeout_ms=None)
-    changes = assemble.current_state_stream(events.withColumn("volume", F.col("epoch")))
-    bad_ones = whole.where("error is not null").select("site", F.col("error").alias("kind"), F.col("chunk_no").alias("volume"))
-    out = changes.select("site", F.lit("state").alias("kind"), "elevation_number", "volume", "vcp_number", "last_complete", "revision").unionByName(bad_ones, allowMissingColumns=True)
+    events = assemble.assemble_stream(whole, timeout_ms=None)
+    changes = assemble.current_state_stream(events.withColumn("volume", F.when(F.col("event_type") == "Unreadable", F.col("chunk_no")).otherwise(F.col("epoch"))))
+    kind = F.when(F.col("revision").isNotNull(), "state").otherwise(F.col("change"))
+    out = changes.select("site", kind.alias("kind"), "elevation_number", "volume", "vcp_number", "last_complete", "revision")
     for part in parts:
         chunk_files.write_chunks(part, folder)
-        # one query for both: the files are listed and entered in its log once
+        # one query for changes and errors: files are listed, entered in its log and decoded once
         out.writeStream.format("parquet").option("path", taken).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(taken)
 

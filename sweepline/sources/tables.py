@@ -114,7 +114,7 @@ def keep_current(changes: DataFrame, path: str, checkpoint: str, trigger: dict |
         batch = batch.persist()
         batch.count()
         sweeps.upsert(batch.where("change = 'sweep'").select("site", "elevation_number", "volume", "vcp_number", "revision"), number)
-        sites.upsert(batch.select("site", "vcp_number", "last_complete", "revision", "since"), number)
+        sites.upsert(batch.where("revision is not null").select("site", "vcp_number", "last_complete", "revision", "since"), number)
         batch.unpersist()
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**trigger or {"processingTime": "5 seconds"}).start()

@@ -46,7 +46,7 @@ def use_rocksdb(spark) -> None:
 
 class Assembler(Ordered):
     order, block_rows = "chunk_no", 512  # a chunk has some hundred radials
-    columns = ("chunk_no", "kind", "vcp", "arrival_ms", "rays")
+    columns = ("chunk_no", "kind", "vcp", "arrival_ms", "rays", "error")
 
     def __init__(self, timeout_ms: int | None, held: int = HELD):
         super().__init__(held)
@@ -73,7 +73,10 @@ class Assembler(Ordered):
         v = self._load()
 
         def events() -> Iterator[tuple]:
-            for chunk_no, kind, vcp, arrival, rays in self.in_order(rows):
+            for chunk_no, kind, vcp, arrival, rays, error in self.in_order(rows):
+                if error is not None:
+                    yield from self._rows(key, int(chunk_no), v.unreadable(error))
+                    continue
                 rays = np.asarray([] if rays is None else rays, dtype=np.int64).reshape(-1, len(RAY))
                 yield from self._rows(key, int(chunk_no), v.take(kind, None if vcp is None else int(vcp), rays, int(arrival or 0), self.timeout_ms))
 
@@ -98,8 +101,9 @@ def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000,
     """Assembly events as chunks come in; a sweep is reported in the micro-batch that closes it.
 
     chunks: site, chunk_no, kind (S, I, E or RESET), vcp, arrival, radials (array of structs with
-    radial_idx, elevation_number, radial_status, rvol_vcp, julian_date, scan_time_ms). Rows of a
-    site are put in order within a micro-batch. event_no numbers a site's events.
+    radial_idx, elevation_number, radial_status, rvol_vcp, julian_date, scan_time_ms), and error where
+    chunks may be unreadable: such a one is an event Unreadable, its error as status, and alters no
+    other event. Rows of a site are put in order within a micro-batch. event_no numbers a site's events.
 
     The watchdog goes by event time, so a replay gives what the live stream gave: a volume is
     closed as TimedOut where the site's next chunk arrived timeout_ms or more after the one before,
@@ -113,7 +117,8 @@ def assemble_stream(chunks: DataFrame, timeout_ms: int | None = 12 * 60 * 1000,
     src = chunks.withColumn("arrival", F.col("arrival").cast("timestamp")).withWatermark("arrival", delay) if timed else chunks
     arrival = F.unix_millis("arrival") if timed else F.lit(0).cast("long")
     kept = ["arrival"] * timed
-    src = src.select("site", F.col("chunk_no").cast("long").alias("chunk_no"), "kind", F.col("vcp").cast("int").alias("vcp"), _rays(F.col("radials")).alias("rays"), arrival.alias("arrival_ms"), *kept)
+    error = F.col("error") if "error" in chunks.columns else F.lit(None).cast("string")
+    src = src.select("site", F.col("chunk_no").cast("long").alias("chunk_no"), "kind", F.col("vcp").cast("int").alias("vcp"), _rays(F.col("radials")).alias("rays"), error.alias("error"), arrival.alias("arrival_ms"), *kept)
     return src.groupBy("site").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms, held), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
@@ -152,6 +157,9 @@ class CurrentState(Ordered):
                     sweeps[at] = int(volume)
                 elif kind == "VolumeClosed" and status == "Complete":
                     change, complete = "complete", int(volume)
+                elif kind == "Unreadable":
+                    yield key[0], status, None, None if volume is None else int(volume), None, None, None, None
+                    continue
                 else:
                     continue
                 revision += 1
@@ -169,7 +177,8 @@ def current_state_stream(events: DataFrame, held: int = HELD) -> DataFrame:
 
     events: site, event_no, event_type, elevation_number, volume (long), vcp_number, status. A
     site's current sweeps are the latest of each elevation among changes of revision `since` and
-    later, where since is that of the site's last change: a VCP change and a reset move it on.
+    later, where since is that of the site's last change: a VCP change and a reset move it on. An event
+    Unreadable comes out named as its error, with its volume and no revision; it changes nothing.
     """
     prepare(events.sparkSession)
     src = events.select("site", F.col("event_no").cast("long").alias("event_no"), "event_type", "elevation_number", F.col("volume").cast("long").alias("volume"), "vcp_number", "status")

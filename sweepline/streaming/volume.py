@@ -50,6 +50,10 @@ class Volume:
     def _id(self) -> dict:
         return {"julian_date": self.julian_date or 0, "scan_time_ms": self.scan_time_ms or 0}
 
+    def unreadable(self, error: str) -> list[dict]:
+        """A chunk that cannot be read is told, and changes nothing."""
+        return [self._event("Unreadable", status=error)]
+
     def close(self, status: str) -> list[dict]:
         """The volume ends: the sweep that is still open is reported, then the volume."""
         out = [self._swept(self.seen[-1], False, self.taken, self.vcp)] if self.is_open else []

@@ -5,6 +5,7 @@ import time
 import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 from test_assembly import enact, ray
 
 from sweepline.operators import state
@@ -263,3 +264,17 @@ def test_nothing_is_taken_back_from_an_empty_checkpoint(spark, tmp_path):
         (tmp_path / "c" / "commits" / str(n)).write_text("v1")
     tables.take_back(spark, str(tmp_path / "c"))
     assert [p.name for p in (tmp_path / "c" / "commits").iterdir()] == ["9"]
+
+
+def test_unreadable_chunks_pass_and_change_nothing(spark, tmp_path):
+    sequence = [("S", 35, []), ("I", None, [ray(1), ray(1)]), ("I", None, [ray(2)]), ("E", None, [ray(2, 4)])]
+    good = [(*r, None) for r in rows(sequence, "KDOX")]
+    data = [(s, 2 * i, *more) for s, i, *more in good] + [("KDOX", 2 * i + 1, "I", None, T0, None, name) for i, name in enumerate(("TooShort", "KindMismatch"))]
+    found = {}
+    for name, given in (("good", [(s, 2 * i, *more) for s, i, *more in good]), ("all", data[::-1])):
+        events = assemble.assemble_stream(in_files(spark, given, f"{CHUNKS}, error string", str(tmp_path / f"in-{name}"), 1), timeout_ms=None)
+        at = F.when(F.col("event_type") == "Unreadable", F.col("chunk_no")).otherwise(F.col("epoch"))
+        finish(assemble.current_state_stream(events.withColumn("volume", at)), f"unreadable_{name}", str(tmp_path / f"c-{name}"))
+        found[name] = [tuple(r) for r in spark.sql(f"select * from unreadable_{name}").collect()]
+    assert len(found["good"]) == 3 and [r for r in found["all"] if r[6] is not None] == found["good"]
+    assert sorted(r for r in found["all"] if r[6] is None) == [("KDOX", "KindMismatch", None, 3, None, None, None, None), ("KDOX", "TooShort", None, 1, None, None, None, None)]
